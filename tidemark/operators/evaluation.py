@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import ranks
 from tidemark.operators import calendars, factors, portfolio, study
+from tidemark.session import stage
 
 # Cost and size grid of the surprise study.
 SURPRISE_GRID = [
@@ -44,17 +45,23 @@ class SurpriseInputs:
     """Common calendar and entries shared by every table of the surprise evaluation."""
 
     def __init__(self, signals: DataFrame, prices: DataFrame, benchmark: DataFrame):
-        self.prices, self.benchmark = prices, benchmark
-        self.all_sessions = calendars.common_dates(prices, signals, benchmark)
-        self.entries = study.latest_decision_per_entry(study.rebalance_entries(signals, self.all_sessions))
+        signals = self.signals = stage(signals, "signals")
+        self.benchmark = stage(benchmark.select("date", "close"), "benchmark")
+        self.prices = stage(prices.join(signals.select("symbol").distinct(), "symbol", "left_semi").select(
+            "symbol", "date", "close"), "closes")
+        self.all_sessions = stage(calendars.common_dates(self.prices, signals, self.benchmark), "sessions")
+        self.entries = stage(
+            study.latest_decision_per_entry(study.rebalance_entries(signals, self.all_sessions)), "entries"
+        )
         first = self.entries.agg(F.min("entry_date")).scalar()
         self.sessions = self.all_sessions.where(F.col("date") >= first)
-        self.closes = prices.join(self.sessions, "date", "left_semi").select("symbol", "date", "close")
+        self.closes = self.prices.join(self.sessions, "date", "left_semi")
 
     def events(self, horizon: int = 20) -> DataFrame:
         return study.rebalance_events(self.entries, self.closes, self.benchmark, self.sessions, horizon)
 
     def targets(self, selected_name: str = "selected", equal_name: str = "equal_weight") -> DataFrame:
+        """Selected names and, next to them, every ranked name, each at equal weight."""
         picked = self.entries.where("selected").withColumn("portfolio", F.lit(selected_name))
         everyone = self.entries.withColumn("portfolio", F.lit(equal_name))
         return portfolio.equal_weights(picked.unionByName(everyone))
@@ -92,7 +99,7 @@ def surprise_summary(
 ) -> DataFrame:
     """Performance of selected, equal weight and benchmark per cost case, with fees and the mean rank IC."""
     run = SurpriseInputs(signals, prices, benchmark)
-    daily = run.daily(cases)
+    daily = stage(run.daily(cases), "daily")
     fees = daily.groupBy("portfolio", "case").agg(F.sum("commission").alias("commission_paid"))
     net = portfolio.performance(daily, ["portfolio", "case"]).join(fees, ["portfolio", "case"])
     names = [c["case"] for c in (cases or portfolio.cost_cases())]
@@ -131,7 +138,7 @@ def grid(signals: DataFrame, prices: DataFrame, benchmark: DataFrame, cases: lis
     cost_list = portfolio.cost_cases(
         *[{"case": label, "rate": r, "minimum": m, "cash_yield": y} for (r, m, y), label in costs.items()]
     )
-    daily = portfolio.simulate(portfolio.equal_weights(members), run.closes, run.sessions, cost_list)
+    daily = stage(portfolio.simulate(portfolio.equal_weights(members), run.closes, run.sessions, cost_list), "daily")
     stats = portfolio.performance(daily, ["portfolio", "case"]).join(
         daily.groupBy("portfolio", "case").agg(F.sum("commission").alias("commission_paid")), ["portfolio", "case"]
     )
@@ -174,15 +181,16 @@ class FactorInputs:
     """Benchmark calendar, forward-filled closes and the tradable cross-section of each entry date."""
 
     def __init__(self, signals: DataFrame, prices: DataFrame, benchmark: DataFrame):
-        self.signals, self.benchmark = signals, benchmark
-        calendar = benchmark.select("date").distinct()
+        self.signals = stage(signals, "signals")
+        self.benchmark = stage(benchmark.select("date", "close"), "benchmark")
+        calendar = self.benchmark.select("date").distinct()
         start = calendar.agg(F.min("date")).scalar()
-        dated = signals.where(F.col("date") >= start).withColumnRenamed("date", "signal_date")
-        self.dated = calendars.next_session(dated, calendar, "signal_date")
+        dated = self.signals.where(F.col("date") >= start).withColumnRenamed("date", "signal_date")
+        self.dated = stage(calendars.next_session(dated, calendar, "signal_date"), "dated")
         first = self.dated.agg(F.min("entry_date")).scalar()
         ever = self.dated.select("symbol").distinct()
-        self.filled = calendars.carry_forward(prices.join(ever, "symbol", "left_semi"), calendar).where(
-            F.col("date") >= first
+        self.filled = stage(
+            calendars.carry_forward(prices.join(ever, "symbol", "left_semi"), calendar).where(F.col("date") >= first), "filled"
         )
         self.sessions = calendar.where(F.col("date") >= first)
         priced = self.filled.select("symbol", F.col("date").alias("entry_date"))
@@ -243,12 +251,16 @@ def factor_summary(
     signals: DataFrame, prices: DataFrame, benchmark: DataFrame, fraction: float = 0.2, cases: list[dict] | None = None
 ) -> DataFrame:
     """Performance, rank IC, capacity, fees and turnover of the top share of each factor."""
-    run = FactorInputs(signals, prices, benchmark)
-    chosen = top_fraction(run.tradable, fraction)
+    return _factor_summary(FactorInputs(signals, prices, benchmark), fraction, cases)
+
+
+def _factor_summary(run: FactorInputs, fraction: float, cases: list[dict] | None) -> DataFrame:
+    chosen = stage(top_fraction(run.tradable, fraction), "chosen")
     members = chosen.select(F.col("factor").alias("portfolio"), "entry_date", "symbol").unionByName(
         run.tradable.select(F.lit("equal_weight").alias("portfolio"), "entry_date", "symbol")
     )
-    daily = portfolio.simulate(portfolio.equal_weights(members), run.filled, run.sessions, cases, skip_unchanged=True)
+    targets = stage(portfolio.equal_weights(members), "targets")
+    daily = stage(portfolio.simulate(targets, run.filled, run.sessions, cases, skip_unchanged=True), "daily")
     key = ["portfolio", "case"]
     stats = portfolio.performance(daily, key).join(
         daily.groupBy(*key).agg(F.sum("commission").alias("commission_paid"),
@@ -258,7 +270,7 @@ def factor_summary(
     equal = stats.where("portfolio = 'equal_weight'").select(
         "case", F.col("total_return_pct").alias("equal_weight_total_return_pct")
     )
-    ic = factors.rank_ic_summary(factor_ic(signals, benchmark), ["factor"]).withColumnRenamed("factor", "portfolio")
+    ic = factors.rank_ic_summary(factor_ic(run.signals, run.benchmark), ["factor"]).withColumnRenamed("factor", "portfolio")
     picks = chosen.groupBy(F.col("factor").alias("portfolio")).agg(
         F.count_distinct("entry_date").alias("rebalance_events"),
         F.avg("selected_count").alias("average_selected_count"),
@@ -277,8 +289,9 @@ def factor_summary(
 def factor_grid(signals: DataFrame, prices: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Selection share by minimum fee, every combination."""
     fees = portfolio.cost_cases(*[{"case": f"minimum_{m:g}", "minimum": m} for m in FACTOR_MINIMUM_FEES])
+    run = FactorInputs(signals, prices, benchmark)
     runs = [
-        factor_summary(signals, prices, benchmark, fraction, fees).withColumn("top_fraction", F.lit(fraction))
+        _factor_summary(run, fraction, fees).withColumn("top_fraction", F.lit(fraction))
         for fraction in FACTOR_FRACTIONS
     ]
     return reduce(lambda a, b: a.unionByName(b), runs).select(

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import calendars
+from tidemark.session import stage
 
 TRADING_DAYS = 252
 SMALLEST_ORDER = 1e-8
@@ -129,50 +130,50 @@ def simulate(targets: DataFrame, closes: DataFrame, sessions: DataFrame, cases:
         targets = drop_unchanged_sets(targets)
     segments = _segments(targets, sessions)
     days = _valuation_days(segments, sessions)
-    holdings = targets.join(segments.select("portfolio", F.col("start").alias("entry_date"), "k"),
-                            ["portfolio", "entry_date"])
-    opened = holdings.join(
-        closes.select("symbol", F.col("date").alias("entry_date"), F.col("close").alias("_open")),
-        ["symbol", "entry_date"],
-    ).select("portfolio", "k", "symbol", "weight", "_open")
-    legs = (
-        days.join(opened, ["portfolio", "k"])
-        .join(closes.select("symbol", "date", "close"), ["symbol", "date"])
-        .withColumn("_worth", F.col("weight") * F.col("close") / F.col("_open"))
+    opened = (
+        targets.join(segments.select("portfolio", F.col("start").alias("entry_date"), "k", "finish"), ["portfolio", "entry_date"])
+        .join(closes.select("symbol", F.col("date").alias("entry_date"), F.col("close").alias("_open")), ["symbol", "entry_date"])
+        .select("portfolio", "k", "symbol", "weight", "_open", "entry_date", "finish")
     )
-    invested = legs.groupBy("portfolio", "k", "date").agg(
-        F.sum("_worth").alias("invested"), F.sum("weight").alias("weight")
+    price = closes.select("symbol", "date", "close")
+    worth = F.col("weight") * F.col("close") / F.col("_open")
+    invested = (
+        days.select("portfolio", "k", "date")
+        .join(opened, ["portfolio", "k"])
+        .join(price, ["symbol", "date"])
+        .groupBy("portfolio", "k", "date")
+        .agg(F.sum(worth).alias("invested"), F.sum("weight").alias("weight"))
     )
-    growth = (
-        days.join(invested, ["portfolio", "k", "date"], "left")
-        .withColumn("invested", F.coalesce("invested", F.lit(0.0)))
-        .withColumn("weight", F.coalesce("weight", F.lit(0.0)))
-    )
-    level = _for_each_yield(growth, cases).withColumn(
-        "growth", F.col("invested") + (1 - F.col("weight")) * _cash_growth(F.col("cash_yield"), F.col("elapsed"))
+    level = stage(
+        _for_each_yield(days.join(invested, ["portfolio", "k", "date"], "left").fillna(0.0, ["invested", "weight"]), cases)
+        .withColumn("growth", F.col("invested")
+                    + (1 - F.col("weight")) * _cash_growth(F.col("cash_yield"), F.col("elapsed"))),
+        "level",
     )
 
     # Drifted weights meet the new targets at each event; the order size is their difference.
     closing = level.where((F.col("date") == F.col("finish")) & (F.col("elapsed") > 0)).select(
-        "portfolio", "cash_yield", F.col("k").alias("_k"), "growth", F.col("finish").alias("entry_date")
+        "portfolio", "cash_yield", "k", "growth", "finish"
     )
     drifted = (
-        legs.where((F.col("date") == F.col("finish")) & (F.col("elapsed") > 0))
-        .select("portfolio", F.col("k").alias("_k"), "symbol", "_worth")
-        .join(closing, ["portfolio", "_k"])
-        .select("portfolio", "cash_yield", "entry_date", "symbol", (-F.col("_worth") / F.col("growth")).alias("_w"))
+        opened.where(F.col("finish") > F.col("entry_date"))
+        .join(price.withColumnRenamed("date", "finish"), ["symbol", "finish"])
+        .join(closing, ["portfolio", "k", "finish"])
+        .select("portfolio", "cash_yield", F.col("finish").alias("entry_date"), "symbol", (-worth / F.col("growth")).alias("_w"))
     )
     wanted = _for_each_yield(targets, cases).select(
         "portfolio", "cash_yield", "entry_date", "symbol", F.col("weight").alias("_w")
     )
-    orders = (
+    starts = level.where("k > 0 and elapsed = 0").select("portfolio", "cash_yield", F.col("start").alias("entry_date"), "k")
+    orders = stage(
         wanted.unionByName(drifted)
         .groupBy("portfolio", "cash_yield", "entry_date", "symbol")
         .agg(F.abs(F.sum("_w")).alias("size"))
-        .join(segments.select("portfolio", F.col("start").alias("entry_date"), "k"), ["portfolio", "entry_date"])
-        .select("portfolio", "cash_yield", "k", "size")
+        .join(starts, ["portfolio", "cash_yield", "entry_date"])
+        .select("portfolio", "cash_yield", "k", "size"),
+        "orders",
     )
-    grown = closing.withColumn("k", F.col("_k") + 1).select("portfolio", "cash_yield", "k", "growth")
+    grown = closing.select("portfolio", "cash_yield", (F.col("k") + 1).alias("k"), "growth")
     events = _for_each_case(
         orders.groupBy("portfolio", "cash_yield", "k")
         .agg(F.sum("size").alias("all_size"), F.count_if(F.col("size") > 0).alias("all_orders"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import ranks
 from tidemark.operators import calendars
+from tidemark.session import stage
 
 
 def announcement_event_study(
@@ -48,7 +49,7 @@ def announcement_event_study(
 def event_study_summary(study: DataFrame) -> DataFrame:
     """Per horizon: events, rank correlations and means. A horizon holds all events, so ranks are built by ranges."""
     ranked = ranks.average_rank_of_large_groups(
-        study.select("horizon_trading_days", "operating_surprise_pct", "return_pct", "excess_return_pct"),
+        stage(study.select("horizon_trading_days", "operating_surprise_pct", "return_pct", "excess_return_pct"), "study"),
         ["horizon_trading_days"],
         {"operating_surprise_pct": "_x", "return_pct": "_y", "excess_return_pct": "_z"},
     )

@@ -185,8 +185,8 @@ def distributions(spark, sf) -> DataFrame:
     return per_day.select(
         code(F.col("_slot")).alias("symbol"), "publication_date",
         F.date_add("publication_date", (1 + F.col("_slot") % 5).cast("int")).alias("ex_date"),
-        (F.col("cents") / 100000000.0).alias("dpu_per_unit"),
-        (F.col("cents") / 100000000.0 * 10).alias("disclosed_rmb_per_10_units"),
+        (F.col("cents") / 1000000.0).alias("dpu_per_unit"),
+        (F.col("cents") / 1000000.0 * 10).alias("disclosed_rmb_per_10_units"),
         F.concat(F.lit("https://disclosure.example/P"), code(F.col("_slot")), F.date_format("publication_date", "yyyyMMdd")).alias("source_url"),
         F.when(F.month("publication_date") % 2 == 0, "machine_extracted_official_pdf").otherwise("visual_verified_official_pdf").alias("verification_status"),
     )

@@ -147,8 +147,8 @@ VIEWS["ord"] = """
 SELECT o_orderkey, o_custkey, CAST(floor(o_totalprice * 100 + 0.5) AS BIGINT) AS cents, CAST(o_orderdate AS DATE) AS date, o_orderstatus FROM orders"""
 
 VIEWS["distr"] = f"""
-SELECT {code('slot')} AS symbol, publication_date, CAST(publication_date + CAST(1 + slot % 5 AS INTEGER) AS DATE) AS ex_date, c / 100000000.0::DOUBLE AS dpu_per_unit,
-       c / 100000000.0::DOUBLE * 10 AS disclosed_rmb_per_10_units,
+SELECT {code('slot')} AS symbol, publication_date, CAST(publication_date + CAST(1 + slot % 5 AS INTEGER) AS DATE) AS ex_date, c / 1000000.0::DOUBLE AS dpu_per_unit,
+       c / 1000000.0::DOUBLE * 10 AS disclosed_rmb_per_10_units,
        'https://disclosure.example/P' || {code('slot')} || strftime(publication_date, '%Y%m%d') AS source_url,
        CASE WHEN month(publication_date) % 2 = 0 THEN 'machine_extracted_official_pdf' ELSE 'visual_verified_official_pdf' END AS verification_status
 FROM (SELECT o_custkey % 25 AS slot, date AS publication_date, CAST(sum(cents) AS BIGINT) AS c FROM ord GROUP BY 1, 2)"""

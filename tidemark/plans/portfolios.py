@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import evaluation, features, long_cash, portfolio, study, valuation
+from tidemark.operators import checks, evaluation, factors, long_cash, portfolio, study, valuation
 from tidemark.plans import domain as d
 from tidemark.plans import market, point_in_time as pit
 from tidemark.plans.oracle_views import avg_rank, corr, pct_rank
 from tidemark.plans.registry import query
+from tidemark.session import stage
 
 CASES = portfolio.cost_cases({}, {"case": "five_bps", "rate": 0.0005}, {"case": "no_minimum", "minimum": 0.0, "cash_yield": 0.0})
 
@@ -100,7 +101,7 @@ def inputs(spark, sf):
 @query("R8_rebalance_entries", "SELECT symbol, period_end, decision_date, entry_date FROM aligned WHERE entry_date IS NOT NULL", **SURPRISE_VIEWS)
 def entries(spark, sf):
     run = evaluation.SurpriseInputs(*inputs(spark, sf))
-    return study.rebalance_entries(pit.signals(spark, sf), run.all_sessions).select("symbol", "period_end", "decision_date", "entry_date")
+    return study.rebalance_entries(run.signals, run.all_sessions).select("symbol", "period_end", "decision_date", "entry_date")
 
 
 @query("R9_net_portfolio_returns", "SELECT * FROM daily", DAILY_DOUBLES, 5, True, **SURPRISE_VIEWS)
@@ -129,7 +130,7 @@ def summary(spark, sf):
 
 @query("A31_portfolio_statistics", "SELECT * EXCLUDE (commission_paid, cumulative_one_way_turnover) FROM perf", PERF, 5, True, **SURPRISE_VIEWS)
 def statistics(spark, sf):
-    return portfolio.performance(net_daily(spark, sf), ["portfolio", "case"])
+    return portfolio.performance(stage(net_daily(spark, sf), "daily"), ["portfolio", "case"])
 
 
 @query("W15_running_level_and_fall", """SELECT symbol, date, close / first(close) OVER w AS level, close / max(close) OVER w - 1 AS fall FROM nprices WINDOW w AS (PARTITION BY symbol ORDER BY date)""", "level fall")
@@ -196,7 +197,7 @@ JOINT_DOUBLES = pit.SIGNAL_DOUBLES + " unadjusted_close nav_per_unit ttm_dpu_per
 
 
 def joint(spark, sf):
-    return valuation.joint_signals(pit.signals(spark, sf), d.fund_facts(spark, sf), d.distributions(spark, sf), d.nation_prices(spark, sf))
+    return valuation.joint_signals(stage(pit.signals(spark, sf), "signals"), d.fund_facts(spark, sf), d.distributions(spark, sf), d.nation_prices(spark, sf))
 
 
 query("R6_joint_signals", "SELECT * FROM joint", JOINT_DOUBLES, **JOINT_VIEWS)(joint)
@@ -204,7 +205,7 @@ query("R6_joint_signals", "SELECT * FROM joint", JOINT_DOUBLES, **JOINT_VIEWS)(j
 
 @query("J12_distributions_in_windows", "SELECT symbol, period_end, ttm AS ttm_dpu_per_unit, win AS window_dpu FROM paid", "ttm_dpu_per_unit window_dpu", **JOINT_VIEWS)
 def in_windows(spark, sf):
-    asked = pit.signals(spark, sf).select("symbol", "period_end", "decision_date")
+    asked = stage(pit.signals(spark, sf).select("symbol", "period_end", "decision_date"), "signals")
     states = valuation._price_state(asked, d.nation_prices(spark, sf))
     sums = valuation.distributions_in_windows(states, d.distributions(spark, sf))
     return asked.join(sums, ["symbol", "decision_date"]).select("symbol", "period_end", "ttm_dpu_per_unit", F.col("_window_dpu").alias("window_dpu"))
@@ -228,7 +229,7 @@ def joint_grid(spark, sf):
 @query("A32_capacity", """SELECT period_end, decision_date, string_agg(symbol, '|' ORDER BY symbol) AS selected_symbols, count(*) AS selected_count, min(a) AS minimum_average_turnover_20d,
  min(a) * 0.05 * count(*) AS capacity_at_participation
 FROM (SELECT s.symbol, s.period_end, s.decision_date, (SELECT arg_max(a, date) FROM t20 WHERE t20.symbol = s.symbol AND t20.date <= s.decision_date AND t20.a IS NOT NULL) AS a FROM signals s WHERE selected)
-GROUP BY 1, 2 HAVING count(a) = count(*)""", "minimum_average_turnover_20d capacity_at_participation", 4,
+GROUP BY 1, 2 HAVING count(a) = count(*)""", "minimum_average_turnover_20d capacity_at_participation", 7,
        **{**pit.FEATURE_VIEWS, "t20": """SELECT symbol, date, CASE WHEN row_number() OVER (PARTITION BY symbol ORDER BY date) >= 20 THEN
        avg(turnover) OVER (PARTITION BY symbol ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) END AS a FROM nprices"""})
 def capacity(spark, sf):
@@ -237,8 +238,13 @@ def capacity(spark, sf):
 
 # --- factor portfolios -----------------------------------------------------------------------------
 
+# Weekly bars of nations: steady enough to chain over years.
+def _weekly(text: str) -> str:
+    return text.replace("FROM prices", "FROM nprices").replace("FROM bench", "FROM nbench")
+
+
 FACTOR_EVAL_VIEWS = {
-    **market.FACTOR_VIEWS,
+    **{k: _weekly(s) for k, s in market.FACTOR_VIEWS.items()},
     "sess": "SELECT date, row_number() OVER (ORDER BY date) AS s FROM cal WHERE date >= (SELECT min(entry_date) FROM dated)",
     "px": "SELECT symbol, date, close FROM filled",
     "all_targets": """SELECT factor AS portfolio, entry_date, symbol, 1.0::DOUBLE / count(*) OVER (PARTITION BY factor, entry_date) AS weight FROM chosen
@@ -248,25 +254,179 @@ FACTOR_EVAL_VIEWS = {
     "targets": "SELECT t.* FROM all_targets t SEMI JOIN kept k ON k.portfolio = t.portfolio AND k.entry_date = t.entry_date",
     "costs": costs_sql(portfolio.cost_cases()),
     **ENGINE,
-    "bdaily": "SELECT date, coalesce(close / lag(close) OVER (ORDER BY date) - 1, 0) AS net_return FROM bench WHERE date IN (SELECT date FROM sess)",
+    "bdaily": "SELECT date, coalesce(close / lag(close) OVER (ORDER BY date) - 1, 0) AS net_return FROM nbench WHERE date IN (SELECT date FROM sess)",
     "picks": "SELECT factor, count(DISTINCT entry_date) AS rebalance_events, avg(selected_count) AS average_selected_count, min(capacity_at_5pct_adv) AS minimum_capacity_at_5pct_adv FROM chosen GROUP BY 1",
     "icsum": """SELECT factor, avg(rank_ic) AS mean_rank_ic, avg(rank_ic) / (nullif(stddev_samp(rank_ic), 0) / sqrt(count(rank_ic))) AS rank_ic_naive_t_stat,
        avg(CASE WHEN rank_ic > 0 THEN 1.0::DOUBLE ELSE 0.0 END) AS positive_rank_ic_share, count(rank_ic) AS complete_rank_ic_periods FROM factor_ics WHERE rank_ic IS NOT NULL GROUP BY factor""",
 }
 
 
+def factor_inputs(spark, sf):
+    prices = stage(d.nation_prices(spark, sf), "prices")
+    signals = factors.market_signals(factors.factor_panel(prices), "monthly", minimum_turnover=market.FLOOR)
+    return signals, prices, d.nation_benchmark(spark, sf)
+
+
 @query("R12_factor_summary", """SELECT p.portfolio AS factor, p."case", p.* EXCLUDE (portfolio, "case"), e.total_return_pct AS equal_weight_total_return_pct, k.* EXCLUDE (factor), i.* EXCLUDE (factor),
   b.total_return_pct AS benchmark_total_return_pct, p.total_return_pct - e.total_return_pct AS excess_vs_equal_weight_pct, p.total_return_pct - b.total_return_pct AS excess_vs_benchmark_pct
 FROM perf p JOIN perf e ON e.portfolio = 'equal_weight' JOIN picks k ON k.factor = p.portfolio LEFT JOIN icsum i ON i.factor = p.portfolio JOIN bperf b ON true WHERE p.portfolio <> 'equal_weight'""",
        PERF + " commission_paid cumulative_one_way_turnover equal_weight_total_return_pct average_selected_count minimum_capacity_at_5pct_adv mean_rank_ic rank_ic_naive_t_stat "
-       "positive_rank_ic_share benchmark_total_return_pct excess_vs_equal_weight_pct excess_vs_benchmark_pct", 5, True, **FACTOR_EVAL_VIEWS)
+       "positive_rank_ic_share benchmark_total_return_pct excess_vs_equal_weight_pct excess_vs_benchmark_pct", 3, True, **FACTOR_EVAL_VIEWS)
 def factor_summary(spark, sf):
-    return evaluation.factor_summary(market.monthly(spark, sf), d.prices(spark, sf), d.benchmark(spark, sf))
+    return evaluation.factor_summary(*factor_inputs(spark, sf))
 
 
-@query("R10_skip_unchanged_portfolio", """SELECT * FROM daily""", DAILY_DOUBLES, 5, True, **FACTOR_EVAL_VIEWS)
+@query("R10_skip_unchanged_portfolio", """SELECT portfolio, "case", date, k, net_return, ln(value / capital) AS log_growth, commission / value AS fee_share, turnover FROM daily""",
+       "net_return log_growth fee_share turnover", 6, True, **FACTOR_EVAL_VIEWS)
 def skipping(spark, sf):
-    run = evaluation.FactorInputs(market.monthly(spark, sf), d.prices(spark, sf), d.benchmark(spark, sf))
-    members = evaluation.top_fraction(run.tradable).select(F.col("factor").alias("portfolio"), "entry_date", "symbol").unionByName(
+    run = evaluation.FactorInputs(*factor_inputs(spark, sf))
+    chosen = stage(evaluation.top_fraction(run.tradable), "chosen")
+    members = chosen.select(F.col("factor").alias("portfolio"), "entry_date", "symbol").unionByName(
         run.tradable.select(F.lit("equal_weight").alias("portfolio"), "entry_date", "symbol"))
-    return portfolio.simulate(portfolio.equal_weights(members), run.filled, run.sessions, skip_unchanged=True)
+    targets = stage(portfolio.equal_weights(members), "targets")
+    daily = portfolio.simulate(targets, run.filled, run.sessions, skip_unchanged=True)
+    return daily.select("portfolio", "case", "date", "k", "net_return", F.ln(F.col("value") / F.col("capital")).alias("log_growth"),
+                        (F.col("commission") / F.col("value")).alias("fee_share"), "turnover")
+
+
+FACTOR_GRID_VIEWS = {
+    **FACTOR_EVAL_VIEWS,
+    "shares": "SELECT unnest([0.1, 0.2, 0.3]::DOUBLE[]) AS top_fraction",
+    "ranked3": """SELECT *, row_number() OVER (PARTITION BY top_fraction, factor, entry_date ORDER BY factor_value DESC, symbol) AS rk,
+        greatest(1, ceil(universe * top_fraction)) AS n FROM long JOIN shares ON true""",
+    "all_targets": """SELECT factor || ':' || top_fraction AS portfolio, entry_date, symbol, 1.0::DOUBLE / count(*) OVER (PARTITION BY factor, top_fraction, entry_date) AS weight FROM ranked3 WHERE rk <= n
+        UNION ALL SELECT 'equal_weight', entry_date, symbol, 1.0::DOUBLE / count(*) OVER (PARTITION BY entry_date) FROM tradable""",
+    "costs": costs_sql(portfolio.cost_cases({"case": "minimum_0", "minimum": 0.0}, {"case": "minimum_5", "minimum": 5.0})),
+}
+
+
+@query("R14_factor_grid", """SELECT CAST(split_part(p.portfolio, ':', 2) AS DOUBLE) AS top_fraction, p."case", split_part(p.portfolio, ':', 1) AS factor, p.total_return_pct,
+  p.total_return_pct - e.total_return_pct AS excess_vs_equal_weight_pct, p.max_drawdown_pct, p.commission_paid, p.cumulative_one_way_turnover
+FROM perf p JOIN perf e ON e.portfolio = 'equal_weight' AND e."case" = p."case" WHERE p.portfolio <> 'equal_weight'""",
+       "top_fraction total_return_pct excess_vs_equal_weight_pct max_drawdown_pct commission_paid cumulative_one_way_turnover", 3, True, **FACTOR_GRID_VIEWS)
+def factor_grid(spark, sf):
+    return evaluation.factor_grid(*factor_inputs(spark, sf))
+
+
+# --- long/cash on one asset per symbol ---------------------------------------------------------------
+
+LONG_CASH_VIEWS = {
+    "out": "SELECT symbol, period_end, publication_date, 'A00' AS asset_id, 'power_generation' AS metric, value FROM facts WHERE metric = 'distributable_amount_quarter'",
+    "yoy4": """SELECT *, (value / lag(value, 4) OVER (PARTITION BY symbol ORDER BY period_end) - 1) * 100 AS generation_yoy_pct FROM out""",
+    "sig": """SELECT symbol, period_end, publication_date, value AS power_generation, generation_yoy_pct, generation_yoy_pct > 0 AS hold,
+        CASE WHEN generation_yoy_pct > 0 THEN 'asset' ELSE 'cash' END AS signal FROM yoy4 WHERE generation_yoy_pct IS NOT NULL""",
+    "pan": "SELECT p.symbol, p.date, p.close, b.close AS bclose FROM nprices p JOIN nbench b USING (date)",
+    "ent0": "SELECT s.*, (SELECT min(date) FROM pan WHERE pan.symbol = s.symbol AND pan.date > s.publication_date) AS entry_date FROM sig s",
+    "ent": "SELECT * FROM ent0 e WHERE entry_date IS NOT NULL AND period_end = (SELECT max(period_end) FROM ent0 x WHERE x.symbol = e.symbol AND x.entry_date = e.entry_date)",
+    "cashd": "SELECT symbol, CAST(last_day(publication_date) - (dayofweek(last_day(publication_date)) + 2) % 7 AS DATE) AS date, sum(dpu_per_unit) / 1000 AS cash FROM distr GROUP BY 1, 2",
+    "dd0": """SELECT *, min(date) FILTER (h IS NOT NULL) OVER (PARTITION BY symbol) AS first_entry, coalesce(last_value(h IGNORE NULLS) OVER w, 0.0) AS weight,
+        coalesce((close + coalesce(cash, 0)) / lag(close) OVER w - 1, 0) AS asset_return, coalesce(bclose / lag(bclose) OVER w - 1, 0) AS benchmark_return
+        FROM (SELECT pan.*, CASE WHEN e.hold THEN 1.0::DOUBLE WHEN NOT e.hold THEN 0.0 END AS h, c.cash FROM pan LEFT JOIN ent e ON e.symbol = pan.symbol AND e.entry_date = pan.date
+              LEFT JOIN cashd c ON c.symbol = pan.symbol AND c.date = pan.date) WINDOW w AS (PARTITION BY symbol ORDER BY date)""",
+    "dd1": "SELECT *, coalesce(lag(weight) OVER (PARTITION BY symbol ORDER BY date), 0.0) AS prev FROM dd0",
+    "dd2": """SELECT *, CASE WHEN weight <> prev THEN 1 ELSE 0 END AS trade, CASE WHEN date <= first_entry THEN 0 ELSE prev * asset_return + (1 - prev) * (pow(1.015, 1 / 252.0::DOUBLE) - 1) END AS gross_return,
+        row_number() OVER (PARTITION BY symbol ORDER BY date) AS n FROM dd1 WHERE date >= first_entry""",
+    "walk": """SELECT symbol, n, 100000.0::DOUBLE AS e0, 100000.0::DOUBLE * (1 + gross_return) - CASE WHEN trade = 1 THEN greatest(100000.0::DOUBLE * (1 + gross_return) * 0.0001, 5) ELSE 0 END AS e1,
+          CASE WHEN trade = 1 THEN greatest(100000.0::DOUBLE * (1 + gross_return) * 0.0001, 5) ELSE 0 END AS fee FROM dd2 WHERE n = 1
+        UNION ALL SELECT d.symbol, d.n, w.e1, w.e1 * (1 + d.gross_return) - CASE WHEN trade = 1 THEN greatest(w.e1 * (1 + d.gross_return) * 0.0001, 5) ELSE 0 END,
+          CASE WHEN trade = 1 THEN greatest(w.e1 * (1 + d.gross_return) * 0.0001, 5) ELSE 0 END FROM walk w JOIN dd2 d ON d.symbol = w.symbol AND d.n = w.n + 1""",
+    "lc": """SELECT d.symbol, d.date, d.weight, d.trade, d.gross_return, d.asset_return, d.benchmark_return, pow(1.015, 1 / 252.0::DOUBLE) - 1 AS cash_return, w.fee AS commission, w.e1 AS strategy_value,
+        w.e1 / w.e0 - 1 AS strategy_return, CASE WHEN d.n = 1 THEN -10.0 / 100000 ELSE d.asset_return END AS buy_hold_return, CASE WHEN d.n = 1 THEN 0 ELSE d.benchmark_return END AS buy_hold_benchmark_return
+        FROM dd2 d JOIN walk w USING (symbol, n)""",
+}
+
+
+def _output(spark, sf):
+    facts = d.fund_facts(spark, sf).where("metric = 'distributable_amount_quarter'")
+    return facts.select("symbol", F.lit("A00").alias("asset_id"), "period_end", F.lit("power_generation").alias("metric"), "value", "publication_date")
+
+
+def _cash(spark, sf):
+    friday = F.expr("date_sub(last_day(publication_date), (dayofweek(last_day(publication_date)) + 1) % 7)")
+    return d.distributions(spark, sf).select("symbol", friday.alias("ex_date"), (F.col("dpu_per_unit") / 1000).alias("cash_per_unit"))
+
+
+def growth_signals(spark, sf):
+    return long_cash.growth_signals(_output(spark, sf), ["power_generation"], "power_generation")
+
+
+query("R13_growth_signals", "SELECT * FROM sig", "power_generation generation_yoy_pct", **LONG_CASH_VIEWS)(growth_signals)
+
+
+@query("W12_four_row_growth", """SELECT symbol, asset_id, period_end, value AS power_generation, CAST(year(period_end) AS VARCHAR) || 'Q' || CAST(quarter(period_end) AS VARCHAR) AS quarter, generation_yoy_pct FROM yoy4""",
+       "power_generation generation_yoy_pct", **LONG_CASH_VIEWS)
+def four_rows(spark, sf):
+    return long_cash.quarterly_panel(_output(spark, sf), ["power_generation"], "power_generation")
+
+
+def long_cash_daily(spark, sf):
+    return long_cash.daily_accounts(stage(growth_signals(spark, sf), "signals"), stage(d.nation_prices(spark, sf), "prices"),
+                                    d.nation_benchmark(spark, sf), _cash(spark, sf))
+
+
+query("R13_long_cash_daily", "SELECT * FROM lc", "weight gross_return asset_return benchmark_return cash_return commission strategy_value strategy_return buy_hold_return buy_hold_benchmark_return",
+      5, True, **LONG_CASH_VIEWS)(long_cash_daily)
+
+
+@query("R13_long_cash_summary", """SELECT l.*, CASE WHEN l.portfolio = 'long_cash_net' THEN f.commission_paid ELSE 0 END AS commission_paid FROM (
+  SELECT symbol, portfolio, (exp(sum(ln(1 + r))) - 1) * 100 AS total_return_pct, (pow(exp(sum(ln(1 + r))), 252 / greatest(count(*) - 1, 1)) - 1) * 100 AS annualised_return_pct,
+    stddev_pop(r) * sqrt(252) * 100 AS annualised_volatility_pct, min(level / peak - 1) * 100 AS max_drawdown_pct, min(date) AS start_date, max(date) AS end_date
+  FROM (SELECT *, max(level) OVER (PARTITION BY symbol, portfolio ORDER BY date) AS peak FROM (SELECT *, exp(sum(ln(1 + r)) OVER (PARTITION BY symbol, portfolio ORDER BY date)) AS level FROM (
+    SELECT symbol, date, 'long_cash_net' AS portfolio, strategy_return AS r FROM lc UNION ALL SELECT symbol, date, 'buy_hold_net', buy_hold_return FROM lc UNION ALL SELECT symbol, date, 'benchmark', buy_hold_benchmark_return FROM lc)))
+  GROUP BY 1, 2) l JOIN (SELECT symbol, sum(commission) AS commission_paid FROM lc GROUP BY 1) f USING (symbol)""", PERF + " commission_paid", 5, True, **LONG_CASH_VIEWS)
+def long_cash_summary(spark, sf):
+    return long_cash.summary(stage(long_cash_daily(spark, sf), "daily"))
+
+
+@query("R13_long_cash_events", """SELECT e.symbol, e.period_end, e.publication_date, e.entry_date, e.generation_yoy_pct, e.hold, e.signal, coalesce(r.holding_end, e.entry_date) AS holding_end,
+  coalesce(a, 0) AS asset_return_pct, coalesce(b, 0) AS benchmark_return_pct, CASE WHEN e.hold THEN coalesce(a, 0) ELSE coalesce(c, 0) END AS selected_return_pct, coalesce(a, 0) - coalesce(b, 0) AS excess_return_pct
+FROM (SELECT *, lead(entry_date) OVER (PARTITION BY symbol ORDER BY entry_date) AS nxt FROM ent) e
+LEFT JOIN LATERAL (SELECT max(date) AS holding_end, (exp(sum(ln(1 + asset_return))) - 1) * 100 AS a, (exp(sum(ln(1 + benchmark_return))) - 1) * 100 AS b, (exp(sum(ln(1 + cash_return))) - 1) * 100 AS c
+  FROM lc WHERE lc.symbol = e.symbol AND lc.date > e.entry_date AND (e.nxt IS NULL OR lc.date <= e.nxt)) r ON true""",
+       "generation_yoy_pct asset_return_pct benchmark_return_pct selected_return_pct excess_return_pct", 5, True, **LONG_CASH_VIEWS)
+def long_cash_events(spark, sf):
+    signals, prices = stage(growth_signals(spark, sf), "signals"), stage(d.nation_prices(spark, sf), "prices")
+    market_ = stage(d.nation_benchmark(spark, sf), "benchmark")
+    daily = long_cash.daily_accounts(signals, prices, market_, _cash(spark, sf))
+    return long_cash.events(signals, prices, market_, daily)
+
+
+@query("A18_joint_database_audit", """SELECT (SELECT count(DISTINCT symbol) FROM facts) AS securities,
+ (SELECT count(DISTINCT (symbol, period_end, publication_date, source_url)) FROM facts WHERE document_type = 'quarterly_report') AS quarterly_reports, (SELECT count(*) FROM facts) AS fundamental_observations,
+ (SELECT count(*) FROM facts WHERE metric = 'nav_per_unit') AS nav_observations, (SELECT count(DISTINCT symbol) FROM facts WHERE metric = 'nav_per_unit') AS nav_securities,
+ (SELECT count(*) FROM distr) AS distribution_events, (SELECT count(DISTINCT symbol) FROM distr) AS distribution_securities,
+ (SELECT count(*) FROM facts WHERE verification_status LIKE 'machine%') + (SELECT count(*) FROM distr WHERE verification_status LIKE 'machine%') AS machine_extracted_observations,
+ (SELECT count(*) FROM facts WHERE verification_status LIKE 'visual%') + (SELECT count(*) FROM distr WHERE verification_status LIKE 'visual%') AS visual_verified_observations,
+ CAST(0 AS BIGINT) AS human_verified_observations""")
+def joint_audit(spark, sf):
+    return valuation.joint_database_audit(d.fund_facts(spark, sf), d.distributions(spark, sf))
+
+
+@query("A19_periodic_reconciliation", """SELECT *, CASE WHEN absolute_difference > 0.0051 THEN 'needs_review' ELSE 'within_disclosure_precision' END AS reconciliation_status FROM (
+ SELECT *, abs(distributable_amount_quarter / fund_shares - distributable_amount_per_unit_quarter) AS absolute_difference, distributable_amount_quarter / fund_shares AS calculated_amount_per_unit FROM (
+  SELECT symbol, period_end, publication_date, source_url, max(value) FILTER (metric = 'fund_shares') AS fund_shares, max(value) FILTER (metric = 'distributable_amount_quarter') AS distributable_amount_quarter,
+   max(value) FILTER (metric = 'distributable_amount_per_unit_quarter') AS distributable_amount_per_unit_quarter FROM facts WHERE document_type = 'quarterly_report' GROUP BY ALL))""",
+       "fund_shares distributable_amount_quarter distributable_amount_per_unit_quarter calculated_amount_per_unit absolute_difference", 9)
+def reconciled(spark, sf):
+    rows = d.fund_facts(spark, sf).where("document_type = 'quarterly_report'")
+    return valuation.reconciliation(rows, "distributable_amount_quarter", "distributable_amount_per_unit_quarter",
+                                    ["symbol", "period_end", "publication_date", "source_url"])
+
+
+@query("A8_wide_facts", """SELECT symbol, period_end, max(value) FILTER (metric = 'fund_shares') AS fund_shares, max(value) FILTER (metric = 'nav_per_unit') AS nav_per_unit FROM facts GROUP BY ALL""", "fund_shares nav_per_unit")
+def wide(spark, sf):
+    return valuation.wide_facts(d.fund_facts(spark, sf), ["symbol", "period_end"], ["fund_shares", "nav_per_unit"])
+
+
+@query("A33_prospective_quarters", "SELECT count(DISTINCT period_end) AS prospective_quarters FROM signals WHERE period_end >= DATE '1999-03-31' AND CAST(decision_date AS TIMESTAMP) > TIMESTAMP '1999-06-30 12:00:00'", **pit.FEATURE_VIEWS)
+def prospective(spark, sf):
+    return valuation.prospective_quarters(pit.signals(spark, sf), "1999-06-30T12:00:00+08:00", "1999-03-31")
+
+
+@query("C8_arithmetic_identities", """SELECT 'per_unit_amount' AS rule, symbol || '|' || period_end AS key, '' AS detail FROM (SELECT symbol, period_end, max(value) FILTER (metric = 'fund_shares') AS s,
+ max(value) FILTER (metric = 'distributable_amount_quarter') AS a, max(value) FILTER (metric = 'distributable_amount_per_unit_quarter') AS u FROM facts GROUP BY ALL) WHERE abs(a / s - u) > 0.00003""")
+def identities(spark, sf):
+    rows = valuation.wide_facts(d.fund_facts(spark, sf), ["symbol", "period_end"],
+                                ["fund_shares", "distributable_amount_quarter", "distributable_amount_per_unit_quarter"])
+    gap = F.abs(F.col("distributable_amount_quarter") / F.col("fund_shares") - F.col("distributable_amount_per_unit_quarter"))
+    return checks.row_violations(rows, ["symbol", "period_end"], [checks.RowRule("per_unit_amount", gap <= 0.00003)])

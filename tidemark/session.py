@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SHARED_DIR_CONF = "spark.checkpoint.dir"
 
@@ -38,3 +39,17 @@ def shared_dir(spark: SparkSession) -> str:
     fresh = tempfile.mkdtemp(prefix="tidemark-")
     spark.conf.set(SHARED_DIR_CONF, fresh)
     return fresh
+
+
+def stage(df: DataFrame, label: str = "stage") -> DataFrame:
+    """Write a table many later steps read, and go on from the file.
+
+    Keeps plans short, survives lost executors, and gives the readers real sizes to
+    choose joins by. The folder goes when the application ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path)
