@@ -6,7 +6,7 @@ import importlib
 
 from tidemark.plans.registry import ORACLES, QUERIES
 
-MODULES = ["market", "point_in_time", "portfolios"]
+MODULES = ["market", "point_in_time", "portfolios", "disclosures"]
 
 
 def _load() -> None:

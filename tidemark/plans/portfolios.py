@@ -318,7 +318,7 @@ LONG_CASH_VIEWS = {
     "pan": "SELECT p.symbol, p.date, p.close, b.close AS bclose FROM nprices p JOIN nbench b USING (date)",
     "ent0": "SELECT s.*, (SELECT min(date) FROM pan WHERE pan.symbol = s.symbol AND pan.date > s.publication_date) AS entry_date FROM sig s",
     "ent": "SELECT * FROM ent0 e WHERE entry_date IS NOT NULL AND period_end = (SELECT max(period_end) FROM ent0 x WHERE x.symbol = e.symbol AND x.entry_date = e.entry_date)",
-    "cashd": "SELECT symbol, CAST(last_day(publication_date) - (dayofweek(last_day(publication_date)) + 2) % 7 AS DATE) AS date, sum(dpu_per_unit) / 1000 AS cash FROM distr GROUP BY 1, 2",
+    "cashd": "SELECT symbol, CAST(last_day(publication_date) - CAST((dayofweek(last_day(publication_date)) + 2) % 7 AS INTEGER) AS DATE) AS date, sum(dpu_per_unit) / 1000 AS cash FROM distr GROUP BY 1, 2",
     "dd0": """SELECT *, min(date) FILTER (h IS NOT NULL) OVER (PARTITION BY symbol) AS first_entry, coalesce(last_value(h IGNORE NULLS) OVER w, 0.0) AS weight,
         coalesce((close + coalesce(cash, 0)) / lag(close) OVER w - 1, 0) AS asset_return, coalesce(bclose / lag(bclose) OVER w - 1, 0) AS benchmark_return
         FROM (SELECT pan.*, CASE WHEN e.hold THEN 1.0::DOUBLE WHEN NOT e.hold THEN 0.0 END AS h, c.cash FROM pan LEFT JOIN ent e ON e.symbol = pan.symbol AND e.entry_date = pan.date
