@@ -158,7 +158,8 @@ def month_end_membership(listings: DataFrame, names: DataFrame, as_of: Column) -
     return (
         listings.where(F.last_day("listing_date") <= final)
         .join(snapshot, "symbol")
-        .withColumn("snapshot_date", F.last_day(F.explode(months)))
+        .withColumn("_month", F.explode(months))
+        .withColumn("snapshot_date", F.last_day("_month"))
         .select("snapshot_date", "symbol", "name", "exchange", "listing_date", "source_url", "verification_status",
                 F.lit("official_listing_date_reconstruction").alias("membership_method"))
     )

@@ -277,7 +277,7 @@ def compacted(spark, sf):
     return d.table(spark, sf, "documents").select("doc_id", text.compact(F.col("text")).alias("compact"))
 
 
-@query("P15_observation_ids", "SELECT o_orderkey, sha256(CAST(o_custkey AS VARCHAR) || chr(31) || CAST(CAST(cents / 100.0::DOUBLE AS DECIMAL(38,10)) AS VARCHAR) || chr(31) || '' || chr(31) || CAST(date AS VARCHAR)) AS observation_id FROM ord")
+@query("P15_observation_ids", "SELECT o_orderkey, sha256(CAST(o_custkey AS VARCHAR) || chr(31) || CAST(CAST(CAST(cents / 100.0::DOUBLE AS VARCHAR) AS DECIMAL(38,10)) AS VARCHAR) || chr(31) || '' || chr(31) || CAST(date AS VARCHAR)) AS observation_id FROM ord")
 def observation_ids(spark, sf):
     return d._orders(spark, sf).select("o_orderkey", ids.digest_id(
         F.col("o_custkey"), ids.canonical_number(F.col("cents") / 100.0), F.lit(None).cast("string"), F.col("date")).alias("observation_id"))
@@ -532,8 +532,8 @@ def readiness(spark, sf):
 
 _ident = "coalesce(dataset, '') || chr(31) || symbol || chr(31) || coalesce(CAST(period_end AS VARCHAR), '') || chr(31) || CAST(publication_date AS VARCHAR) || chr(31) || metric || chr(31) || value || chr(31) || unit || chr(31) || source_url"
 QUEUE_VIEWS = {
-    "qrows": """SELECT 'fund_facts' AS dataset, symbol, period_end, publication_date, metric, CAST(CAST(value AS DECIMAL(38,10)) AS VARCHAR) AS value, unit, source_url, source_sha256, verification_status FROM facts
-      UNION ALL SELECT 'distributions', symbol, CAST(NULL AS DATE), publication_date, 'distribution_per_unit', CAST(CAST(dpu_per_unit AS DECIMAL(38,10)) AS VARCHAR), 'RMB_per_unit', source_url, CAST(NULL AS VARCHAR), verification_status FROM distr""",
+    "qrows": """SELECT 'fund_facts' AS dataset, symbol, period_end, publication_date, metric, CAST(CAST(CAST(value AS VARCHAR) AS DECIMAL(38,10)) AS VARCHAR) AS value, unit, source_url, source_sha256, verification_status FROM facts
+      UNION ALL SELECT 'distributions', symbol, CAST(NULL AS DATE), publication_date, 'distribution_per_unit', CAST(CAST(CAST(dpu_per_unit AS VARCHAR) AS DECIMAL(38,10)) AS VARCHAR), 'RMB_per_unit', source_url, CAST(NULL AS VARCHAR), verification_status FROM distr""",
     "qids": f"SELECT sha256({_ident}) AS observation_id, dataset, symbol, period_end, publication_date, metric, value, unit, source_url, source_sha256, verification_status AS current_verification_status FROM qrows",
     "queue": """SELECT *, CASE WHEN right(symbol, 1) = '3' THEN 'confirmed' WHEN right(symbol, 1) = '4' THEN 'rejected' ELSE 'pending_independent_review' END AS review_status, CASE WHEN right(symbol, 1) IN ('3', '4') THEN 'reviewer' END AS reviewed_by,
       CASE WHEN right(symbol, 1) IN ('3', '4') THEN '2021-01-01 00:00:00' END AS reviewed_at, CASE WHEN right(symbol, 1) IN ('3', '4') THEN 'seen' END AS review_notes FROM qids""",

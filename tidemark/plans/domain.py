@@ -235,31 +235,26 @@ def _chinese(year: Column) -> Column:
     return F.translate(year.cast("string"), "0123456789", "〇一二三四五六七八九")
 
 
+# Title bodies by kind; marks in braces are filled per row.
+TITLE_BODIES = [
+    "{year}年第{quarter}季度报告", "{year}年年度报告", "{year}年中期报告", "关于收益分配的公告", "{year}年第{quarter}季度报告（更正）",
+    "{year}年年度报告摘要", "{expansion}", "关于变更名称的公告", "关于终止上市的公告", "{year}年半年度报告更正稿", "{written}年年度报告",
+    "基金经理变更公告", "{other}审计报告", "{year}年3季度报告", "持有人大会公告", "{year}年年度报告更正公告",
+]
+
+
 def _title(kind: Column, word: Column, symbol: Column, key: Column, lot: Column) -> Column:
-    year = F.col("_year").cast("string")
-    quarter = key % 4
-    by_kind = {
-        0: F.concat(year, F.lit("年第"), _pick(["一", "二", "三", "四"], quarter), F.lit("季度报告")),
-        1: F.concat(year, F.lit("年年度报告")),
-        2: F.concat(year, F.lit("年中期报告")),
-        3: F.lit("关于收益分配的公告"),
-        4: F.concat(year, F.lit("年第"), _pick(["一", "二", "三", "四"], quarter), F.lit("季度报告（更正）")),
-        5: F.concat(year, F.lit("年年度报告摘要")),
-        6: _pick(EXPANSION_TITLES, F.floor(key / 16) % 9),
-        7: F.lit("关于变更名称的公告"),
-        8: F.lit("关于终止上市的公告"),
-        9: F.concat(year, F.lit("年半年度报告更正稿")),
-        10: F.concat(_chinese(F.col("_year")), F.lit("年年度报告")),
-        11: F.lit("基金经理变更公告"),
-        12: F.concat(F.when(lot % 7 == 0, _pick(TITLE_WORDS, (lot + 1) % 12)).otherwise(F.lit("")), F.lit("审计报告")),
-        13: F.concat(year, F.lit("年3季度报告")),
-        14: F.lit("持有人大会公告"),
-        15: F.concat(year, F.lit("年年度报告更正公告")),
+    fill = {
+        "year": F.col("_year").cast("string"),
+        "written": _chinese(F.col("_year")),
+        "quarter": _pick(["一", "二", "三", "四"], key % 4),
+        "expansion": _pick(EXPANSION_TITLES, F.floor(key / 16) % 9),
+        "other": F.when(lot % 7 == 0, _pick(TITLE_WORDS, (lot + 1) % 12)).otherwise(F.lit("")),
     }
-    expr = None
-    for k, body in by_kind.items():
-        expr = F.when(kind == k, body) if expr is None else expr.when(kind == k, body)
-    return F.concat(symbol, word, F.lit("REIT"), expr)
+    body = _pick(TITLE_BODIES, kind)
+    for mark, value in fill.items():
+        body = F.replace(body, F.lit("{" + mark + "}"), value)
+    return F.concat(symbol, word, F.lit("REIT"), body)
 
 
 def announcements(spark, sf) -> DataFrame:
