@@ -36,9 +36,8 @@ def lattice_in_polygons(vertices: DataFrame, step: float = 0.01) -> DataFrame:
     # Between an odd crossing and the next, points with x_odd <= longitude < x_next have an odd number to their east.
     stretches = crossings.withColumn("n", F.row_number().over(order)).withColumn("x_next", F.lead("x").over(order)).where("n % 2 = 1")
     first, last = F.ceil(F.col("x") * scale), F.ceil(F.col("x_next") * scale) - 1
-    return stretches.where(first <= last).select(
-        "area_id", (F.col("row") / F.lit(float(scale))).alias("latitude"),
-        (F.explode(F.sequence(first, last)) / F.lit(float(scale))).alias("longitude"))
+    return stretches.where(first <= last).withColumn("column", F.explode(F.sequence(first, last))).select(
+        "area_id", (F.col("row") / F.lit(float(scale))).alias("latitude"), (F.col("column") / F.lit(float(scale))).alias("longitude"))
 
 
 def grid_weights(points: DataFrame, grid: float = 0.25) -> DataFrame:

@@ -8,6 +8,7 @@ from tidemark.functions import ids, keyword_rules, text
 from tidemark.operators import catalogue, checks, coverage, extraction, joins, merges, queues
 from tidemark.plans import domain as d
 from tidemark.plans.registry import query
+from tidemark.session import stage
 
 AS_OF = "2020-06-15"
 
@@ -181,6 +182,11 @@ def report_audit(spark, sf):
     return extraction.report_facts(texts(spark, sf).where("document_type <> 'distribution_announcement'"))
 
 
+def report_table(spark, sf):
+    """The audit as the table an extraction job leaves behind: later steps filter rows, not regular expressions."""
+    return stage(report_audit(spark, sf), "report_audit")
+
+
 _num = lambda e: f"TRY_CAST(replace({e}, ',', '') AS DOUBLE)"
 _first = lambda patterns: "coalesce(" + ", ".join(f"nullif(regexp_extract(c, '{p}', 1), '')" for p in patterns) + ")"
 FACT_VIEWS = {
@@ -211,6 +217,10 @@ def distribution_audit(spark, sf):
     return extraction.distribution_facts(texts(spark, sf).where("document_type = 'distribution_announcement'"))
 
 
+def distribution_table(spark, sf):
+    return stage(distribution_audit(spark, sf), "distribution_audit")
+
+
 _DATE = r"(20\d{2})\s*[年/\-.]\s*(\d{1,2})\s*[月/\-.]\s*(\d{1,2})\s*日?"
 _day = lambda e: f"TRY_CAST(regexp_extract({e}, '{_DATE}', 1) || '-' || lpad(regexp_extract({e}, '{_DATE}', 2), 2, '0') || '-' || lpad(regexp_extract({e}, '{_DATE}', 3), 2, '0') AS DATE)"
 DIST_VIEWS = {
@@ -300,11 +310,11 @@ MERGE_VIEWS = {
 
 
 def periodic(spark, sf):
-    return merges.periodic_observations(report_audit(spark, sf))
+    return merges.periodic_observations(report_table(spark, sf))
 
 
 def annual(spark, sf):
-    return merges.annual_observations(report_audit(spark, sf))
+    return merges.annual_observations(report_table(spark, sf))
 
 
 query("U9_periodic_observations", "SELECT * FROM periodic", "value", **MERGE_VIEWS)(periodic)
@@ -313,7 +323,8 @@ query("U10_annual_observations", "SELECT * FROM annual_", "value", **MERGE_VIEWS
 
 @query("U8_fact_panel", "SELECT * FROM panel", "value", **MERGE_VIEWS)
 def fact_panel(spark, sf):
-    return merges.fact_panel(periodic(spark, sf), annual(spark, sf))
+    audit = report_table(spark, sf)
+    return merges.fact_panel(merges.periodic_observations(audit), merges.annual_observations(audit))
 
 
 @query("U8_fact_panel_violations", """SELECT 'unique_key' AS rule, symbol || '|' || period_end || '|' || publication_date || '|' || metric AS key, CAST(count(*) AS VARCHAR) AS detail FROM panel GROUP BY symbol, period_end, publication_date, metric HAVING count(*) > 1
@@ -337,14 +348,14 @@ def share_changes(spark, sf):
 @query("U11_resolved_distributions", """SELECT announcement_id, symbol, publication_date, ex_date, dpu_per_unit, source_url FROM dist WHERE retrieval_status = 'success'
  QUALIFY row_number() OVER (PARTITION BY symbol, publication_date ORDER BY regexp_matches(title, '以此为准|更正') DESC, announcement_id DESC) = 1""", "dpu_per_unit", **DIST_VIEWS)
 def resolved(spark, sf):
-    rows = distribution_audit(spark, sf).where("retrieval_status = 'success'")
+    rows = distribution_table(spark, sf).where("retrieval_status = 'success'")
     return merges.resolved_distributions(rows).select("announcement_id", "symbol", "publication_date", "ex_date", "dpu_per_unit", "source_url")
 
 
 @query("U11_distribution_conflicts", """SELECT 'facts_agree_or_corrected' AS rule, symbol || '|' || publication_date AS key, '' AS detail FROM dist WHERE retrieval_status = 'success' GROUP BY symbol, publication_date
  HAVING count(DISTINCT (ex_date, dpu_per_unit)) > 1 AND count(*) FILTER (regexp_matches(title, '以此为准|更正')) = 0""", **DIST_VIEWS)
 def dist_conflicts(spark, sf):
-    return merges.distribution_conflicts(distribution_audit(spark, sf).where("retrieval_status = 'success'"))
+    return merges.distribution_conflicts(distribution_table(spark, sf).where("retrieval_status = 'success'"))
 
 
 OLD, NEW = "publication_date < DATE '2019-01-01'", "publication_date >= DATE '2018-06-01'"
@@ -415,7 +426,7 @@ def retried(spark, sf):
 
 @query("J13_pending_documents", "SELECT announcement_id FROM docs_typed t ANTI JOIN (SELECT * FROM facts_read WHERE retrieval_status = 'success') f USING (announcement_id)", **FACT_VIEWS)
 def pending(spark, sf):
-    return merges.pending_documents(texts(spark, sf).select("announcement_id"), report_audit(spark, sf))
+    return merges.pending_documents(texts(spark, sf).select("announcement_id"), report_table(spark, sf))
 
 
 @query("X3_symbols_still_to_fetch", "SELECT DISTINCT symbol FROM nprices WHERE CAST(symbol AS INTEGER) % 3 = 2")
@@ -504,7 +515,7 @@ def security_coverage(spark, sf):
  FROM cat c LEFT JOIN evidence e USING (symbol) LEFT JOIN facts_read f USING (announcement_id) WHERE c.document_type_candidate <> 'other'""", **FACT_VIEWS)
 def extraction_queue(spark, sf):
     used = cat(spark, sf).where("publication_date < date'2016-01-01'").select("source_url")
-    return coverage.extraction_queue(cat(spark, sf), evidence(spark, sf), used, report_audit(spark, sf))
+    return coverage.extraction_queue(cat(spark, sf), evidence(spark, sf), used, report_table(spark, sf))
 
 
 @query("A13_fundamental_readiness", f"""SELECT s.symbol, s.asset_type, s.classification_status, s.listing_status, s.listing_date, coalesce(fo, 0) AS fundamental_observations, ff AS fundamental_first_period, fl AS fundamental_last_period,
@@ -523,7 +534,7 @@ def readiness(spark, sf):
     securities = listings(spark, sf).select("symbol", "listing_date").join(
         evidence(spark, sf).select("symbol", "asset_type", "classification_status"), "symbol", "left").withColumn(
         "listing_status", F.when(F.col("listing_date") <= F.lit(AS_OF).cast("date"), "listed").otherwise("pre_listing_observed"))
-    paid = distribution_audit(spark, sf).where("retrieval_status = 'success'").withColumn("source_sha256", F.col("content_sha256"))
+    paid = distribution_table(spark, sf).where("retrieval_status = 'success'").withColumn("source_sha256", F.col("content_sha256"))
     days = d._orders(spark, sf).where("o_custkey % 2 = 0").select(d.fund_code(F.col("o_custkey")).alias("symbol"), "date").distinct()
     return coverage.fundamental_readiness(securities, fact_panel(spark, sf), paid, days)
 
