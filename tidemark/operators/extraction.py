@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as t
+from tidemark.functions.keyword_rules import contains_any
 
 # Number, share, net value and distributable amount layouts; the first that matches counts.
 NUMBER = r"([\d,]+(?:\.\d+)?)"
@@ -66,6 +67,18 @@ METRIC_WORDS = [
     ("distributable_amount", r"可供分配金额|distributable amount", r"亿元|万元|元|RMB"),
     ("distribution_per_unit", r"每份分派|每基金份额分派|distribution per unit|\bDPU\b", r"元/份|元|RMB"),
 ]
+# Plain text without which a metric's pattern cannot match, in small letters; a quick test before the pattern is run.
+METRIC_LITERALS = {
+    "occupancy": ["出租率", "occupancy"], "rentable_area": ["面积", "rentable area"], "leased_area": ["面积", "leased area"],
+    "average_rent": ["租金", "average rent"], "rent_collection_rate": ["租金收缴率", "rent collection rate"],
+    "tenant_concentration": ["租户", "tenant concentration"], "traffic_volume": ["车流量", "traffic volume"],
+    "passenger_vehicle_traffic": ["客车", "passenger vehicle traffic"], "freight_vehicle_traffic": ["货车", "freight vehicle traffic"],
+    "toll_revenue": ["通行费收入", "toll revenue"], "power_generation": ["发电量", "power generation"],
+    "utilization_hours": ["小时", "ation hours"], "settled_electricity": ["结算电量", "settled electricity"],
+    "settlement_tariff": ["结算", "settlement tariff"], "revenue": ["营业收入", "revenue"], "noi": ["运营净收益", "noi"],
+    "distributable_amount": ["可供分配金额", "distributable amount"],
+    "distribution_per_unit": ["分派", "distribution per unit", "dpu"],
+}
 METRIC_GAP = r"[^。；;\n]{0,28}?"
 METRIC_NUMBER = r"(-?\d[\d,]*(?:\.\d+)?)"
 
@@ -74,9 +87,11 @@ def metric_candidates(texts: DataFrame, keys: list[str]) -> DataFrame:
     """Every match of every metric pattern in the whole text: metric, value, unit and the words around."""
     def found(metric: str, words: str, units: str) -> Column:
         regex = f"(?iu)((?:{words}){METRIC_GAP}{METRIC_NUMBER}\\s*({units}))"
+        possible = contains_any(F.col("_folded"), METRIC_LITERALS[metric])
+        raws = F.when(possible, F.regexp_extract_all("text", F.lit(regex), 1)).otherwise(F.array().cast("array<string>"))
         # The matched piece alone is read again for its groups; it matches from its start.
         return F.transform(
-            F.regexp_extract_all("text", F.lit(regex), 1),
+            raws,
             lambda raw: F.struct(
                 F.lit(metric).alias("metric"),
                 t.number(F.regexp_extract(raw, regex, 2)).alias("value"),
@@ -85,8 +100,10 @@ def metric_candidates(texts: DataFrame, keys: list[str]) -> DataFrame:
             ),
         )
 
+    # Upper then lower case brings letters together that match each other without regard to case.
+    folded = texts.withColumn("_folded", F.lower(F.upper("text")))
     every = F.concat(*[found(*m) for m in METRIC_WORDS])
-    return texts.select(*keys, F.explode(every).alias("_m")).select(*keys, "_m.*")
+    return folded.select(*keys, F.explode(every).alias("_m")).select(*keys, "_m.*")
 
 
 def _book_nav(compact: Column, period_end: Column) -> Column:

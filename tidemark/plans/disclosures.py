@@ -118,8 +118,9 @@ def overridden(spark, sf):
         "symbol", "name", "candidate_asset_type", "classification_status", "record_status", "override_source_url")
 
 
-def evidence(spark, sf):
-    return catalogue.asset_type_evidence(cat(spark, sf), overrides(spark, sf).join(cat(spark, sf).select("symbol").distinct(), "symbol", "left_semi"))
+def evidence(spark, sf, rows=None):
+    rows = rows or cat(spark, sf)
+    return catalogue.asset_type_evidence(rows, overrides(spark, sf).join(rows.select("symbol").distinct(), "symbol", "left_semi"))
 
 
 query("R18_asset_type_evidence", "SELECT * FROM evidence", **VIEWS)(evidence)
@@ -138,8 +139,8 @@ def fund_events(spark, sf):
 query("P8_fund_events", "SELECT * FROM events_", **VIEWS)(fund_events)
 
 
-def listings(spark, sf):
-    return catalogue.listing_records(cat(spark, sf))
+def listings(spark, sf, rows=None):
+    return catalogue.listing_records(rows or cat(spark, sf))
 
 
 query("R19_listing_records", "SELECT * FROM listed", **VIEWS)(listings)
@@ -165,26 +166,27 @@ def start(spark, sf):
  CAST(NULL AS VARCHAR) AS supersedes_document_id, CAST(NULL AS VARCHAR) AS content_sha256, 'catalog_v1' AS parser_version, title AS notes, 'pending' AS retrieval_status
  FROM cat WHERE document_type_candidate NOT IN ('other', 'distribution_announcement') AND symbol IN (SELECT symbol FROM listed)""", **VIEWS)
 def registry(spark, sf):
-    return catalogue.document_registry(cat(spark, sf), listings(spark, sf))
+    rows = cat(spark, sf)
+    return catalogue.document_registry(rows, listings(spark, sf, rows))
 
 
 # --- facts from texts ---------------------------------------------------------------------------------
 
 
-def texts(spark, sf):
-    kinds = cat(spark, sf).where("document_type_candidate <> 'other'").select(
+def texts(spark, sf, rows=None):
+    kinds = (rows or cat(spark, sf)).where("document_type_candidate <> 'other'").select(
         "announcement_id", "title", "period_end_candidate", text.base_document_type(F.col("document_type_candidate")).alias("document_type"),
         text.is_corrected(F.col("document_type_candidate")).alias("is_corrected"))
     return d.document_texts(spark, sf).join(kinds, "announcement_id").withColumn("content_sha256", F.sha2("text", 256))
 
 
-def report_audit(spark, sf):
-    return extraction.report_facts(texts(spark, sf).where("document_type <> 'distribution_announcement'"))
+def report_audit(spark, sf, rows=None):
+    return extraction.report_facts(texts(spark, sf, rows).where("document_type <> 'distribution_announcement'"))
 
 
-def report_table(spark, sf):
+def report_table(spark, sf, rows=None):
     """The audit as the table an extraction job leaves behind: later steps filter rows, not regular expressions."""
-    return stage(report_audit(spark, sf), "report_audit")
+    return stage(report_audit(spark, sf, rows), "report_audit")
 
 
 _num = lambda e: f"TRY_CAST(replace({e}, ',', '') AS DOUBLE)"
@@ -506,7 +508,8 @@ def issue_summary(spark, sf):
    count(*) FILTER (b = 'distribution_announcement') AS distribution_announcement_count, min(publication_date) AS first_announcement_date, max(publication_date) AS latest_announcement_date
    FROM (SELECT *, replace(document_type_candidate, '_corrected', '') AS b FROM cat) GROUP BY 1) c LEFT JOIN evidence e USING (symbol) LEFT JOIN listed l USING (symbol)""", **VIEWS)
 def security_coverage(spark, sf):
-    return coverage.security_document_coverage(cat(spark, sf), evidence(spark, sf), listings(spark, sf), F.lit(AS_OF).cast("date"))
+    rows = cat(spark, sf)
+    return coverage.security_document_coverage(rows, evidence(spark, sf, rows), listings(spark, sf, rows), F.lit(AS_OF).cast("date"))
 
 
 @query("R21_extraction_queue", """SELECT c.announcement_id, c.symbol, c.publication_date, c.period_end_candidate, replace(c.document_type_candidate, '_corrected', '') AS document_type, suffix(c.document_type_candidate, '_corrected') AS is_corrected,
@@ -514,8 +517,9 @@ def security_coverage(spark, sf):
  WHEN f.retrieval_status = 'success' THEN 'machine_extracted_document' WHEN f.retrieval_status IS NOT NULL THEN 'fetch_or_parse_failed' ELSE 'pending_extraction' END AS extraction_status
  FROM cat c LEFT JOIN evidence e USING (symbol) LEFT JOIN facts_read f USING (announcement_id) WHERE c.document_type_candidate <> 'other'""", **FACT_VIEWS)
 def extraction_queue(spark, sf):
-    used = cat(spark, sf).where("publication_date < date'2016-01-01'").select("source_url")
-    return coverage.extraction_queue(cat(spark, sf), evidence(spark, sf), used, report_table(spark, sf))
+    rows = cat(spark, sf)
+    used = rows.where("publication_date < date'2016-01-01'").select("source_url")
+    return coverage.extraction_queue(rows, evidence(spark, sf, rows), used, report_table(spark, sf, rows))
 
 
 @query("A13_fundamental_readiness", f"""SELECT s.symbol, s.asset_type, s.classification_status, s.listing_status, s.listing_date, coalesce(fo, 0) AS fundamental_observations, ff AS fundamental_first_period, fl AS fundamental_last_period,

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import periods, text
+from tidemark.session import spread, stage
 
 # Words put into made-up fund names and titles.
 TITLE_WORDS = ["数据中心", "租赁住房", "高速公路", "仓储物流", "产业园", "消费", "水务", "供热", "生物质", "清洁能源",
@@ -291,75 +292,77 @@ def announcements(spark, sf) -> DataFrame:
 
 
 def catalogue(spark, sf) -> DataFrame:
-    """Announcements with document type and period read from the title."""
+    """Announcements with document type and period read from the title.
+
+    The announcements are written first, as a catalogue is a kept table: filters on
+    the document type then test a stored title instead of building it again.
+    """
     from tidemark.operators import catalogue as c
 
-    return c.reclassify(announcements(spark, sf))
+    return c.reclassify(stage(announcements(spark, sf), "announcements"))
 
 
 def _four_decimals(units: Column) -> Column:
     return F.concat(F.floor(units / 10000).cast("string"), F.lit("."), F.lpad((units % 10000).cast("string"), 4, "0"))
 
 
+# Report layouts; marks in braces are filled per row.
+SHARE_LAYOUTS = [
+    "报告期末基金份额总额 {shares} 份", "报告期末基金份额总额（单位：份） {shares}", "报告期期末基金份额总额 {shares}",
+    "报告截止日 {year} 年 12 月 31 日 ，基金份额总额为 {shares} 份", "份额未披露",
+]
+_HEADER = " 3.3.1 本报告期的可供分配金额 项目 金额 "
+_PLAIN = _HEADER + "本期 {amount} {unit} 3.3.2 其他"
+AMOUNT_LAYOUTS = [
+    _PLAIN, _HEADER + "本期 {amount} - {unit} 3.3.2 其他", _HEADER + "无" * 1600 + _HEADER + "本期 -{amount} -{unit} 3.3.2 其他",
+    _PLAIN, _PLAIN, " 可供分配金额未披露",
+]
+NAV_LAYOUTS = [
+    " 期末不动产基金份额净 值 {nav}", " 期末基金份额净值 {nav}", " 期末基金份额净 {nav} 1.2 3.4 值",
+    " 报告截止日：{year} 年 12 月 31 日，基金份额净值为人民币 {nav} 元",
+]
+_SCHEME = " 本次公募REITs分红方案（单位：元/10 份） {dpu} 注：数值四舍五入 除息日 "
+_PAY = " 现金红利发放日 {pay} 分红对象"
+DIVIDEND_LAYOUTS = [
+    _SCHEME + "场内：{ex} 场外：{off}" + _PAY, _SCHEME + "{exdash}（场内） {offdash}（场外）" + _PAY,
+    _SCHEME + "日期（场 日期（场 {off} {ex} 内）外）" + _PAY, _SCHEME + "日期 {ex}" + _PAY,
+    _SCHEME + "场内{ex}" + _PAY, _SCHEME + "场内{ex}" + _PAY, " 本次分红方案见附件 除息日",
+]
+OPERATIONS_LAYOUT = (
+    " 出租率为 {occupied}.5%；日均自然车流量 {traffic} 辆次，客车车流量 {cars} 辆。货车日均自然车流量约 {lorries} 辆/日；通行费收入 {amount} 元；"
+    "Revenue was {amount} RMB; 结算电价 0.{tariff} 元/千瓦时\n"
+)
+
+
 def document_texts(spark, sf) -> DataFrame:
     """Report text per order: whole prose of the matching document, then shares, amounts, net value and a dividend."""
     key = F.col("o_orderkey")
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("o_orderkey"), F.col("text").alias("prose"))
     shares = 100000000 + key * 1000
-    s = F.format_number(shares, 0)
-    amount = F.concat(F.format_number(F.floor(F.col("cents") / 100), 0), F.lit("."), F.lpad((F.col("cents") % 100).cast("string"), 2, "0"))
-    per_unit = _four_decimals(F.floor(F.col("cents") * 100 / shares))
-    nav = _four_decimals(10000 + key % 90000)
-    year = (F.year(F.add_months("date", 240)) - 1).cast("string")
-    ex = F.date_add(F.add_months("date", 240), (1 + key % 9).cast("int"))
-    cn = lambda d: F.concat(F.year(d).cast("string"), F.lit("年"), F.month(d).cast("string"), F.lit("月"), F.dayofmonth(d).cast("string"), F.lit("日"))
-    dash = lambda d: F.date_format(d, "yyyy-MM-dd")
-    share_part = (
-        F.when(key % 5 == 0, F.concat(F.lit("报告期末基金份额总额 "), s, F.lit(" 份")))
-        .when(key % 5 == 1, F.concat(F.lit("报告期末基金份额总额（单位：份） "), s))
-        .when(key % 5 == 2, F.concat(F.lit("报告期期末基金份额总额 "), s))
-        .when(key % 5 == 3, F.concat(F.lit("报告截止日 "), year, F.lit(" 年 12 月 31 日 ，基金份额总额为 "), s, F.lit(" 份")))
-        .otherwise(F.lit("份额未披露"))
-    )
-    header = F.lit(" 3.3.1 本报告期的可供分配金额 项目 金额 ")
-    section = (
-        F.when(key % 6 == 1, F.concat(header, F.lit("本期 "), amount, F.lit(" - "), per_unit, F.lit(" 3.3.2 其他")))
-        .when(key % 6 == 2, F.concat(header, F.repeat(F.lit("无"), 1600), header, F.lit("本期 -"), amount, F.lit(" -"), per_unit, F.lit(" 3.3.2 其他")))
-        .when(key % 6 == 5, F.lit(" 可供分配金额未披露"))
-        .otherwise(F.concat(header, F.lit("本期 "), amount, F.lit(" "), per_unit, F.lit(" 3.3.2 其他")))
-    )
-    nav_part = (
-        F.when(key % 4 == 0, F.concat(F.lit(" 期末不动产基金份额净 值 "), nav))
-        .when(key % 4 == 1, F.concat(F.lit(" 期末基金份额净值 "), nav))
-        .when(key % 4 == 2, F.concat(F.lit(" 期末基金份额净 "), nav, F.lit(" 1.2 3.4 值")))
-        .otherwise(F.concat(F.lit(" 报告截止日："), year, F.lit(" 年 12 月 31 日，基金份额净值为人民币 "), nav, F.lit(" 元")))
-    )
-    dpu = _four_decimals(F.col("cents") % 90000 + 1)
-    dividend = (
-        F.when(key % 7 == 6, F.lit(" 本次分红方案见附件 除息日"))
-        .otherwise(F.concat(
-            F.lit(" 本次公募REITs分红方案（单位：元/10 份） "), dpu, F.lit(" 注：数值四舍五入 除息日 "),
-            F.when(key % 7 == 0, F.concat(F.lit("场内："), cn(ex), F.lit(" 场外："), cn(F.date_sub(ex, 1))))
-            .when(key % 7 == 1, F.concat(dash(ex), F.lit("（场内） "), dash(F.date_sub(ex, 1)), F.lit("（场外）")))
-            .when(key % 7 == 2, F.concat(F.lit("日期（场 日期（场 "), cn(F.date_sub(ex, 1)), F.lit(" "), cn(ex), F.lit(" 内）外）")))
-            .when(key % 7 == 3, F.concat(F.lit("日期 "), cn(ex)))
-            .otherwise(F.concat(F.lit("场内"), cn(ex))),
-            F.lit(" 现金红利发放日 "), cn(F.date_add(ex, 3)), F.lit(" 分红对象"),
-        ))
-    )
-    operations = F.concat(
-        F.lit(" 出租率为 "), (key % 100).cast("string"), F.lit(".5%；日均自然车流量 "), (key % 9000 + 10).cast("string"),
-        F.lit(" 辆次，客车车流量 "), (key % 700 + 1).cast("string"), F.lit(" 辆。货车日均自然车流量约 "), (key % 300 + 1).cast("string"),
-        F.lit(" 辆/日；通行费收入 "), amount, F.lit(" 元；Revenue was "), amount, F.lit(" RMB; 结算电价 0."), (key % 9 + 1).cast("string"),
-        F.lit(" 元/千瓦时\n"),
+    published = F.add_months("date", 240)
+    ex = F.date_add(published, (1 + key % 9).cast("int"))
+    written = lambda day: F.concat(F.year(day), F.lit("年"), F.month(day), F.lit("月"), F.dayofmonth(day), F.lit("日"))
+    fill = {
+        "shares": F.format_number(shares, 0),
+        "amount": F.concat(F.format_number(F.floor(F.col("cents") / 100), 0), F.lit("."), F.lpad((F.col("cents") % 100).cast("string"), 2, "0")),
+        "unit": _four_decimals(F.floor(F.col("cents") * 100 / shares)), "nav": _four_decimals(10000 + key % 90000),
+        "dpu": _four_decimals(F.col("cents") % 90000 + 1), "year": (F.year(published) - 1).cast("string"),
+        "exdash": F.date_format(ex, "yyyy-MM-dd"), "offdash": F.date_format(F.date_sub(ex, 1), "yyyy-MM-dd"),
+        "ex": written(ex), "off": written(F.date_sub(ex, 1)), "pay": written(F.date_add(ex, 3)),
+        "occupied": (key % 100).cast("string"), "traffic": (key % 9000 + 10).cast("string"), "cars": (key % 700 + 1).cast("string"),
+        "lorries": (key % 300 + 1).cast("string"), "tariff": (key % 9 + 1).cast("string"),
+    }
+    body = F.concat(
+        F.lit("\n"), _pick(SHARE_LAYOUTS, key % 5), F.lit("\n"), _pick(AMOUNT_LAYOUTS, key % 6), _pick(NAV_LAYOUTS, key % 4),
+        _pick(DIVIDEND_LAYOUTS, key % 7), F.lit(OPERATIONS_LAYOUT),
     )
-    rows = _orders(spark, sf).join(docs, "o_orderkey", "left")
+    for mark, value in fill.items():
+        body = F.replace(body, F.lit("{" + mark + "}"), value)
+    number = F.concat(F.lit("N"), F.lpad(key.cast("string"), 12, "0"))
+    rows = spread(_orders(spark, sf)).join(docs, "o_orderkey", "left")
     return rows.select(
-        F.concat(F.lit("N"), F.lpad(key.cast("string"), 12, "0")).alias("announcement_id"),
-        fund_code(F.col("o_custkey")).alias("symbol"),
-        F.add_months("date", 240).alias("publication_date"),
-        F.concat(F.lit("https://exchange.example/N"), F.lpad(key.cast("string"), 12, "0")).alias("source_url"),
-        F.concat(F.coalesce("prose", F.lit("")), F.lit("\n"), share_part, F.lit("\n"), section, nav_part, dividend, operations).alias("text"),
+        number.alias("announcement_id"), fund_code(F.col("o_custkey")).alias("symbol"), published.alias("publication_date"),
+        F.concat(F.lit("https://exchange.example/"), number).alias("source_url"), F.concat(F.coalesce("prose", F.lit("")), body).alias("text"),
     )
 
 
