@@ -255,3 +255,41 @@ def strict_quarterly_facts(texts: DataFrame) -> DataFrame:
     complete = (F.col("fund_shares").isNotNull() & F.col("distributable_amount_quarter").isNotNull()
                 & F.col("distributable_amount_per_unit_quarter").isNotNull())
     return read.withColumn("status", F.when(complete, "extracted").otherwise("excluded"))
+
+
+# Strict layouts of the yearly net value and of dividend notices.
+STRICT_NAV = [
+    r"报告截止日\s*\d{4}\s*年.*?基金份额净值(?:人民币)?\s*([\d.]+)\s*元",
+    r"期末(?:不动产)?基金份额净\s*值\s*([\d.]+)",
+    r"期末基金份额净\s+([\d.]+)\s+[\d.]+\s+[\d.]+\s+值",
+]
+STRICT_SCHEME = r"(?i)本次(?:公募\s*REITs\s*)?分红方案.{0,100}?([0-9]+\.\d+)"
+STRICT_EX_SECTION = r"除息日(.{0,180}?)(?:现金红利发放日|分红对象)"
+STRICT_DATE = r"(\d{4})\s*年\s*(\d{1,2})\s*月\s*(\d{1,2})\s*日"
+
+
+def strict_annual_nav(texts: DataFrame) -> DataFrame:
+    """Net value per unit as the yearly report states it; none is worked out from other figures."""
+    value = t.number(t.first_group(F.col("_c"), STRICT_NAV))
+    return texts.withColumn("_c", t.compact(F.col("text"))).select(
+        *[c for c in texts.columns if c != "text"], value.alias("nav_per_unit")
+    ).withColumn("status", F.when(F.col("nav_per_unit").isNotNull(), "extracted").otherwise("excluded"))
+
+
+def strict_distributions(texts: DataFrame) -> DataFrame:
+    """Amount and ex-date in one pass: the on-exchange date, else the first date of the table. Unread notices are excluded rows."""
+    section = F.col("_x")
+    day = lambda e: F.try_to_date(F.regexp_replace(e, f"^.*?{STRICT_DATE}.*$", "$1-$2-$3"), "yyyy-M-d")
+    marked = F.coalesce(
+        t.group_or_null(section, f"(场内[：:]?\\s*{STRICT_DATE})"), t.group_or_null(section, f"({STRICT_DATE}\\s*[（(]场\\s*内)"),
+        t.group_or_null(section, f"({STRICT_DATE})"))
+    read = (
+        texts.withColumn("_c", t.compact(F.col("text")))
+        .withColumn("disclosed_rmb_per_10_units", t.number(t.group_or_null(F.col("_c"), STRICT_SCHEME)))
+        .withColumn("_x", t.group_or_null(F.col("_c"), STRICT_EX_SECTION))
+        .withColumn("ex_date", day(marked))
+    )
+    found = F.col("disclosed_rmb_per_10_units").isNotNull() & section.isNotNull()
+    return read.select(
+        *[c for c in texts.columns if c != "text"], "ex_date", (F.col("disclosed_rmb_per_10_units") / 10).alias("dpu_per_unit"),
+        "disclosed_rmb_per_10_units", F.when(found, "extracted").otherwise("excluded").alias("status"))

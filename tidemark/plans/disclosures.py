@@ -274,6 +274,26 @@ def strict(spark, sf):
     return extraction.strict_quarterly_facts(rows)
 
 
+@query("P14_strict_annual_nav", f"""SELECT *, CASE WHEN nav_per_unit IS NULL THEN 'excluded' ELSE 'extracted' END AS status FROM (SELECT announcement_id, {_num(_first(extraction.STRICT_NAV))} AS nav_per_unit FROM docs_typed WHERE document_type = 'annual_report')""",
+       "nav_per_unit", **VIEWS)
+def strict_nav(spark, sf):
+    rows = texts(spark, sf).where("document_type = 'annual_report'").select("announcement_id", "text")
+    return extraction.strict_annual_nav(rows)
+
+
+_SD = extraction.STRICT_DATE
+_sday = lambda e: f"TRY_CAST(regexp_extract({e}, '{_SD}', 1) || '-' || lpad(regexp_extract({e}, '{_SD}', 2), 2, '0') || '-' || lpad(regexp_extract({e}, '{_SD}', 3), 2, '0') AS DATE)"
+
+
+@query("P14_strict_distributions", f"""SELECT announcement_id, {_sday('m')} AS ex_date, ten / 10 AS dpu_per_unit, ten AS disclosed_rmb_per_10_units, CASE WHEN ten IS NOT NULL AND x IS NOT NULL THEN 'extracted' ELSE 'excluded' END AS status FROM (
+ SELECT *, coalesce(nullif(regexp_extract(x, '(场内[：:]?\\s*{_SD})', 1), ''), nullif(regexp_extract(x, '({_SD}\\s*[（(]场\\s*内)', 1), ''), nullif(regexp_extract(x, '({_SD})', 1), '')) AS m FROM (
+  SELECT announcement_id, {_num(f"nullif(regexp_extract(c, '{extraction.STRICT_SCHEME}', 1), '')")} AS ten, nullif(regexp_extract(c, '{extraction.STRICT_EX_SECTION}', 1), '') AS x FROM docs_typed WHERE document_type = 'distribution_announcement'))""",
+       "dpu_per_unit disclosed_rmb_per_10_units", **VIEWS)
+def strict_paid(spark, sf):
+    rows = texts(spark, sf).where("document_type = 'distribution_announcement'").select("announcement_id", "text")
+    return extraction.strict_distributions(rows)
+
+
 @query("J20_unique_catalogue_match", """SELECT t.announcement_id, coalesce(n, 0) AS matches, CASE WHEN n = 1 THEN one END AS catalogue_id FROM docs_typed t
  LEFT JOIN (SELECT symbol, period_end_candidate, replace(document_type_candidate, '_corrected', '') AS document_type, count(*) AS n, min(announcement_id) AS one FROM cat GROUP BY ALL) x
  ON x.symbol = t.symbol AND x.period_end_candidate = t.period_end_candidate AND x.document_type = t.document_type WHERE t.document_type = 'quarterly_report'""", **VIEWS)
