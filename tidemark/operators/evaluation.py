@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -187,23 +187,30 @@ class FactorInputs:
         start = calendar.agg(F.min("date")).scalar()
         dated = self.signals.where(F.col("date") >= start).withColumnRenamed("date", "signal_date")
         self.dated = stage(calendars.next_session(dated, calendar, "signal_date"), "dated")
-        first = self.dated.agg(F.min("entry_date")).scalar()
-        ever = self.dated.select("symbol").distinct()
-        self.filled = stage(
-            calendars.carry_forward(prices.join(ever, "symbol", "left_semi"), calendar).where(F.col("date") >= first), "filled"
-        )
-        self.sessions = calendar.where(F.col("date") >= first)
-        priced = self.filled.select("symbol", F.col("date").alias("entry_date"))
+        self.first = self.dated.agg(F.min("entry_date")).scalar()
+        self.calendar = calendar
+        self.prices = prices.join(self.dated.select("symbol").distinct(), "symbol", "left_semi")
+        self.sessions = calendar.where(F.col("date") >= self.first)
+        # A close is known on the entry date exactly when the symbol's first bar on the calendar is not later.
+        opened = self.prices.join(calendar, "date", "left_semi").groupBy("symbol").agg(F.min("date").alias("_first_bar"))
         event = Window.partitionBy("entry_date")
         # Two signal dates on one entry date: the later one holds.
         latest = self.dated.groupBy("entry_date").agg(F.max("signal_date").alias("signal_date"))
         self.tradable = (
             self.dated.join(latest, ["entry_date", "signal_date"], "left_semi")
-            .join(priced, ["symbol", "entry_date"], "left_semi")
+            .join(opened, "symbol")
+            .where(F.col("_first_bar") <= F.col("entry_date"))
+            .drop("_first_bar")
             .withColumn("universe", F.count(F.lit(1)).over(event))
             .where(F.col("universe") >= MINIMUM_TRADABLE)
         )
 
+    @cached_property
+    def filled(self) -> DataFrame:
+        """Closes carried forward over the sessions from the first entry on."""
+        full = calendars.carry_forward(self.prices, self.calendar).where(F.col("date") >= self.first)
+        return stage(full.select("symbol", "date", "close"), "filled")
+
 
 ALL_FACTORS = [*factors.FACTORS, factors.COMPOSITE]
 

@@ -137,10 +137,11 @@ def simulate(targets: DataFrame, closes: DataFrame, sessions: DataFrame, cases:
     )
     price = closes.select("symbol", "date", "close")
     worth = F.col("weight") * F.col("close") / F.col("_open")
+    # Joined by symbol alone and summed on the spot: holdings and prices are shuffled once each, and the rows per
+    # portfolio, symbol and day in between never are. A symbol's side is bounded by the calendar and the events.
     invested = (
-        days.select("portfolio", "k", "date")
-        .join(opened, ["portfolio", "k"])
-        .join(price, ["symbol", "date"])
+        opened.join(price, "symbol")
+        .where(F.col("date").between(F.col("entry_date"), F.col("finish")))
         .groupBy("portfolio", "k", "date")
         .agg(F.sum(worth).alias("invested"), F.sum("weight").alias("weight"))
     )

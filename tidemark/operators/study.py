@@ -16,9 +16,9 @@ def announcement_event_study(
     """Return and excess return per announcement and horizon, on the symbol's own days shared with the benchmark."""
     if not horizons or min(horizons) < 1:
         raise ValueError("horizons are positive numbers of sessions")
-    panel = calendars.numbered_sessions(
+    panel = stage(calendars.numbered_sessions(
         calendars.aligned_pair(prices.select("symbol", "date", "close"), benchmark), ["symbol"]
-    )
+    ), "panel")
     events = features.where("operating_surprise_pct is not null").select(
         "symbol", "asset_type", "period_end", "publication_date", "operating_surprise_pct"
     )

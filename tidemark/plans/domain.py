@@ -130,9 +130,14 @@ def _measures():
     return [("quantity", F.col("qty")), ("revenue", F.col("cents")), ("discount_value", F.col("cents") * F.col("pct"))]
 
 
-def registry(spark, sf) -> DataFrame:
+def kept_observations(spark, sf) -> DataFrame:
+    """Observations written once, so that several readers do not scan the lines again."""
+    return stage(observations(spark, sf), "observations")
+
+
+def registry(spark, sf, rows: DataFrame | None = None) -> DataFrame:
     """Document registry behind the observations; a revision names the first report it replaces."""
-    seen = observations(spark, sf).select("symbol", "period_end", "publication_date").distinct()
+    seen = (rows or observations(spark, sf)).select("symbol", "period_end", "publication_date").distinct()
     first = F.min("publication_date").over(_by("symbol", "period_end"))
     odd = F.quarter("period_end") % 2 == 1
     revision = F.col("publication_date") == F.date_add("period_end", 180)

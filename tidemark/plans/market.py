@@ -10,6 +10,7 @@ from tidemark.operators import calendars, checks, evaluation, factors, portfolio
 from tidemark.plans import domain as d
 from tidemark.plans.oracle_views import avg_rank, corr, friday, pct_rank
 from tidemark.plans.registry import query
+from tidemark.session import stage
 
 PANEL = """
 SELECT *, CASE WHEN average_turnover_20d > 0 THEN ln(average_turnover_20d) END AS liquidity_20d,
@@ -57,8 +58,13 @@ def panel(spark, sf):
     return factors.factor_panel(d.prices(spark, sf))
 
 
+def kept_panel(spark, sf):
+    """Factors over bars written once: signals read the bars twice, the lines are scanned once."""
+    return factors.factor_panel(stage(d.prices(spark, sf), "prices"))
+
+
 def monthly(spark, sf):
-    return factors.market_signals(panel(spark, sf), "monthly", minimum_turnover=FLOOR)
+    return factors.market_signals(kept_panel(spark, sf), "monthly", minimum_turnover=FLOOR)
 
 
 query("R4_factor_panel", "SELECT * FROM panel", PANEL_DOUBLES, **SIGNAL_VIEWS)(panel)
@@ -67,7 +73,7 @@ query("R5_monthly_market_signals", "SELECT * FROM msignals", SIGNAL_DOUBLES, **S
 
 @query("R5_weekly_market_signals", "SELECT * FROM wsignals", SIGNAL_DOUBLES, **SIGNAL_VIEWS)
 def weekly(spark, sf):
-    return factors.market_signals(panel(spark, sf), "weekly", minimum_turnover=FLOOR)
+    return factors.market_signals(kept_panel(spark, sf), "weekly", minimum_turnover=FLOOR)
 
 
 @query("T6_period_end_sessions", f"SELECT {friday('date')} AS rebalance_period, max(date) AS date FROM prices GROUP BY 1")

@@ -61,11 +61,13 @@ SIGNAL_DOUBLES = FEATURE_DOUBLES + " signal_rank_pct"
 
 
 def versions(spark, sf):
-    return v.observation_versions(d.observations(spark, sf), d.registry(spark, sf))
+    rows = d.kept_observations(spark, sf)
+    return v.observation_versions(rows, d.registry(spark, sf, rows))
 
 
 def pit_features(spark, sf):
-    return features.point_in_time_features(d.observations(spark, sf), d.registry(spark, sf), d.definitions(spark, sf))
+    rows = d.kept_observations(spark, sf)
+    return features.point_in_time_features(rows, d.registry(spark, sf, rows), d.definitions(spark, sf))
 
 
 def signals(spark, sf, top_n=2):
