@@ -293,9 +293,9 @@ def _factor_summary(run: FactorInputs, fraction: float, cases: list[dict] | None
     )
 
 
-def factor_grid(signals: DataFrame, prices: DataFrame, benchmark: DataFrame) -> DataFrame:
+def factor_grid(signals: DataFrame, prices: DataFrame, benchmark: DataFrame, capital: float = 100_000.0) -> DataFrame:
     """Selection share by minimum fee, every combination."""
-    fees = portfolio.cost_cases(*[{"case": f"minimum_{m:g}", "minimum": m} for m in FACTOR_MINIMUM_FEES])
+    fees = portfolio.cost_cases(*[{"case": f"minimum_{m:g}", "minimum": m, "capital": capital} for m in FACTOR_MINIMUM_FEES])
     run = FactorInputs(signals, prices, benchmark)
     runs = [
         _factor_summary(run, fraction, fees).withColumn("top_fraction", F.lit(fraction))

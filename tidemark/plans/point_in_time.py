@@ -14,7 +14,7 @@ from tidemark.plans.registry import query
 AS_OF = "1998-06-30"
 
 FEATURE_VIEWS = {
-    "def_assets": "SELECT * EXCLUDE (asset_list), len(asset_list) AS asset_count, unnest(asset_list) AS asset_id FROM definitions",
+    "def_assets": "SELECT * EXCLUDE (asset_list), CAST(len(asset_list) AS INTEGER) AS asset_count, unnest(asset_list) AS asset_id FROM definitions",
     "firsts": """SELECT a.symbol, a.feature_id, a.asset_count, a.asset_id, o.period_end, min(o.publication_date) AS p
         FROM obs o JOIN def_assets a ON a.symbol = o.symbol AND a.metric = o.metric AND a.asset_id = o.asset_id GROUP BY ALL""",
     "schedule": """SELECT symbol, feature_id, period_end, max(p) AS publication_date FROM firsts

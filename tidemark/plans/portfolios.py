@@ -104,7 +104,7 @@ def entries(spark, sf):
     return study.rebalance_entries(run.signals, run.all_sessions).select("symbol", "period_end", "decision_date", "entry_date")
 
 
-@query("R9_net_portfolio_returns", "SELECT * FROM daily", DAILY_DOUBLES, 5, True, **SURPRISE_VIEWS)
+@query("R9_net_portfolio_returns", "SELECT * REPLACE (CAST(k AS INTEGER) AS k) FROM daily", DAILY_DOUBLES, 5, True, **SURPRISE_VIEWS)
 def net_daily(spark, sf):
     return evaluation.surprise_daily(*inputs(spark, sf), CASES)
 
@@ -276,7 +276,7 @@ def factor_summary(spark, sf):
     return evaluation.factor_summary(*factor_inputs(spark, sf))
 
 
-@query("R10_skip_unchanged_portfolio", """SELECT portfolio, "case", date, k, net_return, ln(value / capital) AS log_growth, commission / value AS fee_share, turnover FROM daily""",
+@query("R10_skip_unchanged_portfolio", """SELECT portfolio, "case", date, CAST(k AS INTEGER) AS k, net_return, ln(value / capital) AS log_growth, commission / value AS fee_share, turnover FROM daily""",
        "net_return log_growth fee_share turnover", 6, True, **FACTOR_EVAL_VIEWS)
 def skipping(spark, sf):
     run = evaluation.FactorInputs(*factor_inputs(spark, sf))
@@ -296,16 +296,17 @@ FACTOR_GRID_VIEWS = {
         greatest(1, ceil(universe * top_fraction)) AS n FROM long JOIN shares ON true""",
     "all_targets": """SELECT factor || ':' || top_fraction AS portfolio, entry_date, symbol, 1.0::DOUBLE / count(*) OVER (PARTITION BY factor, top_fraction, entry_date) AS weight FROM ranked3 WHERE rk <= n
         UNION ALL SELECT 'equal_weight', entry_date, symbol, 1.0::DOUBLE / count(*) OVER (PARTITION BY entry_date) FROM tradable""",
-    "costs": costs_sql(portfolio.cost_cases({"case": "minimum_0", "minimum": 0.0}, {"case": "minimum_5", "minimum": 5.0})),
+    "costs": costs_sql(portfolio.cost_cases({"case": "minimum_0", "minimum": 0.0, "capital": 1e8}, {"case": "minimum_5", "minimum": 5.0, "capital": 1e8})),
 }
 
 
 @query("R14_factor_grid", """SELECT CAST(split_part(p.portfolio, ':', 2) AS DOUBLE) AS top_fraction, p."case", split_part(p.portfolio, ':', 1) AS factor, p.total_return_pct,
-  p.total_return_pct - e.total_return_pct AS excess_vs_equal_weight_pct, p.max_drawdown_pct, p.commission_paid, p.cumulative_one_way_turnover
+  p.total_return_pct - e.total_return_pct AS excess_vs_equal_weight_pct, p.max_drawdown_pct, p.commission_paid / 100000000 AS fee_share, p.cumulative_one_way_turnover
 FROM perf p JOIN perf e ON e.portfolio = 'equal_weight' AND e."case" = p."case" WHERE p.portfolio <> 'equal_weight'""",
-       "top_fraction total_return_pct excess_vs_equal_weight_pct max_drawdown_pct commission_paid cumulative_one_way_turnover", 3, True, **FACTOR_GRID_VIEWS)
+       "top_fraction total_return_pct excess_vs_equal_weight_pct max_drawdown_pct fee_share cumulative_one_way_turnover", 3, True, **FACTOR_GRID_VIEWS)
 def factor_grid(spark, sf):
-    return evaluation.factor_grid(*factor_inputs(spark, sf))
+    grid = evaluation.factor_grid(*factor_inputs(spark, sf), capital=1e8)
+    return grid.withColumn("fee_share", F.col("commission_paid") / 1e8).drop("commission_paid")
 
 
 # --- long/cash on one asset per symbol ---------------------------------------------------------------
