@@ -48,11 +48,17 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     choose joins by. The folder goes when the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = new_folder(spark, label)
     df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def new_folder(spark: SparkSession, label: str) -> str:
+    """Name of a new folder below the shared one; it goes when the application ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+    return path
 
 
 def spread(scan: DataFrame) -> DataFrame:
