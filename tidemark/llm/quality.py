@@ -133,31 +133,38 @@ def _moments(rows: DataFrame) -> DataFrame:
     return g.select("__group", *cols)
 
 
-def outliers(
-    counted: DataFrame, group: tuple[str, ...] = ("lang", "source"), least: int = 60, share: float = 0.75, steps: int = 3, cutoff: float = CUTOFF
-) -> DataFrame:
-    """The rows of `counts` with (distance, outlier).
+def _with_group_names(rows: DataFrame, group: tuple[str, ...]) -> DataFrame:
+    # the length prefix keeps ("a", "b|c") apart from ("a|b", "c"), and NULL apart from any text
+    part = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-"))
+    return rows.withColumn("__fine", F.concat(F.lit("f"), *[part(c) for c in group])).withColumn("__coarse", F.concat(F.lit("c"), part(group[0])))
+
+
+def _with_group(rows: DataFrame, large: DataFrame) -> DataFrame:
+    rows = rows.join(large, "__fine", "left")
+    return rows.withColumn("__group", F.when(F.col("__large"), F.col("__fine")).otherwise(F.col("__coarse"))).drop("__large", "__fine", "__coarse")
+
+
+def _with_statistics(rows: DataFrame) -> DataFrame:
+    return rows.select("*", *[F.round(c * SCALE).cast("long").alias(f"__{s}") for s, c in statistics().items()])
+
+
+def estimates(
+    counted: DataFrame, group: tuple[str, ...] = ("lang", "source"), least: int = 60, share: float = 0.75, steps: int = 3
+) -> tuple[DataFrame, DataFrame]:
+    """Minimum-covariance-determinant estimates from the result of `counts`: (groups that have their own, estimates by group).
 
     Rows that the base rules passed estimate centre and covariance of their group: start at medians and quartile
     spreads, then `steps` concentration steps, each over the `share` of rows nearest to the last estimate. Variances
     have a floor, so a constant statistic rejects nobody over a trifle. Distances are put on scale by their
     median. Groups with fewer than `least` passing rows share one estimate per first group column, and NULL is a value like any other;
-    where even that has fewer, there is no estimate: distance is NULL and no row an outlier.
-    Groups are aggregated with partial sums of whole numbers, so a group with a third of all rows
-    sends one partial row per task, and reruns agree to the last bit.
+    where even that has fewer, there is no estimate. Groups are aggregated with partial sums of whole numbers, so a group with
+    a third of all rows sends one partial row per task, and reruns agree to the last bit.
     """
-    spark_rows = counted
-    for s, c in statistics().items():
-        spark_rows = spark_rows.withColumn(f"__{s}", F.round(c * SCALE).cast("long"))
-    # the length prefix keeps ("a", "b|c") apart from ("a|b", "c"), and NULL apart from any text
-    part = lambda c: F.coalesce(F.concat(F.length(c).cast("string"), F.lit(":"), F.col(c)), F.lit("-"))
-    fine, coarse = F.concat(F.lit("f"), *[part(c) for c in group]), F.concat(F.lit("c"), part(group[0]))
-    rows = spark_rows.withColumn("__fine", fine).withColumn("__coarse", coarse)
-    rows = stage(rows, "statistics")
-    large = rows.where("not base_failed").groupBy("__fine").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= least)
-    rows = rows.join(large, "__fine", "left").withColumn("__group", F.when(F.col("__n").isNotNull(), F.col("__fine")).otherwise(F.col("__coarse")))
-    rows = stage(rows.drop("__n", "__fine", "__coarse"), "grouped")
-    ok = rows.where("not base_failed")
+    named = _with_group_names(_with_statistics(counted.where("not base_failed")), group)
+    rows = stage(named.select("__fine", "__coarse", *[f"__{s}" for s in STATS]), "statistics")
+    large = rows.groupBy("__fine").agg((F.count(F.lit(1)) >= least).alias("__large")).where("__large")
+    large = stage(large, "groups")
+    ok = stage(_with_group(rows, large), "statistics")
 
     p = len(STATS)
     quartiles = ok.groupBy("__group").agg(
@@ -174,13 +181,28 @@ def outliers(
         estimate = stage(_with_factor(_moments(kept)), "estimate")
     middle = _with_distance(ok, estimate).where("distance is not null").groupBy("__group").agg(
         F.percentile(_step(F.col("distance")), 0.5).alias("__middle"))
-    out = _with_distance(rows, estimate).join(middle, "__group", "left")
     scale = F.greatest(F.exp((F.col("__middle") + 0.5) / 32) / CHI2_MEDIAN, F.lit(1.0))
-    out = out.withColumn("distance", F.col("distance") / scale)
+    return large, stage(estimate.join(middle.select("__group", scale.alias("__scale")), "__group"), "estimate")
+
+
+def outliers(
+    counted: DataFrame, fitted: tuple[DataFrame, DataFrame], group: tuple[str, ...] = ("lang", "source"), cutoff: float = CUTOFF
+) -> DataFrame:
+    """The rows of `counts` with (distance, outlier). Rows without an estimate have distance NULL and are no outliers."""
+    large, estimate = fitted
+    rows = _with_group(_with_group_names(_with_statistics(counted), group), large)
+    scale = estimate.select("__group", "__scale")
+    out = _with_distance(rows, estimate.drop("__scale")).join(scale, "__group", "left").withColumn("distance", F.col("distance") / F.col("__scale"))
     return out.withColumn("outlier", F.coalesce(F.col("distance") > cutoff, F.lit(False))).select(*counted.columns, "distance", "outlier")
 
 
-def judge(docs: DataFrame, text: str = "text", group: tuple[str, ...] = ("lang", "source"), cutoff: float = CUTOFF) -> DataFrame:
-    """The input's columns with all counts, distance, and kept: not failed by the base rules and no outlier."""
-    out = outliers(counts(docs, text), group, cutoff=cutoff)
+def judge(docs: DataFrame, text: str = "text", group: tuple[str, ...] = ("lang", "source"), cutoff: float = CUTOFF, keep_text: bool = True) -> DataFrame:
+    """The input's columns with all counts, distance, and kept: not failed by the base rules and no outlier.
+
+    Texts stay where they are: estimates come from a written table of counts. With the text kept, counts are made again next
+    to it, which costs less than moving it; without it they are read from that table.
+    """
+    counted = counts(docs, text)
+    slim = stage(counted.drop(text), "counts")
+    out = outliers(counted if keep_text else slim, estimates(slim, group), group, cutoff)
     return out.withColumn("kept", ~F.col("base_failed") & ~F.col("outlier"))
