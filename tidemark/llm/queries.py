@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import hilbert, mixing, quality, urls
+from tidemark.llm import fm_index, hilbert, mixing, quality, rans, secrets, urls, warc
+from tidemark.session import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -136,6 +137,59 @@ def op7(spark, sf):
 
 @query("op9_quality_outliers")
 def op9(spark, sf):
-    judged = quality.judge(table(spark, sf, "documents").select("doc_id", "text", "lang", "source"))
+    judged = quality.judge(table(spark, sf, "documents").select("doc_id", "text", "lang", "source"), keep_text=False)
     return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
+@query("op1_secret_spans")
+def op1(spark, sf):
+    docs = table(spark, sf, "documents")
+    found = secrets.find_secrets(docs, secrets.fit(secrets.counts_from_rules(docs)))
+    of = lambda kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    listed = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+    base = secrets.KINDS[:3]
+    return found.select(
+        F.col("id").alias("doc_id"), *[F.size(of([k])).cast("long").alias(f"n_{k}") for k in base],
+        F.sha2(listed(of(base)), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"), F.size(of(["markov"])).cast("long").alias("n_markov"))
+
+
+@query("op5_fm_index_phrases")
+def op5(spark, sf):
+    found = fm_index.judged(fm_index.find_phrases(table(spark, sf, "documents"), table(spark, sf, "benchmark"), "doc_id", "text"))
+    return found.select(
+        F.col("row").alias("doc_id"), "n_words", "n_hit", "n_items", F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op6_rans_tokens")
+def op6(spark, sf):
+    path = new_folder(spark, "tokens")
+    rans.write_tokens(table(spark, sf, "documents"), path, tokenizer_path())
+    ids = rans.read_tokens(spark, path)
+    return ids.select(
+        F.col("key").alias("doc_id"), "start", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").cast("long").alias("ids_crc32"))
+
+
+# SHA-1 in SQL is a hex text; twenty bits (five digits) give four base32 letters.
+OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+g AS (SELECT *, min(page_id) OVER (PARTITION BY html) AS first FROM p)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (((('0x' || substr(h, (5 * (k // 4) + 1)::BIGINT, 5))::BIGINT) >> (5 * (3 - k % 4))::BIGINT) & 31) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id = first THEN NULL ELSE first END AS refers_to
+FROM g
+"""
+
+
+@query("op8_warc_archives", OP8_SQL)
+def op8(spark, sf):
+    path = new_folder(spark, "warc")
+    warc.write_archives(table(spark, sf, "pages"), path)
+    return warc.read_archives(spark.read.parquet(path), payloads=False).drop("url", "payload")
