@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fm_index, hilbert, mixing, quality, rans, secrets, urls, warc
+from tidemark.llm import fm_index, hilbert, mixing, odd_sketch, quality, rans, secrets, urls, warc
 from tidemark.session import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -193,3 +193,8 @@ def op8(spark, sf):
     path = new_folder(spark, "warc")
     warc.write_archives(table(spark, sf, "pages"), path)
     return warc.read_archives(spark.read.parquet(path), payloads=False).drop("url", "payload")
+
+
+@query("op2_odd_sketch_components")
+def op2(spark, sf):
+    return odd_sketch.similar_texts(table(spark, sf, "documents"), width=2, percent=80).withColumnRenamed("id", "doc_id")
