@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import struct
 import zlib
 from collections.abc import Iterator
@@ -13,8 +14,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import NOT_SPACE, pieces, span_hashes, words
-from tidemark.session import stage
+from tidemark.llm.common import LOWER, NOT_SPACE, pieces, span_hashes, words
+from tidemark.session import new_folder, stage
 
 # Fixed values of the format.
 MAGIC = b"TMR1"
@@ -24,47 +25,78 @@ LANES = 1024
 BLOCK_TOKENS = 1 << 18
 CHECKPOINT_ROWS = 128
 HEADER = struct.Struct("<4sIIQIIIIQI")  # magic, documents, lanes, tokens, rows, scale, checkpoint rows, checkpoints, words, crc32
-CACHED_WORDS = 400_000
+CACHED_WORDS = 1_500_000
+LEARN_AT_A_TIME = 2000
+# Words are cut between an ASCII letter and one of these marks. Marks that the tokenizer can join to letters or that open its special tokens are not here.
+_MARK = np.zeros(256, bool)
+_MARK[list(b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~")] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
 class Encoder:
-    """Whole texts to ids. Words between ASCII spaces are encoded once and remembered; the tokenizer drops spaces, so a text is its words' ids."""
+    """Whole texts to ids, for tokenizers that drop white space, lower-case and keep letters apart from marks.
+
+    A text's ids are then those of its words, so each word is encoded once and remembered by its hash. Words are lower-cased
+    before they are looked up, but for letters that a combining character may follow and pieces that hold a special token.
+    What is remembered is bounded by CACHED_WORDS, and forgotten when it is full.
+    """
 
     def __init__(self, path: str, end_id: int):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
         self._reset()
 
+    @staticmethod
+    def of(path: str, end_id: int) -> Encoder:
+        """The encoder of this Python worker, with what it has learnt in earlier tasks."""
+        if (path, end_id) not in _ENCODERS:
+            _ENCODERS[path, end_id] = Encoder(path, end_id)
+        return _ENCODERS[path, end_id]
+
     def _reset(self):
-        self.known: dict[int, int] = {}
-        self.ids, self.offsets, self.used = np.zeros(1 << 16, np.uint32), [0], 0
-
-    def _learn(self, hashes: list[int], texts: list[str]) -> None:
-        for h, e in zip(hashes, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            got = e.ids
-            while self.used + len(got) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            self.ids[self.used : self.used + len(got)] = got
-            self.used += len(got)
-            self.known[h] = len(self.offsets) - 1
-            self.offsets.append(self.used)
+        self.known, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.ids, self.offsets = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
+        ids, sizes = [self.ids], []
+        for k in range(0, len(texts), LEARN_AT_A_TIME):
+            got = [e.ids for e in self.tokenizer.encode_batch_fast(texts[k : k + LEARN_AT_A_TIME], add_special_tokens=False)]
+            sizes += map(len, got)
+            ids.append(np.array([i for g in got for i in g], np.uint32))
+        entry = len(self.offsets) - 1 + np.arange(len(texts))
+        self.ids, self.offsets = np.concatenate(ids), np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(sizes)])
+        at = np.searchsorted(self.known, hashes)
+        self.known, self.entry = np.insert(self.known, at, hashes), np.insert(self.entry, at, entry)
 
     def batch(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids of all texts of a piece, ids per text), the end id after each text."""
         for first, data, offsets in pieces(column):
+            raw = data.tobytes()
+            if b"<|" not in raw:
+                lower = LOWER[data]
+                lower[:-1] = np.where(data[1:] >= 128, data[:-1], lower[:-1])
+                data, raw = lower, lower.tobytes()
             starts, ends, doc = words(data, offsets, NOT_SPACE)
+            cut = np.flatnonzero((_LETTER[data[:-1]] & _MARK[data[1:]]) | (_MARK[data[:-1]] & _LETTER[data[1:]])) + 1
+            cut = cut[~np.isin(cut, offsets)]
+            starts, ends = np.sort(np.concatenate([starts, cut])), np.sort(np.concatenate([ends, cut]))
+            doc = np.searchsorted(offsets, starts, "right") - 1
             found, at, back = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
             if len(self.known) > CACHED_WORDS:
                 self._reset()
-            names = found.tolist()
-            new = [k for k, h in enumerate(names) if h not in self.known]
-            if new:
-                raw = data.tobytes()
-                self._learn([names[k] for k in new], [raw[starts[at[k]] : ends[at[k]]].decode() for k in new])
-            entry = np.fromiter((self.known[h] for h in names), np.int64, len(names))[back]
-            bounds = np.array(self.offsets, np.int64)
-            begin, size = bounds[entry], bounds[entry + 1] - bounds[entry]
+            place = np.searchsorted(self.known, found)
+            here = place < len(self.known)
+            here[here] = self.known[place[here]] == found[here]
+            new = np.flatnonzero(~here)
+            if len(new):
+                self._learn(found[new], [raw[starts[k] : ends[k]].decode() for k in at[new]])
+                place = np.searchsorted(self.known, found)
+            entry = self.entry[place][back] if len(found) else np.zeros(0, np.int64)
+            begin, size = self.offsets[entry], self.offsets[entry + 1] - self.offsets[entry]
             n = len(offsets) - 1
             per = np.bincount(doc, size, n).astype(np.int64) + 1
             out = np.full(int(per.sum()), self.end_id, np.uint32)
@@ -179,60 +211,84 @@ class Table:
         self.symbol = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
 
 
-def _count(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
-    encoder, total = Encoder(path, end_id), np.zeros(1, np.int64)
-    for batch in batches:
-        for _, ids, _ in encoder.batch(batch.column("text")):
-            n = np.bincount(ids, minlength=len(total))
-            n[: len(total)] += total
-            total = n
-    seen = np.flatnonzero(total)
-    yield pa.RecordBatch.from_pydict({"id": seen, "n": total[seen]})
+RAW = "file long, block long, start long, keys array<bigint>, per array<bigint>, ids binary"
 
 
-def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int, freq: np.ndarray) -> Iterator[pa.RecordBatch]:
-    encoder, file = Encoder(path, end_id), TaskContext.get().partitionId()
+def _tokenize(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of whole documents, in the order of the task's rows."""
+    encoder, file = Encoder.of(path, end_id), TaskContext.get().partitionId()
     ids, keys, per, size, start, number = [], [], [], 0, 0, 0
 
     def flush():
         nonlocal ids, keys, per, size, start, number
-        key = pa.array(keys, pa.int64())
-        payload = encode_block(np.concatenate(ids), freq, pc.fill_null(key, 0).to_numpy(), key.is_valid().to_numpy(False), np.array(per, np.int64))
-        out = pa.RecordBatch.from_pydict(
-            {"file": [file], "block": [number], "start": [start], "n_tokens": [size], "payload": pa.array([payload], pa.binary())})
+        listed = lambda x: pa.array([x], pa.list_(pa.int64()))
+        out = pa.RecordBatch.from_arrays(
+            [pa.array([file]), pa.array([number]), pa.array([start]), listed(keys), listed(per), pa.array([np.concatenate(ids).astype("<u4").tobytes()], pa.binary())],
+            ["file", "block", "start", "keys", "per", "ids"])
         ids, keys, per, start, size, number = [], [], [], start + size, 0, number + 1
         return out
 
     for batch in batches:
         key = batch.column("key").to_pylist()
         for first, got, counts in encoder.batch(batch.column("text")):
+            ends = np.cumsum(counts)
             at = 0
-            for d, k in enumerate(counts.tolist()):
-                ids.append(got[at : at + k])
-                keys.append(key[first + d])
-                per.append(k)
-                at, size = at + k, size + k
-                if size >= BLOCK_TOKENS:
+            while at < len(counts):  # as many documents as the block still holds, one at least
+                zero = int(ends[at - 1]) if at else 0
+                to = max(at + 1, int(np.searchsorted(ends, zero + BLOCK_TOKENS - size, "right")))
+                ids.append(got[zero : int(ends[to - 1])])
+                keys += key[first + at : first + to]
+                per += counts[at:to].tolist()
+                size += len(ids[-1])
+                at = to
+                if at < len(counts) or size >= BLOCK_TOKENS:
                     yield flush()
     if per:
         yield flush()
 
 
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(1, np.int64)
+    for batch in batches:
+        for raw in batch.column("ids"):
+            n = np.bincount(np.frombuffer(raw.as_buffer(), "<u4"), minlength=len(total))
+            n[: len(total)] += total
+            total = n
+    seen = np.flatnonzero(total)
+    yield pa.RecordBatch.from_pydict({"id": seen, "n": total[seen]})
+
+
+def _encode(batches: Iterator[pa.RecordBatch], freq: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            key = batch.column("keys")[k].values
+            ids = np.frombuffer(batch.column("ids")[k].as_buffer(), "<u4")
+            payload = encode_block(
+                ids, freq, pc.fill_null(key, 0).to_numpy(), key.is_valid().to_numpy(False), batch.column("per")[k].values.to_numpy())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c).slice(k, 1) for c in ("file", "block", "start")] + [pa.array([len(ids)], pa.int64()), pa.array([payload], pa.binary())],
+                ["file", "block", "start", "n_tokens", "payload"])
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, id: str = "doc_id", text: str = "text", end_id: int = 2) -> None:
     """Write `path`/table (the shared frequencies) and `path`/blocks (blocks of whole documents in ascending id order).
 
-    Frequencies count all ids of all documents; their number is bounded by the vocabulary. Blocks are written by ranges of the id,
-    one file number for each range. NULL and empty texts are the end id alone; NULL ids come first; rows with
-    equal ids are all written, next to each other. The tokenizer file must be readable at `tokenizer` on every executor.
+    Texts are dealt out by ranges of the id, one file number for each range, and tokenized once: blocks of plain ids are
+    written below the shared folder, counted, and then encoded with the frequencies of all ids of all documents, whose number is bounded by the
+    vocabulary. NULL and empty texts are the end id alone; NULL ids come first; rows with equal ids are all written,
+    next to each other. The tokenizer file must be readable at `tokenizer` on every executor.
     """
     spark = docs.sparkSession
     slim = docs.select(F.col(id).cast("long").alias("key"), F.col(text).alias("text"))
-    counts = slim.select("text").mapInArrow(lambda it: _count(it, tokenizer, end_id), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    freq = frequency_table({r["id"]: r["n"] for r in counts.collect()})  # a row for each id of the vocabulary
-    spark.createDataFrame([(int(i), int(freq[i])) for i in np.flatnonzero(freq)], "id long, freq long").write.parquet(f"{path}/table")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = slim.repartitionByRange(n, "key").sortWithinPartitions("key")
-    blocks = dealt.mapInArrow(lambda it: _encode(it, tokenizer, end_id, freq), "file long, block long, start long, n_tokens long, payload binary")
+    raw_path = new_folder(spark, "ids")
+    dealt.mapInArrow(lambda it: _tokenize(it, tokenizer, end_id), RAW).write.option("compression", "zstd").parquet(raw_path)
+    raw = spark.read.parquet(raw_path)
+    counts = raw.select("ids").mapInArrow(_count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    freq = frequency_table({r["id"]: r["n"] for r in counts.collect()})  # a row for each id of the vocabulary
+    spark.createDataFrame([(int(i), int(freq[i])) for i in np.flatnonzero(freq)], "id long, freq long").write.parquet(f"{path}/table")
+    blocks = raw.mapInArrow(lambda it: _encode(it, freq), "file long, block long, start long, n_tokens long, payload binary")
     blocks.write.option("compression", "uncompressed").parquet(f"{path}/blocks")
 
 
