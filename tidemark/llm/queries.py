@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fm_index, hilbert, mixing, odd_sketch, quality, rans, secrets, urls, warc
+from tidemark.llm import columns, fm_index, hilbert, mixing, odd_sketch, quality, rans, secrets, urls, warc
 from tidemark.session import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -198,3 +198,9 @@ def op8(spark, sf):
 @query("op2_odd_sketch_components")
 def op2(spark, sf):
     return odd_sketch.similar_texts(table(spark, sf, "documents"), width=2, percent=80).withColumnRenamed("id", "doc_id")
+
+
+@query("op10_column_construction")
+def op10(spark, sf):
+    out = columns.remove_repeats(table(spark, sf, "documents"), texts=False)
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), "kept_sha256")
