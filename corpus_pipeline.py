@@ -18,7 +18,9 @@ ORACLE_SQL = None
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and are no outlier of their language and source. NULL and empty texts fail."""
-    return quality.judge(docs).where("kept").select(*docs.columns)
+    aside = {c: f"__{i}" for i, c in enumerate(docs.columns) if c not in ("text", "lang", "source")}  # names that counts could take
+    judged = quality.judge(docs.withColumnsRenamed(aside)).where("kept")
+    return judged.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,22 +29,19 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Of rows that repeat that id one stays. Texts without words and rows without an id stay.
     """
     found = odd_sketch.similar_texts(docs, width=5, percent=80)
-    kept = found.where("kept and id is not null").select(F.col("id").alias("__kept")).distinct()
-    ours = docs.join(kept, F.col("doc_id") == F.col("__kept"), "left_semi")
-    repeated = stage(found.where("kept and id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated")
-    once = ours.join(repeated.select("id"), F.col("doc_id") == F.col("id"), "left_anti") if not repeated.isEmpty() else ours
-    nameless = docs.where("doc_id is null")
-    out = once.union(nameless)
-    if not repeated.isEmpty():
-        out = out.union(ours.join(repeated.select("id"), F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"]))
-    return out
+    kept = found.where("kept and id is not null").groupBy(F.col("id").alias("__id")).agg(F.count(F.lit(1)).alias("__rows"))
+    kept = stage(kept, "kept")
+    ours = lambda ids: docs.join(ids.select("__id"), F.col("doc_id") == F.col("__id"), "left_semi")
+    out = ours(kept.where("__rows = 1")).union(docs.where("doc_id is null"))
+    repeated = kept.where("__rows > 1")
+    return out if repeated.isEmpty() else out.union(ours(repeated).dropDuplicates(["doc_id"]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of whose words less than one in twenty lies in an occurrence of a benchmark window."""
     found = fm_index.judged(fm_index.find_phrases(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "doc_id", "text"))
-    bad = found.where("contaminated and row is not null").select("row").distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("row"), "left_anti")
+    bad = found.where("contaminated and row is not null").select(F.col("row").alias("__row")).distinct()
+    return docs.join(bad, F.col("doc_id") == F.col("__row"), "left_anti")
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -33,6 +33,11 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, upper, upper.lower())
 
 
+def counted_small(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """A written table marked for broadcast if it was counted to have at most `rows` rows; else as it is, for a join of both sides."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def ranked(df: DataFrame, order: list[Column], name: str, label: str = "ranked") -> DataFrame:
     """Every row's exact place (from 0) in one global order, without a window over all rows.
 

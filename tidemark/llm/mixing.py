@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import ranked, words_of
+from tidemark.llm.common import counted_small, ranked, words_of
 from tidemark.session import stage
 
 # 16^8: the coin is a number of eight hex digits.
@@ -29,7 +29,7 @@ def targets(sizes: DataFrame, source: str, size: str, weights: tuple[int, ...] =
     order = [F.col("source").isNull(), F.col("source")]
     per = ranked(per, order, "place", "sources").withColumn(
         "weight", F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("place") % len(weights) + 1).cast("int")).cast("long"))
-    per = stage(per, "sources").withColumn("cap", most * F.col("source_size"))
+    per = counted_small(stage(per, "sources")).withColumn("cap", most * F.col("source_size"))
     total = per.agg(F.sum("source_size")).first()[0] or 0
     rest, weight = total, per.agg(F.sum("weight")).first()[0] or 0
     while weight:  # above: the stop is below the share, rest * weight / all weights, compared in whole numbers

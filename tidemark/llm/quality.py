@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import let, words_of
+from tidemark.llm.common import counted_small, let, words_of
 from tidemark.session import stage
 
 WINDOW = 8
 # Statistics are kept as whole multiples of 1 / SCALE, so that all sums are exact in any order.
 SCALE = 256
 STATS = ("word_length", "symbols", "marks", "capitals", "repeats", "lines")
+COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "n_marks", "n_capitals", "base_failed", "distance", "outlier", "kept")
 # Least standard deviation of each statistic in an estimate: below it a difference says nothing about quality.
 LEAST_SPREAD = {"word_length": 0.35, "symbols": 0.12, "marks": 0.12, "capitals": 0.12, "repeats": 0.1, "lines": 0.1}
 # Quantile 0.999 of chi-squared with six degrees of freedom.
@@ -57,13 +58,13 @@ def _length_of(text: Column, other_than: str) -> Column:
 def counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """The input's columns with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_marks, n_capitals, base_failed.
 
-    NULL and empty texts have no words and fail the base rules.
+    NULL and empty texts have no words and fail the base rules. An input column with the name of a count is replaced by it.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     split = docs.withColumn("__words", words_of(F.col(text)))
     lines = F.filter(F.split(whole, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     out = split.select(
-        *[F.col(c) for c in docs.columns],
+        *[F.col(c) for c in docs.columns if c not in COUNTS],
         F.size("__words").cast("long").alias("n_words"),
         F.length(F.concat_ws("", "__words")).cast("long").alias("word_chars"),
         _length_of(whole, r"[^#*$%&|<>]+").cast("long").alias("n_symbols"),
@@ -105,13 +106,14 @@ def _with_distance(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """Squared Mahalanobis distance of each row from its group, by forward substitution."""
     p = len(STATS)
     out = rows.join(groups, "__group", "left")
+    scale = F.col("__scale") if "__scale" in groups.columns else F.lit(1.0)
     for i, s in enumerate(STATS):
         d = F.col(f"__{s}") / SCALE - F.col(f"m_{i}")
         for k in range(i):
             d = d - F.col(f"l_{i}_{k}") * F.col(f"y_{k}")
         out = out.withColumn(f"y_{i}", d / F.col(f"l_{i}_{i}"))
     total = sum((F.col(f"y_{i}") * F.col(f"y_{i}") for i in range(1, p)), F.col("y_0") * F.col("y_0"))
-    return out.withColumn("distance", total).select(*rows.columns, "distance")
+    return out.withColumn("distance", total / scale).select(*rows.columns, "distance")
 
 
 def _step(distance: Column) -> Column:
@@ -163,7 +165,7 @@ def estimates(
     named = _with_group_names(_with_statistics(counted.where("not base_failed")), group)
     rows = stage(named.select("__fine", "__coarse", *[f"__{s}" for s in STATS]), "statistics")
     large = rows.groupBy("__fine").agg((F.count(F.lit(1)) >= least).alias("__large")).where("__large")
-    large = stage(large, "groups")
+    large = counted_small(stage(large, "groups"))
     ok = stage(_with_group(rows, large), "statistics")
 
     p = len(STATS)
@@ -173,16 +175,16 @@ def estimates(
     for i, s in enumerate(STATS):
         spread = F.greatest((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / SCALE / 1.349, F.lit(LEAST_SPREAD[s]))
         start += [(spread * spread if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for j in range(i + 1)]
-    estimate = stage(_with_factor(quartiles.select("__group", *start)), "estimate")
+    estimate = counted_small(stage(_with_factor(quartiles.select("__group", *start)), "estimate"))
     for _ in range(steps):
         near = _with_distance(ok, estimate).where("distance is not null").withColumn("__step", _step(F.col("distance")))
-        bound = near.groupBy("__group").agg(F.percentile("__step", share).alias("__bound"))
+        bound = counted_small(stage(near.groupBy("__group").agg(F.percentile("__step", share).alias("__bound")), "bound"))
         kept = near.join(bound, "__group").where("__step <= __bound")
-        estimate = stage(_with_factor(_moments(kept)), "estimate")
+        estimate = counted_small(stage(_with_factor(_moments(kept)), "estimate"))
     middle = _with_distance(ok, estimate).where("distance is not null").groupBy("__group").agg(
         F.percentile(_step(F.col("distance")), 0.5).alias("__middle"))
     scale = F.greatest(F.exp((F.col("__middle") + 0.5) / 32) / CHI2_MEDIAN, F.lit(1.0))
-    return large, stage(estimate.join(middle.select("__group", scale.alias("__scale")), "__group"), "estimate")
+    return large, counted_small(stage(estimate.join(middle.select("__group", scale.alias("__scale")), "__group"), "estimate"))
 
 
 def outliers(
@@ -191,8 +193,7 @@ def outliers(
     """The rows of `counts` with (distance, outlier). Rows without an estimate have distance NULL and are no outliers."""
     large, estimate = fitted
     rows = _with_group(_with_group_names(_with_statistics(counted), group), large)
-    scale = estimate.select("__group", "__scale")
-    out = _with_distance(rows, estimate.drop("__scale")).join(scale, "__group", "left").withColumn("distance", F.col("distance") / F.col("__scale"))
+    out = _with_distance(rows, estimate)
     return out.withColumn("outlier", F.coalesce(F.col("distance") > cutoff, F.lit(False))).select(*counted.columns, "distance", "outlier")
 
 
