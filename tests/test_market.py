@@ -68,3 +68,17 @@ def test_rank_ic_of_a_perfect_order(spark):
     df = spark.createDataFrame([("d", float(i), float(i * i)) for i in range(5)] + [("e", 1.0, 2.0), ("e", 1.0, 3.0)], "d string, x double, y double")
     got = {r["d"]: r["rank_ic"] for r in factors.rank_ic(df, ["d"], "x", "y").collect()}
     assert got["d"] == pytest.approx(1.0) and got["e"] is None
+
+
+def test_narrow_values_fall_into_many_ranges(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.functions import ranks
+
+    rows = spark.range(200_000).selectExpr("'g' AS g", "id", "cast(1000000 + (id * 7919) % 100003 / 100.0 AS double) AS v")  # within 0.1 %
+    counted = rows.groupBy("g", "v").agg(F.count(F.lit(1)).alias("_ties"))
+    sizes = [r["n"] for r in ranks._with_range(counted, ["g"], "v").groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) > 200 and max(sizes) < 3 * 100_003 / ranks.RANGES
+    got = ranks.average_rank_of_large_groups(rows, ["g"], {"v": "r"})
+    want = rows.selectExpr("id", "rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2.0 AS w")
+    assert got.join(want, "id").where("abs(r - w) > 1e-9").count() == 0

@@ -123,3 +123,24 @@ def test_stream_takes_each_content_once_and_sets_changes_aside(spark, folder):
     assert [(r["announcement_id"], r["document_type_candidate"]) for r in got] == [("1", "annual_report"), ("2", "other"), ("3", "distribution_announcement")]
     changed = spark.read.parquet(f"{folder}/out/conflicts").collect()
     assert [(r["announcement_id"], r["title"]) for r in changed] == [("2", "公告改")]
+
+
+def test_late_rows_are_kept_apart_and_ties_have_one_winner(spark, folder):
+    schema = "announcement_id string, symbol string, publication_ts timestamp, title string, original_type string, source_url string"
+    t = lambda m, d: datetime.datetime(2024, m, d)
+    waves = (
+        [("1", "s", t(3, 1), "公告", "", "u1"), ("5", "s", t(3, 1), "b", "", "u5"), ("5", "s", t(3, 1), "a", "", "u5")],
+        [("2", "s", t(1, 1), "公告", "", "u2"), ("1", "s", t(3, 1), "公告", "", "u1"), ("3", "s", t(2, 24), "公告", "", "u3"), ("4", "s", None, "公告", "", "u4")],
+    )
+    for wave in waves:
+        spark.createDataFrame(wave, schema).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        feed = spark.readStream.schema(schema).parquet(f"{folder}/in")
+        ingest.start_ingest(feed, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    ids = lambda name: sorted(r["announcement_id"] for r in spark.read.parquet(f"{folder}/out/{name}").collect())
+    assert ids("accepted") == ["1", "3", "4", "5"] and ids("late") == ["2"] and ids("conflicts") == ["5"]
+
+
+def test_unfinished_snapshot_does_not_count(spark, folder):
+    sinks.guarded_replace(spark.createDataFrame([("a", 1)], "s string, n int"), folder + "/snap")
+    spark.createDataFrame([("a", 9)], "s string, n int").write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(folder + "/snap/version-000000000009-x")
+    assert sinks.current_snapshot(spark, folder + "/snap").first()["n"] == 1

@@ -1,9 +1,8 @@
 """Ranks with explicit tie rules.
 
 ``average_rank`` and ``percentile_rank`` run as one window over a group. They
-are meant for cross-sections of securities: symbols are six-digit codes and
-unique per date, so a group holds at most a million rows whatever the volume
-of raw data. ``average_rank_of_large_groups`` has no such limit: it never
+are meant for cross-sections of securities, which hold one row for each symbol
+and date: a group grows with the number of securities, not with the raw data. ``average_rank_of_large_groups`` has no such limit: it never
 brings a whole group, nor a run of equal values, to one task.
 """
 
@@ -30,10 +29,19 @@ def ordinal_rank(value: Column, ties: list[Column], *group: str) -> Column:
     return F.row_number().over(Window.partitionBy(*group).orderBy(value.desc(), *ties))
 
 
-def _order_keeping_bucket(value: Column) -> Column:
-    """A whole number that never falls when ``value`` rises: 1024 steps per power of two."""
-    steps = F.floor(F.log2(F.greatest(F.abs(value), F.lit(1e-300))) * 1024.0) + 1_100_000
-    return F.when(value > 0, steps).when(value < 0, -steps).otherwise(F.lit(0).cast("bigint"))
+RANGES = 256
+
+
+def _with_range(counted: DataFrame, group: list[str], value: str) -> DataFrame:
+    """Number of the range a value falls in, between the group's own quantiles of distinct values.
+
+    However narrow or skewed a group's values lie, its ranges hold about as many distinct values each. The bounds
+    need not be exact: any bounds give the same ranks.
+    """
+    steps = [k / RANGES for k in range(1, RANGES)]
+    bounds = counted.groupBy(*group).agg(F.percentile_approx(value, steps, RANGES * 8).alias("_bounds"))
+    below = F.size(F.filter("_bounds", lambda b: b < F.col(value)))
+    return counted.join(bounds, group).withColumn("_range", below).drop("_bounds")
 
 
 def average_rank_of_large_groups(df: DataFrame, group: list[str], values: dict[str, str]) -> DataFrame:
@@ -45,12 +53,8 @@ def average_rank_of_large_groups(df: DataFrame, group: list[str], values: dict[s
     """
     ranked_rows = df
     for value, rank in values.items():
-        counted = (
-            df.where(F.col(value).isNotNull())
-            .groupBy(*group, value)
-            .agg(F.count(F.lit(1)).alias("_ties"))
-            .withColumn("_range", _order_keeping_bucket(F.col(value)))
-        )
+        counted = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_ties"))
+        counted = _with_range(counted, group, value)
         below = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
         ranges = (
             counted.groupBy(*group, "_range")

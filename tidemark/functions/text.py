@@ -43,12 +43,15 @@ def first_group(text: Column, patterns: list[str], group: int = 1) -> Column:
     return F.coalesce(*[group_or_null(text, p, group) for p in patterns])
 
 
-def date_of(year: Column, month: Column, day: Column) -> Column:
-    return F.try_make_date(year, month, day) if hasattr(F, "try_make_date") else F.make_date(year, month, day)
+def zero_padded(number: Column, digits: int) -> Column:
+    """At least so many digits; longer numbers keep all of theirs."""
+    written = number.cast("string")
+    return F.when(F.length(written) < digits, F.lpad(written, digits, "0")).otherwise(written)
 
 
 def security_code(raw: Column) -> Column:
-    return F.lpad(raw.cast("string"), 6, "0")
+    """Codes have six digits or more, so that keys beyond a million stay apart."""
+    return zero_padded(raw, 6)
 
 
 def exchange_of(symbol: Column) -> Column:

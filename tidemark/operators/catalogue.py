@@ -44,7 +44,7 @@ def snapshot_violations(names: DataFrame) -> DataFrame:
     coded = names.withColumn("symbol", text.security_code(F.col("symbol")))
     return checks.union(
         checks.row_violations(coded, ["symbol"], [
-            checks.pattern("symbol", r"\d{6}"),
+            checks.pattern("symbol", r"\d{6,}"),
             checks.RowRule("name_given", F.coalesce(F.trim("name"), F.lit("")) != ""),
         ]),
         checks.duplicate_keys(coded, ["symbol"]),

@@ -63,6 +63,10 @@ def chosen_documents(audit: DataFrame, keys: list[str]) -> DataFrame:
     return versions.latest_per_key(audit.where("retrieval_status = 'success'"), keys, ["is_corrected", "announcement_id"])
 
 
+PERIODIC_KEYS = ["symbol", "period_end_candidate", "publication_date", "document_type"]
+ANNUAL_KEYS = ["symbol", "period_end_candidate"]
+
+
 def document_conflicts(audit: DataFrame, keys: list[str], facts: list[str]) -> DataFrame:
     """Two corrections, or different facts without a correction, under one key."""
     summary = audit.where("retrieval_status = 'success'").groupBy(*keys).agg(
@@ -84,17 +88,40 @@ def long_facts(documents: DataFrame, metrics: list[tuple[str, str]] = PERIODIC_M
     return documents.select(*kept, F.explode(rows).alias("_f")).select(*kept, "_f.*")
 
 
-def periodic_observations(audit: DataFrame) -> DataFrame:
-    """Facts of quarterly and half-year reports in long form, one document per publication."""
-    reports = audit.where(F.col("document_type").isin("quarterly_report", "semiannual_report"))
-    chosen = chosen_documents(reports, ["symbol", "period_end_candidate", "publication_date", "document_type"])
-    return _observations(long_facts(chosen))
+def _periodic_reports(audit: DataFrame) -> DataFrame:
+    return audit.where(F.col("document_type").isin("quarterly_report", "semiannual_report"))
+
+
+def _annual_reports(audit: DataFrame) -> DataFrame:
+    return audit.where("document_type = 'annual_report'")
+
+
+def periodic_conflicts(audit: DataFrame) -> DataFrame:
+    """Publications with two corrections, or with different facts and no correction, as violation rows."""
+    return document_conflicts(_periodic_reports(audit), PERIODIC_KEYS, [m for m, _ in PERIODIC_METRICS])
+
+
+def annual_conflicts(audit: DataFrame) -> DataFrame:
+    """The same for years."""
+    return document_conflicts(_annual_reports(audit), ANNUAL_KEYS, ["fund_shares", "nav_per_unit"])
+
+
+def periodic_observations(audit: DataFrame, strict: bool = False) -> DataFrame:
+    """Facts of quarterly and half-year reports in long form, one document per publication.
+
+    A correction wins. Documents that disagree without one are rows of `periodic_conflicts`; in strict mode they stop the job.
+    """
+    if strict:
+        checks.require(periodic_conflicts(audit), "periodic reports")
+    return _observations(long_facts(chosen_documents(_periodic_reports(audit), PERIODIC_KEYS)))
 
 
-def annual_observations(audit: DataFrame) -> DataFrame:
-    """Shares and net value per security and year."""
-    reports = audit.where("document_type = 'annual_report'").withColumn("is_corrected", F.lit(False))
-    chosen = chosen_documents(reports, ["symbol", "period_end_candidate"])
+def annual_observations(audit: DataFrame, strict: bool = False) -> DataFrame:
+    """Shares and net value per security and year; conflicts as for periods, in `annual_conflicts`."""
+    if strict:
+        checks.require(annual_conflicts(audit), "annual reports")
+    reports = _annual_reports(audit).withColumn("is_corrected", F.lit(False))
+    chosen = chosen_documents(reports, ANNUAL_KEYS)
     return _observations(long_facts(chosen, [m for m in PERIODIC_METRICS if m[0] in ("fund_shares", "nav_per_unit")]))
 
 

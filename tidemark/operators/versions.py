@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import ids
+from tidemark.operators import checks
 
 OBSERVATION_KEY = ["symbol", "asset_id", "period_end", "metric"]
 
@@ -13,15 +14,18 @@ OBSERVATION_KEY = ["symbol", "asset_id", "period_end", "metric"]
 def observation_versions(observations: DataFrame, documents: DataFrame) -> DataFrame:
     """Half-open validity per version: a revision closes the one before on its own publication day.
 
+    Every observation stays. One whose source no document registers has a NULL document and quality `unregistered`; where a source
+    is registered twice, the smallest document id with the highest verification counts. `version_violations` lists such rows.
+
     The window runs per observation key. Versions of a key are unique per
     publication day, so its size is bounded by the calendar.
     """
-    lookup = documents.select("source_url", "document_id", "verification_status").distinct()
+    lookup = _one_document_per_source(documents)
     optional = lambda name, fallback: F.col(name if name in observations.columns else fallback)
     history = Window.partitionBy(*OBSERVATION_KEY).orderBy("publication_date")
-    identified = observations.join(lookup, "source_url").withColumn(
+    identified = observations.join(lookup, "source_url", "left").withColumn(
         "observation_id",
-        ids.readable_observation_id(*[F.col(c) for c in ("symbol", "asset_id", "period_end", "metric", "document_id")]),
+        ids.readable_observation_id(*[F.col(c) for c in ("symbol", "asset_id", "period_end", "metric")], F.coalesce("document_id", F.lit("unregistered"))),
     )
     return identified.select(
         "observation_id",
@@ -34,11 +38,36 @@ def observation_versions(observations: DataFrame, documents: DataFrame) -> DataF
         F.col("publication_date").alias("valid_from"),
         F.lead("publication_date").over(history).alias("valid_to"),
         F.lag("observation_id").over(history).alias("supersedes_observation_id"),
-        F.when(F.col("verification_status") == "human_verified", "verified").otherwise("unverified").alias("quality_status"),
+        F.when(F.col("document_id").isNull(), "unregistered").when(F.col("verification_status") == "human_verified", "verified")
+        .otherwise("unverified").alias("quality_status"),
         "source_url",
     )
 
 
+def _one_document_per_source(documents: DataFrame) -> DataFrame:
+    choice = F.struct((F.col("verification_status") != "human_verified").alias("_rank"), "document_id", "verification_status")
+    return documents.groupBy("source_url").agg(F.min(choice).alias("_d")).select("source_url", "_d.document_id", "_d.verification_status")
+
+
+def version_violations(observations: DataFrame, documents: DataFrame) -> DataFrame:
+    """Observations of unregistered sources, sources under two documents, and keys with two versions on one day."""
+    known = documents.select("source_url").distinct()
+    return checks.union(
+        checks.row_violations(
+            observations.join(known.withColumn("_known", F.lit(True)), "source_url", "left"), [*OBSERVATION_KEY, "publication_date"],
+            [checks.RowRule("source_registered", F.coalesce("_known", F.lit(False)), F.col("source_url"))]),
+        checks.row_violations(
+            documents.groupBy("source_url").agg(F.count_distinct("document_id").alias("_n")), ["source_url"],
+            [checks.RowRule("one_document_per_source", F.col("_n") == 1)]),
+        checks.duplicate_keys(observations, [*OBSERVATION_KEY, "publication_date"]),
+    )
+
+
+def active_violations(versions: DataFrame, moment: Column) -> DataFrame:
+    """Keys with two versions in force on a day."""
+    return checks.duplicate_keys(as_of(versions, moment), OBSERVATION_KEY)
+
+
 def in_force(moment: Column, valid_from: str = "valid_from", valid_to: str = "valid_to") -> Column:
     return (F.col(valid_from) <= moment) & (F.col(valid_to).isNull() | (F.col(valid_to) > moment))
 
@@ -65,9 +94,3 @@ def _pick(df: DataFrame, keys: list[str], order: list[str], choose) -> DataFrame
         .select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest])
         .select(*df.columns)
     )
-
-
-def known_by(observations: DataFrame, cutoffs: DataFrame, keys: list[str], cutoff: str, order: str) -> DataFrame:
-    """Latest version of each observation published by the cutoff of its group."""
-    eligible = observations.join(cutoffs, keys).where(F.col(order) <= F.col(cutoff))
-    return latest_per_key(eligible, [*OBSERVATION_KEY, cutoff], [order])

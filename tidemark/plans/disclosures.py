@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import ids, keyword_rules, text
 from tidemark.operators import catalogue, checks, coverage, extraction, joins, merges, queues
 from tidemark.plans import domain as d
+from tidemark.plans.oracle_views import code, fund_code
 from tidemark.plans.registry import query
 from tidemark.session import stage
 
@@ -77,10 +78,10 @@ def base_type(spark, sf):
     return cat(spark, sf).select("announcement_id", text.base_document_type(kind).alias("base_type"), text.is_corrected(kind).alias("corrected"))
 
 
-@query("P2_code_and_exchange", """SELECT c_custkey, lpad(CAST(c_custkey % 1000000 AS VARCHAR), 6, '0') AS symbol, CASE WHEN left(lpad(CAST(c_custkey % 1000000 AS VARCHAR), 6, '0'), 3) = '508' THEN 'SSE'
- WHEN left(lpad(CAST(c_custkey % 1000000 AS VARCHAR), 6, '0'), 3) IN ('180', '181') THEN 'SZSE' ELSE 'UNKNOWN' END AS exchange FROM customer""")
+@query("P2_code_and_exchange", f"""SELECT c_custkey, symbol, CASE WHEN left(symbol, 3) = '508' THEN 'SSE' WHEN left(symbol, 3) IN ('180', '181') THEN 'SZSE' ELSE 'UNKNOWN' END AS exchange
+ FROM (SELECT c_custkey, {code('c_custkey')} AS symbol FROM customer)""")
 def codes(spark, sf):
-    return d.table(spark, sf, "customer").select("c_custkey", text.security_code(F.col("c_custkey") % 1000000).alias("symbol")).withColumn(
+    return d.table(spark, sf, "customer").select("c_custkey", text.security_code(F.col("c_custkey")).alias("symbol")).withColumn(
         "exchange", text.exchange_of(F.col("symbol")))
 
 
@@ -343,6 +344,41 @@ query("U9_periodic_observations", "SELECT * FROM periodic", "value", **MERGE_VIE
 query("U10_annual_observations", "SELECT * FROM annual_", "value", **MERGE_VIEWS)(annual)
 
 
+# The reports as read, and once more with a second reading of every third fund: other facts without a correction, or a second correction.
+SECOND_READINGS = """SELECT * FROM facts_read UNION ALL SELECT * REPLACE (announcement_id || 'x' AS announcement_id, fund_shares + 1 AS fund_shares) FROM facts_read WHERE right(symbol, 1) IN ('2', '5', '8')"""
+_seen = "SELECT * FROM second_readings WHERE retrieval_status = 'success' AND document_type"
+
+
+def _conflict_sql(rows: str, keys: list[str], facts: str, corrected: str) -> str:
+    key = " || '|' || ".join(f"coalesce(CAST({k} AS VARCHAR), '?')" for k in keys)
+    summary = f"SELECT {', '.join(keys)}, count(*) FILTER ({corrected}) AS c, count(DISTINCT {facts}) AS f FROM ({rows}) GROUP BY ALL"
+    return (f"SELECT 'one_correction' AS rule, {key} AS key, '' AS detail FROM ({summary}) WHERE c > 1 "
+            f"UNION ALL SELECT 'facts_agree', {key}, '' FROM ({summary}) WHERE c = 0 AND f > 1")
+
+
+def second_readings(spark, sf):
+    rows = report_table(spark, sf)
+    other = rows.where("right(symbol, 1) in ('2', '5', '8')").withColumn("announcement_id", F.concat("announcement_id", F.lit("x"))).withColumn(
+        "fund_shares", F.col("fund_shares") + 1)
+    return rows.unionByName(other.select(rows.columns))
+
+
+_FACTS = "struct_pack(a := fund_shares, b := distributable_amount_period, c := distributable_amount_per_unit_period, d := nav_per_unit)"
+_AFACTS = "struct_pack(a := fund_shares, d := nav_per_unit)"
+
+
+@query("U9_document_conflicts", _conflict_sql(f"{_seen} IN ('quarterly_report', 'semiannual_report')", merges.PERIODIC_KEYS, _FACTS, "is_corrected"),
+       **{**MERGE_VIEWS, "second_readings": SECOND_READINGS})
+def periodic_conflicts(spark, sf):
+    return merges.periodic_conflicts(second_readings(spark, sf))
+
+
+@query("U10_year_conflicts", _conflict_sql(f"{_seen} = 'annual_report'", merges.ANNUAL_KEYS, _AFACTS, "is_corrected"),
+       **{**MERGE_VIEWS, "second_readings": SECOND_READINGS})
+def annual_conflicts(spark, sf):
+    return merges.annual_conflicts(second_readings(spark, sf))
+
+
 @query("U8_fact_panel", "SELECT * FROM panel", "value", **MERGE_VIEWS)
 def fact_panel(spark, sf):
     audit = report_table(spark, sf)
@@ -374,10 +410,17 @@ def resolved(spark, sf):
     return merges.resolved_distributions(rows).select("announcement_id", "symbol", "publication_date", "ex_date", "dpu_per_unit", "source_url")
 
 
-@query("U11_distribution_conflicts", """SELECT 'facts_agree_or_corrected' AS rule, symbol || '|' || publication_date AS key, '' AS detail FROM dist WHERE retrieval_status = 'success' GROUP BY symbol, publication_date
- HAVING count(DISTINCT (ex_date, dpu_per_unit)) > 1 AND count(*) FILTER (regexp_matches(title, '以此为准|更正')) = 0""", **DIST_VIEWS)
+# Every second payment is read a second time with another amount.
+DIST_TWICE = "SELECT * FROM dist UNION ALL SELECT * REPLACE (announcement_id || 'x' AS announcement_id, dpu_per_unit + 1 AS dpu_per_unit) FROM dist WHERE right(symbol, 1) IN ('0', '2', '4', '6', '8')"
+
+
+@query("U11_distribution_conflicts", """SELECT 'facts_agree_or_corrected' AS rule, symbol || '|' || publication_date AS key, '' AS detail FROM dist_twice WHERE retrieval_status = 'success' GROUP BY symbol, publication_date
+ HAVING count(DISTINCT (ex_date, dpu_per_unit)) > 1 AND count(*) FILTER (regexp_matches(title, '以此为准|更正')) = 0""", **{**DIST_VIEWS, "dist_twice": DIST_TWICE})
 def dist_conflicts(spark, sf):
-    return merges.distribution_conflicts(distribution_table(spark, sf).where("retrieval_status = 'success'"))
+    rows = distribution_table(spark, sf)
+    other = rows.where("right(symbol, 1) in ('0', '2', '4', '6', '8')").withColumn("announcement_id", F.concat("announcement_id", F.lit("x"))).withColumn(
+        "dpu_per_unit", F.col("dpu_per_unit") + 1)
+    return merges.distribution_conflicts(rows.unionByName(other.select(rows.columns)).where("retrieval_status = 'success'"))
 
 
 OLD, NEW = "publication_date < DATE '2019-01-01'", "publication_date >= DATE '2018-06-01'"
@@ -553,13 +596,13 @@ def extraction_queue(spark, sf):
     bool_and(regexp_matches(source_sha256, '^[0-9a-f]{{64}}$')) AS fh FROM panel GROUP BY 1) USING (symbol)
  LEFT JOIN (SELECT symbol, count(*) AS n, min(ex_date) AS a, max(ex_date) AS b, bool_and(content_sha256 IS NOT NULL) AS h FROM dist WHERE retrieval_status = 'success' GROUP BY 1) USING (symbol)
  LEFT JOIN (SELECT o_symbol AS symbol, count(*) AS pn, min(date) AS pa, max(date) AS pb FROM (SELECT DISTINCT fund_code_ AS o_symbol, date FROM fund_days) GROUP BY 1) USING (symbol)""",
-       **{**MERGE_VIEWS, **DIST_VIEWS, "fund_days": "SELECT CASE o_custkey % 3 WHEN 0 THEN '508' WHEN 1 THEN '180' ELSE '181' END || lpad(CAST(o_custkey % 1000 AS VARCHAR), 3, '0') AS fund_code_, date FROM ord WHERE o_custkey % 2 = 0"})
+       **{**MERGE_VIEWS, **DIST_VIEWS, "fund_days": f"SELECT {fund_code('o_custkey')} AS fund_code_, date FROM ord"})
 def readiness(spark, sf):
     securities = listings(spark, sf).select("symbol", "listing_date").join(
         evidence(spark, sf).select("symbol", "asset_type", "classification_status"), "symbol", "left").withColumn(
         "listing_status", F.when(F.col("listing_date") <= F.lit(AS_OF).cast("date"), "listed").otherwise("pre_listing_observed"))
     paid = distribution_table(spark, sf).where("retrieval_status = 'success'").withColumn("source_sha256", F.col("content_sha256"))
-    days = d._orders(spark, sf).where("o_custkey % 2 = 0").select(d.fund_code(F.col("o_custkey")).alias("symbol"), "date").distinct()
+    days = d._orders(spark, sf).select(d.fund_code(F.col("o_custkey")).alias("symbol"), "date").distinct()
     return coverage.fundamental_readiness(securities, fact_panel(spark, sf), paid, days)
 
 

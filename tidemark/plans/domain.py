@@ -2,7 +2,7 @@
 
 Sums run over whole cents and whole percents, so they are exact in any order and on
 any number of tasks. Big tables are aggregated to (key, day) before they are joined.
-Security codes have six digits by contract; keys beyond that are folded into them.
+Security codes have six digits or more: one code for each supplier, customer or nation, however many there are.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import periods, text
-from tidemark.session import spread, stage
+from tidemark.session import stage
 
 # Words put into made-up fund names and titles.
 TITLE_WORDS = ["数据中心", "租赁住房", "高速公路", "仓储物流", "产业园", "消费", "水务", "供热", "生物质", "清洁能源",
@@ -36,7 +36,7 @@ def day(column: str) -> Column:
 
 
 def code(key: Column) -> Column:
-    return F.lpad((key % 1_000_000).cast("string"), 6, "0")
+    return text.security_code(key)
 
 
 def _lines(spark, sf) -> DataFrame:
@@ -228,9 +228,9 @@ def fund_facts(spark, sf) -> DataFrame:
 
 
 def fund_code(key: Column) -> Column:
-    """Customers folded into at most 3000 fund codes of two exchanges."""
+    """One fund code for each customer: an exchange prefix by the remainder of three, then the quotient."""
     prefix = F.element_at(F.array(F.lit("508"), F.lit("180"), F.lit("181")), (key % 3 + 1).cast("int"))
-    return F.concat(prefix, F.lpad((key % 1000).cast("string"), 3, "0"))
+    return F.concat(prefix, text.zero_padded(F.floor(key / 3), 3))
 
 
 def _pick(words: list[str], index: Column) -> Column:
@@ -273,7 +273,8 @@ def announcements(spark, sf) -> DataFrame:
         .withColumn("_year", F.year("publication_date") - 1)
         .select(
             F.concat(F.lit("N"), F.lpad(key.cast("string"), 12, "0")).alias("announcement_id"), symbol.alias("symbol"), "publication_date",
-            _title(key % 16, _pick(TITLE_WORDS, lot % 12), symbol, key, lot).alias("title"),
+            # a generator of one row: filters on the title below then test it as a value instead of holding its expression many times
+            F.explode(F.array(_title(key % 16, _pick(TITLE_WORDS, lot % 12), symbol, key, lot))).alias("title"),
             F.when(key % 16 == 3, "权益分派").otherwise("定期公告").alias("original_type"),
         )
     )
@@ -297,14 +298,10 @@ def announcements(spark, sf) -> DataFrame:
 
 
 def catalogue(spark, sf) -> DataFrame:
-    """Announcements with document type and period read from the title.
-
-    The announcements are written first, as a catalogue is a kept table: filters on
-    the document type then test a stored title instead of building it again.
-    """
+    """Announcements with document type and period read from the title, as one projection over the orders; nothing is written."""
     from tidemark.operators import catalogue as c
 
-    return c.reclassify(stage(announcements(spark, sf), "announcements"))
+    return c.reclassify(announcements(spark, sf))
 
 
 def _four_decimals(units: Column) -> Column:
@@ -364,7 +361,7 @@ def document_texts(spark, sf) -> DataFrame:
     for mark, value in fill.items():
         body = F.replace(body, F.lit("{" + mark + "}"), value)
     number = F.concat(F.lit("N"), F.lpad(key.cast("string"), 12, "0"))
-    rows = spread(_orders(spark, sf)).join(docs, "o_orderkey", "left")
+    rows = _orders(spark, sf).join(docs, "o_orderkey", "left")
     return rows.select(
         number.alias("announcement_id"), fund_code(F.col("o_custkey")).alias("symbol"), published.alias("publication_date"),
         F.concat(F.lit("https://exchange.example/"), number).alias("source_url"), F.concat(F.coalesce("prose", F.lit("")), body).alias("text"),

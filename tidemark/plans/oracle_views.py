@@ -25,11 +25,15 @@ def friday(d: str) -> str:
 
 
 def code(k: str) -> str:
-    return f"lpad(CAST(({k}) % 1000000 AS VARCHAR), 6, '0')"
+    return padded(k, 6)
+
+
+def padded(k: str, digits: int) -> str:
+    return f"(CASE WHEN length(CAST({k} AS VARCHAR)) < {digits} THEN lpad(CAST({k} AS VARCHAR), {digits}, '0') ELSE CAST({k} AS VARCHAR) END)"
 
 
 def fund_code(k: str) -> str:
-    return f"(CASE ({k}) % 3 WHEN 0 THEN '508' WHEN 1 THEN '180' ELSE '181' END || lpad(CAST(({k}) % 1000 AS VARCHAR), 3, '0'))"
+    return f"(CASE ({k}) % 3 WHEN 0 THEN '508' WHEN 1 THEN '180' ELSE '181' END || {padded(f'(({k}) // 3)', 3)})"
 
 
 def pick(words: list[str], index: str) -> str:

@@ -79,6 +79,33 @@ query("R1_point_in_time_features", "SELECT * FROM features", FEATURE_DOUBLES, **
 query("R3_cross_section_signals", "SELECT * FROM signals", SIGNAL_DOUBLES, **FEATURE_VIEWS)(signals)
 
 
+# Planted faults: sources of nation 3 are not registered, those of nation 5 twice, and observations of nation 7 come twice on a day.
+FAULTY = {"fobs": "SELECT * FROM obs UNION ALL SELECT * FROM obs WHERE symbol = '000007'",
+          "freg": "SELECT * FROM registry WHERE symbol <> '000003' UNION ALL SELECT * REPLACE (document_id || 'x' AS document_id) FROM registry WHERE symbol = '000005'"}
+_okey = "symbol || '|' || asset_id || '|' || period_end || '|' || metric || '|' || publication_date"
+
+
+def faulty(spark, sf):
+    rows = d.kept_observations(spark, sf)
+    docs = d.registry(spark, sf, rows)
+    twice = docs.where("symbol = '000005'").withColumn("document_id", F.concat("document_id", F.lit("x")))
+    return rows.unionByName(rows.where("symbol = '000007'")), docs.where("symbol <> '000003'").unionByName(twice)
+
+
+@query("W1_version_violations", f"""SELECT 'source_registered' AS rule, {_okey} AS key, source_url AS detail FROM fobs WHERE source_url NOT IN (SELECT source_url FROM freg)
+ UNION ALL SELECT 'one_document_per_source', source_url, '' FROM freg GROUP BY source_url HAVING count(DISTINCT document_id) > 1
+ UNION ALL SELECT 'unique_key', {_okey}, CAST(count(*) AS VARCHAR) FROM fobs GROUP BY symbol, asset_id, period_end, metric, publication_date HAVING count(*) > 1""", **FAULTY)
+def version_faults(spark, sf):
+    return v.version_violations(*faulty(spark, sf))
+
+
+@query("W1_unregistered_observations", """SELECT symbol, asset_id, period_end, metric, publication_date AS valid_from, 'unregistered' AS quality_status, CAST(NULL AS VARCHAR) AS document_id
+ FROM fobs WHERE source_url NOT IN (SELECT source_url FROM freg)""", **FAULTY)
+def unregistered(spark, sf):
+    return v.observation_versions(*faulty(spark, sf)).where("quality_status = 'unregistered'").select(
+        "symbol", "asset_id", "period_end", "metric", "valid_from", "quality_status", "document_id")
+
+
 @query("R2_features_with_asset_type", "SELECT symbol, period_end, asset_type, operating_yoy_pct FROM features JOIN definitions USING (symbol)",
        "operating_yoy_pct", **FEATURE_VIEWS)
 def typed_features(spark, sf):

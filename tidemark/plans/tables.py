@@ -11,9 +11,9 @@ from tidemark.operators import catalogue, checks, coverage, joins
 from tidemark.plans import disclosures as disc
 from tidemark.plans import domain as d
 from tidemark.plans import point_in_time as pit
-from tidemark.plans.oracle_views import qend
+from tidemark.plans.oracle_views import code, qend
 from tidemark.plans.registry import query
-from tidemark.session import shared_dir
+from tidemark.session import new_folder, shared_dir
 from tidemark.sources import sinks, tables
 from tidemark.streaming import ingest
 
@@ -86,7 +86,7 @@ def requirements(spark, sf):
 REQUIREMENTS = "SELECT asset_type, metric, CASE metric WHEN 'revenue' THEN 'optional' ELSE 'core' END AS requirement_level, 'quarterly' AS expected_frequency FROM (SELECT DISTINCT asset_type FROM assets) JOIN (SELECT unnest(['quantity', 'revenue', 'rent']) AS metric) ON true"
 scan("S4_requirement_scan", "metric_requirements", requirements, "SELECT * FROM req", req=REQUIREMENTS)
 
-EVENTS = """SELECT 'E' || event_id AS event_id, lpad(CAST(user_id % 1000000 AS VARCHAR), 6, '0') AS symbol, CASE WHEN event_id % 3 > 0 THEN 'A00' END AS asset_id, event_type, CAST(ts AS DATE) AS event_start, CAST(CAST(ts AS DATE) + CAST(event_id % 5 AS INTEGER) AS DATE) AS event_end,
+EVENTS = f"""SELECT 'E' || event_id AS event_id, {code('user_id')} AS symbol, CASE WHEN event_id % 3 > 0 THEN 'A00' END AS asset_id, event_type, CAST(ts AS DATE) AS event_start, CAST(CAST(ts AS DATE) + CAST(event_id % 5 AS INTEGER) AS DATE) AS event_end,
  (['day', 'month', 'quarter'])[CAST(event_id % 3 AS INTEGER) + 1] AS date_precision, CAST(CAST(ts AS DATE) + 2 AS DATE) AS publication_date, 'https://exchange.example/E' || event_id AS source_url FROM events"""
 
 
@@ -344,3 +344,26 @@ def streamed(spark, sf):
     feed = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
     ingest.start_ingest(feed, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/out/accepted").select("announcement_id", "symbol", "document_type_candidate")
+
+
+# Two waves: ids not ending in 5, then those that do, the first wave's ids ending in 3 again and those ending in 7 with another title.
+WAVES = {"first_wave": "SELECT * FROM ann WHERE NOT suffix(announcement_id, '5')",
+         "newest": "SELECT max(publication_date) AS day FROM first_wave WHERE publication_date < DATE '2017-01-01'"}
+
+
+@query("X2_stream_outcomes", """SELECT 'accepted' AS outcome, announcement_id FROM first_wave WHERE publication_date < DATE '2017-01-01'
+ UNION ALL SELECT CASE WHEN publication_date < day - 7 THEN 'late' ELSE 'accepted' END, announcement_id FROM ann JOIN newest ON true WHERE suffix(announcement_id, '5')
+ UNION ALL SELECT 'conflicts', announcement_id FROM first_wave WHERE suffix(announcement_id, '7') AND publication_date < DATE '2017-01-01'""", **WAVES)
+def stream_outcomes(spark, sf):
+    """Where each announcement of two waves ends up: replays give no row, changed titles are conflicts, old ones are late."""
+    folder = new_folder(spark, "stream")
+    rows = d.announcements(spark, sf).select("announcement_id", "symbol", F.col("publication_date").cast("timestamp").alias("publication_ts"), "title", "original_type", "source_url")
+    ends = lambda digit: F.col("announcement_id").endswith(digit)
+    first = rows.where(~ends("5") & (F.col("publication_ts") < F.lit("2017-01-01").cast("timestamp")))
+    second = rows.where(ends("5")).unionByName(first.where(ends("3"))).unionByName(first.where(ends("7")).withColumn("title", F.concat("title", F.lit("*"))))
+    for wave in (first, second):
+        wave.write.mode("append").parquet(f"{folder}/in")
+        feed = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 10_000).parquet(f"{folder}/in")
+        ingest.start_ingest(feed, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    found = [spark.read.parquet(f"{folder}/out/{name}").select(F.lit(name).alias("outcome"), "announcement_id") for name in ("accepted", "conflicts", "late")]
+    return found[0].union(found[1]).union(found[2])

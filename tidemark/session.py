@@ -59,13 +59,3 @@ def new_folder(spark: SparkSession, label: str) -> str:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     return path
-
-
-def spread(scan: DataFrame) -> DataFrame:
-    """Spread a scan of few files over all cores before work that is heavy per row.
-
-    Only the number of splits is looked at, nothing is run. A large table has more
-    splits than cores and is left alone, so no shuffle is added there.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan

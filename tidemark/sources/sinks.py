@@ -30,21 +30,30 @@ def _filesystem(spark: SparkSession, path: str):
 def guarded_replace(df: DataFrame, folder: str, replace: bool = False) -> str:
     """Publish a new version of a snapshot; an existing one is kept unless replacing is asked for.
 
-    The data goes to a new version folder first and a small pointer table names it
-    last, so a lost job leaves the old version in place.
+    Versions are folders with a rising number. The newest one that its job finished, and so marked, is the
+    current one: nothing is overwritten, and a lost job leaves the old version in place.
     """
-    spark, pointer = df.sparkSession, f"{folder.rstrip('/')}/current"
-    fs, target = _filesystem(spark, pointer)
-    if fs.exists(target) and not replace:
+    spark = df.sparkSession
+    found = _finished_versions(spark, folder)
+    if found and not replace:
         raise FileExistsError(f"{folder} has a snapshot already")
-    version = f"{folder.rstrip('/')}/version-{uuid.uuid4().hex}"
-    df.write.parquet(version)
-    spark.createDataFrame([(version,)], "path string").coalesce(1).write.mode("overwrite").parquet(pointer)
+    number = int(found[-1].split("-")[1]) + 1 if found else 1
+    version = f"{folder.rstrip('/')}/version-{number:012d}-{uuid.uuid4().hex}"
+    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(version)
     return version
 
 
+def _finished_versions(spark: SparkSession, folder: str) -> list[str]:
+    fs, _ = _filesystem(spark, folder)
+    marks = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/version-*/_SUCCESS")) or []
+    return sorted(m.getPath().getParent().getName() for m in marks)
+
+
 def current_snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(spark.read.parquet(f"{folder.rstrip('/')}/current").first()["path"])
+    found = _finished_versions(spark, folder)
+    if not found:
+        raise FileNotFoundError(f"{folder} has no finished snapshot")
+    return spark.read.parquet(f"{folder.rstrip('/')}/{found[-1]}")
 
 
 def fingerprints(spark: SparkSession, paths: list[str]) -> DataFrame:

@@ -28,7 +28,7 @@ class Contract:
 
 def _contracts() -> dict[str, Contract]:
     """Built on use, since rules are column expressions and need a running session."""
-    code = checks.pattern("symbol", r"\d{6}")
+    code = checks.pattern("symbol", r"\d{6,}")
     published = checks.ordered_dates("period_end", "publication_date")
     sha = RowRule("content_sha256_pattern", F.coalesce("content_sha256", F.lit("")).rlike("^([0-9a-f]{64})?$"))
     units = {  # Fixed values: unit of each fund fact.

@@ -1,56 +1,70 @@
-"""Structured Streaming ingest: late rows by watermark, each id once, changed content set aside."""
+"""Structured Streaming ingest: each id once, changed content and late rows set aside in tables of their own."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import catalogue
 
-OVERLAP = "7 days"
+OVERLAP_DAYS = 7
+OVERLAP = f"{OVERLAP_DAYS} days"
+# Accepted rows lie in so many parts by a hash of the id; a batch reads the parts of its ids only.
+PARTS = 64
 
 
-def announcements(stream: DataFrame, event_time: str = "publication_ts", overlap: str = OVERLAP) -> DataFrame:
-    """Classified announcements. Rows up to a week late are taken, repeats of (id, content) inside it are dropped.
-
-    Content is part of the key: a repeat with other content passes on and is
-    split off as a conflict by the sink, instead of vanishing as a duplicate.
-    """
+def announcements(stream: DataFrame, event_time: str = "publication_ts") -> DataFrame:
+    """Classified announcements with a key of their content."""
     content = F.sha2(F.concat_ws("\u001f", *[F.coalesce(c, F.lit("")) for c in ("title", "original_type", "source_url")]), 256)
-    stamped = stream.withColumn(event_time, F.col(event_time).cast("timestamp")).withColumn("content_key", content)
-    unique = stamped.withWatermark(event_time, overlap).dropDuplicatesWithinWatermark(["announcement_id", "content_key"])
-    return catalogue.reclassify(unique)
+    return catalogue.reclassify(stream.withColumn(event_time, F.col(event_time).cast("timestamp")).withColumn("content_key", content))
+
 
+def split_batch(batch: DataFrame, known: DataFrame, horizon: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """New rows, rows whose id has other content (known, or earlier in the batch), and new ids from before the horizon.
 
-def split_batch(batch: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """New rows, and rows whose id is known with other content (or comes twice in the batch)."""
-    first = batch.groupBy("announcement_id").agg(F.min_by("content_key", "publication_ts").alias("_first"))
+    Of several contents of a new id the earliest counts, and of those with one time the smallest key. Repeats of known
+    content, late or not, give no row.
+    """
+    one = batch.dropDuplicates(["announcement_id", "content_key"])
+    first = one.groupBy("announcement_id").agg(F.min(F.struct("publication_ts", "content_key"))["content_key"].alias("_first"))
     settled = first.join(known.select("announcement_id", F.col("content_key").alias("_known")), "announcement_id", "left")
-    marked = batch.join(settled.withColumn("_right", F.coalesce("_known", "_first")), "announcement_id")
-    new = marked.where(F.col("_known").isNull() & (F.col("content_key") == F.col("_right")))
+    marked = one.join(settled, "announcement_id").withColumn("_right", F.coalesce("_known", "_first")).withColumn(
+        "_late", F.coalesce(F.col("publication_ts") < horizon, F.lit(False)))
+    fresh = marked.where(F.col("_known").isNull() & (F.col("content_key") == F.col("_right")))
     changed = marked.where(F.col("content_key") != F.col("_right"))
-    return new.select(*batch.columns), changed.select(*batch.columns)
+    columns = batch.columns
+    return fresh.where("not _late").select(columns), changed.select(columns), fresh.where("_late").select(columns)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
 def start_ingest(stream: DataFrame, folder: str, checkpoint: str):
-    """Append new announcements and conflicts to two tables below ``folder``; runs what is there, then stops.
+    """Append new announcements, conflicts and late rows to tables below ``folder``; runs what is there, then stops.
 
-    Each micro-batch writes into a partition of its own number, replaced when the
+    A row is late when it is more than OVERLAP_DAYS older than the newest row of earlier batches and its id is unknown: it is
+    kept in `late`, so nothing vanishes. Each micro-batch writes into a partition of its own number, replaced when the
     batch is run again after a failure, so nothing is written twice.
     """
-    accepted, conflicts = f"{folder}/accepted", f"{folder}/conflicts"
+    tables = {name: f"{folder}/{name}" for name in ("accepted", "conflicts", "late", "newest")}
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(accepted)
-        exists = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-        known = (
-            spark.read.parquet(accepted).where(F.col("batch") != number).select("announcement_id", "content_key")
-            if exists else batch.select("announcement_id", "content_key").limit(0))
-        batch.persist()
-        new, changed = split_batch(batch, known)
-        new.write.mode("overwrite").parquet(f"{accepted}/batch={number}")
-        changed.write.mode("overwrite").parquet(f"{conflicts}/batch={number}")
+        batch = batch.withColumn("part", F.pmod(F.xxhash64("announcement_id"), F.lit(PARTS)).cast("int")).persist()
+        known = batch.select("announcement_id", "content_key").limit(0)
+        if _exists(spark, tables["accepted"]):
+            parts = [r["part"] for r in batch.select("part").distinct().collect()]  # at most PARTS numbers
+            known = spark.read.parquet(tables["accepted"]).where((F.col("batch") != number) & F.col("part").isin(parts)).select("announcement_id", "content_key")
+        newest = None
+        if _exists(spark, tables["newest"]):
+            newest = spark.read.parquet(tables["newest"]).where(F.col("batch") < number).agg(F.max("publication_ts")).first()[0]
+        horizon = F.lit(newest).cast("timestamp") - F.expr(f"INTERVAL {OVERLAP_DAYS} DAYS")
+        out = dict(zip(("accepted", "conflicts", "late"), split_batch(batch, known, horizon), strict=True))
+        for name, rows in out.items():
+            rows.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{tables[name]}/batch={number}")
+        batch.agg(F.max("publication_ts").alias("publication_ts")).write.mode("overwrite").parquet(f"{tables['newest']}/batch={number}")
         batch.unpersist()
 
     return (
