@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import stage
+
 
 def average_rank(value: Column, *group: str) -> Column:
     """Ascending rank, ties share their mean rank. Nulls must be filtered out before."""
@@ -54,7 +56,7 @@ def average_rank_of_large_groups(df: DataFrame, group: list[str], values: dict[s
     ranked_rows = df
     for value, rank in values.items():
         counted = df.where(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_ties"))
-        counted = _with_range(counted, group, value)
+        counted = stage(_with_range(stage(counted, "distinct"), group, value), "ranges")  # counts of distinct values, read four times
         below = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
         ranges = (
             counted.groupBy(*group, "_range")

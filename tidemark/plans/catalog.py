@@ -6,7 +6,7 @@ import importlib
 
 from tidemark.plans.registry import ORACLES, QUERIES
 
-MODULES = ["market", "point_in_time", "portfolios", "disclosures", "weather", "tables", "gates", "elements"]
+MODULES = ["market", "point_in_time", "portfolios", "disclosures", "weather", "tables", "gates", "elements", "contracts"]
 
 
 def _load() -> None:

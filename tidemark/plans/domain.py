@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import periods, text
-from tidemark.session import stage
+from tidemark.session import shared, stage
 
 # Words put into made-up fund names and titles.
 TITLE_WORDS = ["数据中心", "租赁住房", "高速公路", "仓储物流", "产业园", "消费", "水务", "供热", "生物质", "清洁能源",
@@ -62,10 +62,12 @@ def prices(spark, sf) -> DataFrame:
     return _as_prices(_bars(rows, ["symbol", "date"]))
 
 
+@shared
 def benchmark(spark, sf) -> DataFrame:
     return _as_prices(_bars(_lines(spark, sf), ["date"])).select("date", "close")
 
 
+@shared
 def nation_prices(spark, sf) -> DataFrame:
     """Weekly bars per nation, dated by their Friday."""
     weekly = _bars(
@@ -76,6 +78,7 @@ def nation_prices(spark, sf) -> DataFrame:
     return _as_prices(_bars(rows, ["symbol", "date"]))
 
 
+@shared
 def nation_benchmark(spark, sf) -> DataFrame:
     rows = _lines(spark, sf).withColumn("date", periods.friday_week(F.col("date")))
     return _as_prices(_bars(rows, ["date"])).select("date", "close")
@@ -93,6 +96,7 @@ def _url(document_id: Column) -> Column:
     return F.concat(F.lit("https://disclosure.example/"), document_id)
 
 
+@shared
 def observations(spark, sf) -> DataFrame:
     """Quarterly metrics per asset in two versions: kept lines soon after quarter end, all lines 180 days after."""
     kept = F.col("l_returnflag") != "R"
@@ -160,6 +164,7 @@ def _by(*keys):
     return Window.partitionBy(*keys)
 
 
+@shared
 def assets(spark, sf) -> DataFrame:
     rows = table(spark, sf, "supplier").select(
         code(F.col("s_nationkey")).alias("symbol"), _asset(F.col("s_suppkey")).alias("asset_id"), "s_nationkey"
@@ -185,6 +190,7 @@ def _orders(spark, sf) -> DataFrame:
     )
 
 
+@shared
 def distributions(spark, sf) -> DataFrame:
     slot = F.col("o_custkey") % 25
     per_day = _orders(spark, sf).groupBy(slot.alias("_slot"), F.col("date").alias("publication_date")).agg(F.sum("cents").alias("cents"))
@@ -198,6 +204,7 @@ def distributions(spark, sf) -> DataFrame:
     )
 
 
+@shared
 def fund_facts(spark, sf) -> DataFrame:
     slot = F.col("o_custkey") % 25
     per_quarter = (
@@ -368,6 +375,7 @@ def document_texts(spark, sf) -> DataFrame:
     )
 
 
+@shared
 def universe_history(spark, sf) -> DataFrame:
     """Month-end snapshots of the funds with an order in the month."""
     seen = _orders(spark, sf).select(
@@ -385,13 +393,17 @@ def universe_history(spark, sf) -> DataFrame:
 # --- weather, annual metrics and areas -----------------------------------------------------------
 
 
+@shared
+def _grid_days(spark, sf) -> DataFrame:
+    """Lines summed per grid point and day: seven rows for each day."""
+    return _lines(spark, sf).groupBy(F.col("l_linenumber").alias("_grid"), F.col("date").alias("time")).agg(
+        F.sum("qty").alias("qty"), F.sum("pct").alias("pct"), F.count(F.lit(1)).alias("n"))
+
+
 def daily_weather(spark, sf) -> DataFrame:
     """Every grid point on every day of the whole quarters covered; days without lines are dry."""
-    lines = _lines(spark, sf)
-    seen = lines.groupBy(F.col("l_linenumber").alias("_grid"), F.col("date").alias("time")).agg(
-        F.sum("qty").alias("qty"), F.sum("pct").alias("pct")
-    )
-    span = lines.agg(F.trunc(F.min("date"), "quarter").alias("a"), periods.quarter_end(F.max("date")).alias("b"))
+    seen = _grid_days(spark, sf)
+    span = _grid_days(spark, sf).agg(F.trunc(F.min("time"), "quarter").alias("a"), periods.quarter_end(F.max("time")).alias("b"))
     grid = span.select(
         F.explode(F.sequence("a", "b")).alias("time"), F.array(*[F.lit(i) for i in range(1, 8)]).alias("_g")
     ).select("time", F.explode("_g").alias("_grid"))
@@ -405,10 +417,10 @@ def daily_weather(spark, sf) -> DataFrame:
 
 def grid_weights(spark, sf) -> DataFrame:
     """Share of all lines per grid point; seven points."""
-    counts = table(spark, sf, "lineitem").groupBy("l_linenumber").agg(F.count(F.lit(1)).alias("n"))
+    counts = _grid_days(spark, sf).groupBy("_grid").agg(F.sum("n").alias("n"))
     total = counts.agg(F.sum("n")).scalar()
     return counts.select(
-        F.concat(F.lit("grid_"), F.lpad(F.col("l_linenumber").cast("string"), 2, "0")).alias("grid_point_id"),
+        F.concat(F.lit("grid_"), F.lpad(F.col("_grid").cast("string"), 2, "0")).alias("grid_point_id"),
         (F.col("n") / total).alias("area_weight"),
     )
 
@@ -422,6 +434,7 @@ def hourly_forecast(spark, sf) -> DataFrame:
     )
 
 
+@shared
 def annual_metrics(spark, sf) -> DataFrame:
     """Output, curtailed output and their sum per nation and whole year, in long form."""
     lines = _lines(spark, sf)
@@ -448,6 +461,7 @@ def annual_metrics(spark, sf) -> DataFrame:
     )
 
 
+@shared
 def polygons(spark, sf) -> DataFrame:
     """One twelve-cornered area per nation; the month's share of trade sets the distance of its corner."""
     monthly = _lines(spark, sf).groupBy("l_suppkey", F.month("date").alias("seq")).agg(F.sum("cents").alias("cents"))

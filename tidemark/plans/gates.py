@@ -18,12 +18,12 @@ _members = "SELECT count(DISTINCT symbol) FROM universe WHERE snapshot_date = (S
 
 
 @query("R15_data_gates", _rows([
-    ("current_universe_price_coverage", "SELECT count(DISTINCT symbol) FROM universe WHERE snapshot_date = (SELECT max(snapshot_date) FROM universe) AND symbol IN (SELECT symbol FROM ann WHERE publication_date < DATE '2018-01-01')", _members, ">="),
+    ("current_universe_price_coverage", "SELECT count(DISTINCT symbol) FROM universe WHERE snapshot_date = (SELECT max(snapshot_date) FROM universe) AND symbol IN (SELECT symbol FROM ann)", _members, ">="),
     ("historical_universe_snapshots", "SELECT count(DISTINCT snapshot_date) FROM universe", "12", ">="),
     ("verified_asset_types", "5", _members, "="), ("point_in_time_distribution_history", "5", _members, "="),
     ("point_in_time_nav_history", "0", _members, ">="), ("government_bond_vintage", "0", "1", ">=")]), **disclosures.VIEWS)
 def data_gates(spark, sf):
-    priced = d.announcements(spark, sf).where("publication_date < date'2018-01-01'").select("symbol")
+    priced = d.announcements(spark, sf).select("symbol")
     return gates.data_gates(stage(d.universe_history(spark, sf), "universe"), priced, None, 5, 5)
 
 

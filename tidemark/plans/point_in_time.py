@@ -209,10 +209,10 @@ def study_summary(spark, sf):
     return study.event_study_summary(event_study(spark, sf))
 
 
-@query("C5_foreign_keys", "SELECT 'foreign_key' AS rule, symbol || '|' || asset_id AS key, '' AS detail FROM (SELECT DISTINCT symbol, asset_id FROM obs WHERE value > 1000) o ANTI JOIN (SELECT * FROM assets WHERE asset_id <> 'A01') USING (symbol, asset_id)")
+@query("C5_foreign_keys", "SELECT 'foreign_key' AS rule, symbol || '|' || asset_id AS key, '' AS detail FROM (SELECT DISTINCT symbol, asset_id FROM obs) o ANTI JOIN (SELECT * FROM assets WHERE asset_id <> 'A01') USING (symbol, asset_id)")
 def foreign(spark, sf):
     known_assets = d.assets(spark, sf).where("asset_id <> 'A01'")
-    return checks.missing_parents(d.observations(spark, sf).where("value > 1000"), known_assets, ["symbol", "asset_id"])
+    return checks.missing_parents(d.observations(spark, sf), known_assets, ["symbol", "asset_id"])
 
 
 @query("C7_document_lineage", """SELECT rule, document_id AS key, '' AS detail FROM (

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.plans.oracle_views import sql
+from tidemark.session import one_query
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -26,7 +27,8 @@ def query(name: str, oracle: str | None = None, doubles: str = "", digits: int =
 
     def wrap(build: Query) -> Query:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return rounded(build(spark, sf_dir), digits)
+            with one_query():
+                return rounded(build(spark, sf_dir), digits)
 
         QUERIES[name] = run
         if oracle is not None:

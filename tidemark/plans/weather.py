@@ -19,6 +19,9 @@ VIEWS = {
     "point": f"""SELECT {qend('time')} AS period_end, max(precipitation_sum) AS precipitation_max_daily_mm, count(*) AS weather_days, count(*) FILTER (precipitation_sum > 0.1) AS wet_days,
         sum(precipitation_sum) AS precipitation_sum_mm, sum(rain_sum) AS rain_sum_mm, sum(snowfall_sum) AS snowfall_sum_cm, sum(et0_fao_evapotranspiration) AS et0_fao_evapotranspiration_sum_mm,
         avg(temperature_2m_mean) AS temperature_2m_mean_c FROM weather WHERE grid_point_id = 'grid_01' GROUP BY 1""",
+    "points": f"""SELECT grid_point_id, {qend('time')} AS period_end, max(precipitation_sum) AS precipitation_max_daily_mm, count(*) AS weather_days, count(*) FILTER (precipitation_sum > 0.1) AS wet_days,
+        sum(precipitation_sum) AS precipitation_sum_mm, sum(rain_sum) AS rain_sum_mm, sum(snowfall_sum) AS snowfall_sum_cm, sum(et0_fao_evapotranspiration) AS et0_fao_evapotranspiration_sum_mm,
+        avg(temperature_2m_mean) AS temperature_2m_mean_c FROM weather GROUP BY 1, 2""",
     "area": f"""SELECT *, t / weather_days AS temperature_2m_mean_c FROM (SELECT {qend('time')} AS period_end, sum(precipitation_sum * area_weight) AS precipitation_sum_mm, sum(rain_sum * area_weight) AS rain_sum_mm,
         sum(snowfall_sum * area_weight) AS snowfall_sum_cm, sum(et0_fao_evapotranspiration * area_weight) AS et0_fao_evapotranspiration_sum_mm, sum(temperature_2m_mean * area_weight) AS t, count(DISTINCT time) AS weather_days
         FROM weather JOIN weights USING (grid_point_id) GROUP BY 1)""",
@@ -47,7 +50,11 @@ def area_quarters(spark, sf):
     return w.quarterly_area_weather(d.daily_weather(spark, sf), d.grid_weights(spark, sf))
 
 
-query("A20_quarterly_point_weather", "SELECT * FROM point", QUARTER_DOUBLES + " precipitation_max_daily_mm", **VIEWS)(point_quarters)
+@query("A20_quarterly_point_weather", "SELECT * FROM points", QUARTER_DOUBLES + " precipitation_max_daily_mm", **VIEWS)
+def all_point_quarters(spark, sf):
+    return w.quarterly_point_weather(d.daily_weather(spark, sf), ["grid_point_id"])
+
+
 query("A21_quarterly_area_weather", "SELECT * EXCLUDE (t) FROM area", QUARTER_DOUBLES, 9, **VIEWS)(area_quarters)
 
 

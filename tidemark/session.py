@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -59,3 +62,35 @@ def new_folder(spark: SparkSession, label: str) -> str:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(target)
     return path
+
+
+_READS: dict[tuple, DataFrame | None] | None = None
+
+
+@contextmanager
+def one_query() -> Iterator[None]:
+    """While a query is put together, tables of `shared` functions are remembered; nothing is kept for the next query."""
+    global _READS
+    before, _READS = _READS, {}
+    try:
+        yield
+    finally:
+        _READS = before
+
+
+def shared(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """For aggregated tables that one query may read many times: its second use writes the table, which later uses read."""
+
+    @functools.wraps(build)
+    def get(spark: SparkSession, sf: str) -> DataFrame:
+        if _READS is None:
+            return build(spark, sf)
+        key = (build.__name__, sf)
+        if key not in _READS:
+            _READS[key] = None
+            return build(spark, sf)
+        if _READS[key] is None:
+            _READS[key] = stage(build(spark, sf), build.__name__)
+        return _READS[key]
+
+    return get

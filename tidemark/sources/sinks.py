@@ -56,10 +56,11 @@ def current_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{found[-1]}")
 
 
-def fingerprints(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """Name, length and SHA-256 of files, read and hashed on the executors."""
-    files = spark.read.format("binaryFile").load(paths)
+def fingerprints(spark: SparkSession, paths: list[str], pattern: str = "*", recursive: bool = False) -> DataFrame:
+    """Name, length and SHA-256 of files, read and hashed on the executors; on request of all files below folders."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", pattern).load(paths)
     return files.select(
+        "path",
         F.element_at(F.split("path", "/"), -1).alias("file_name"), F.col("length").alias("content_length_bytes"),
         F.sha2("content", 256).alias("content_sha256"))
 

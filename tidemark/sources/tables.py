@@ -158,8 +158,15 @@ def read_parquet(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def union_files(spark: SparkSession, paths: list[str], name: str) -> DataFrame:
-    """Many files, or folders, of one table as one scan."""
-    return typed(spark.read.csv(paths, header=True, inferSchema=False), name)
+    """Many files, or folders, of one table as one scan; a malformed line stops the job."""
+    return typed(spark.read.csv(paths, header=True, inferSchema=False, mode="FAILFAST"), name)
+
+
+def union_conflicts(df: DataFrame, source: str) -> DataFrame:
+    """Sources that several files give with different content."""
+    content = F.sha2(F.to_json(F.struct(*df.columns)), 256)
+    found = df.groupBy(source).agg(F.count_distinct(content).alias("_n"))
+    return checks.row_violations(found, [source], [RowRule("same_source_same_content", F.col("_n") == 1)])
 
 
 # Column names of quote lists and histories in their own language.
