@@ -91,7 +91,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     for named in reversed(maps[:-1]):
         later = out.select(F.col("node").alias("to"), F.col("root").alias("later"))
         out = named.join(later, "to", "left").select("node", F.coalesce("later", "to").alias("root"))
-    return out
+    return stage(out, "roots")
 
 
 # Words of Arrow batches, all documents of a piece at once.
