@@ -368,7 +368,9 @@ def document_texts(spark, sf) -> DataFrame:
     for mark, value in fill.items():
         body = F.replace(body, F.lit("{" + mark + "}"), value)
     number = F.concat(F.lit("N"), F.lpad(key.cast("string"), 12, "0"))
-    rows = _orders(spark, sf).join(docs, "o_orderkey", "left")
+    # narrow rows are dealt out by their key before texts are made: text work then spreads over all cores, however few splits the scan has
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = _orders(spark, sf).repartition(parts, "o_orderkey").join(docs, "o_orderkey", "left")
     return rows.select(
         number.alias("announcement_id"), fund_code(F.col("o_custkey")).alias("symbol"), published.alias("publication_date"),
         F.concat(F.lit("https://exchange.example/"), number).alias("source_url"), F.concat(F.coalesce("prose", F.lit("")), body).alias("text"),
