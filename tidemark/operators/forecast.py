@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from tidemark.functions import periods, ranks
 
 
-def expanding_forecasts(panel: DataFrame, target: str, features: dict[str, str], minimum_train: int = 5) -> DataFrame:
+def expanding_forecasts(panel: DataFrame, target: str, features: dict[str, str], minimum_train: int = 5,
+                        by: list[str] | None = None) -> DataFrame:
     """Mean, last value and one-variable least squares, each fitted on earlier years only.
 
-    One window per symbol over its years; a feature without variance falls back to the mean.
+    One window per symbol (and key of `by`) over its years; a feature without variance falls back to the mean.
     """
-    line = Window.partitionBy("symbol").orderBy("period_end")
+    by = by or []
+    line = Window.partitionBy("symbol", *by).orderBy("period_end")
     past = line.rowsBetween(Window.unboundedPreceding, -1)
     y = F.col(target)
     mean = F.avg(y).over(past)
@@ -27,33 +29,38 @@ def expanding_forecasts(panel: DataFrame, target: str, features: dict[str, str],
     models = [("historical_mean", mean), ("previous_year", F.lag(y).over(line))]
     models += [(name, fitted(F.col(column))) for name, column in features.items()]
     wide = panel.select(
-        "symbol", "period_end", y.alias("actual"), F.count(y).over(past).alias("train_years"),
+        "symbol", *by, "period_end", y.alias("actual"), F.count(y).over(past).alias("train_years"),
         F.year(F.min("period_end").over(past)).alias("train_start_year"), F.year(F.max("period_end").over(past)).alias("train_end_year"),
         *[m.alias(n) for n, m in models],
     ).where(F.col("train_years") >= minimum_train)
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), F.col(n).alias("prediction")) for n, _ in models])).alias("_m")
     return wide.select(
-        "symbol", F.year("period_end").alias("test_year"), "train_start_year", "train_end_year", "train_years", "actual", each,
-    ).select("symbol", F.lit(target).alias("target"), "test_year", "train_start_year", "train_end_year", "train_years", "_m.model",
+        "symbol", *by, F.year("period_end").alias("test_year"), "train_start_year", "train_end_year", "train_years", "actual", each,
+    ).select("symbol", *by, F.lit(target).alias("target"), "test_year", "train_start_year", "train_end_year", "train_years", "_m.model",
              "actual", "_m.prediction", (F.col("_m.prediction") - F.col("actual")).alias("error"))
 
 
-def forecast_errors(predictions: DataFrame) -> DataFrame:
-    """Errors per model, and how much of the mean model's error each one saves."""
+def forecast_errors(predictions: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Errors per model (and key of `by`), and how much of the mean model's error each one saves."""
+    by = by or []
     error = F.abs("error")
-    table = predictions.groupBy("model").agg(
+    table = predictions.groupBy(*by, "model").agg(
         F.count(F.lit(1)).alias("oos_years"), F.min("test_year").alias("test_start_year"), F.max("test_year").alias("test_end_year"),
         F.avg(error).alias("mae"), F.sqrt(F.avg(F.col("error") * F.col("error"))).alias("rmse"),
         (F.avg(error / F.col("actual")) * 100).alias("mape_pct"))
-    baseline = predictions.where("model = 'historical_mean'").agg(F.avg(error)).scalar()
+    if by:
+        baseline = F.max(F.when(F.col("model") == "historical_mean", F.col("mae"))).over(Window.partitionBy(*by))
+    else:
+        baseline = predictions.where("model = 'historical_mean'").agg(F.avg(error)).scalar()
     return table.withColumn("mae_skill_vs_mean_pct", (1 - F.col("mae") / baseline) * 100)
 
 
-def forecast_skill(forecast: DataFrame, reanalysis: DataFrame) -> DataFrame:
-    """Quarterly forecast totals against what was measured."""
+def forecast_skill(forecast: DataFrame, reanalysis: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Quarterly forecast totals against what was measured, for each key of `by`."""
+    by = by or []
     f, a = F.col("precipitation_forecast_sum_mm"), F.col("precipitation_sum_mm")
-    joined = forecast.select("period_end", f).join(reanalysis.select("period_end", a), "period_end")
-    return joined.agg(
+    joined = forecast.select(*by, "period_end", f).join(reanalysis.select(*by, "period_end", a), [*by, "period_end"])
+    return joined.groupBy(*by).agg(
         F.count(F.lit(1)).alias("quarters"), ranks.correlation(f, a).alias("correlation"), F.avg(f - a).alias("mean_bias_mm"),
         F.avg(F.abs(f - a)).alias("mae_mm"), (F.sum(f) / F.sum(a)).alias("forecast_to_reanalysis_ratio"))
 
@@ -78,14 +85,18 @@ def panel_readiness(panel: DataFrame, core: list[str], minimum_quarters: int = 1
 
 
 def study_completion(annual: DataFrame, quarterly: DataFrame, forecast: DataFrame, predictions: DataFrame, areas: DataFrame,
-                     area_weighted: bool, minimum_quarters: int = 12) -> DataFrame:
-    """Whether the yearly study is complete, and whether a quarterly model may be deployed, with reasons."""
+                     area_weighted: bool, minimum_quarters: int = 12, by: list[str] | None = None) -> DataFrame:
+    """Whether the yearly study is complete, and whether a quarterly model may be deployed, with reasons.
+
+    Periods of forecast and measurement must agree for each key of `by`; errors are means over all keys.
+    """
+    keys = [*(by or []), "period_end"]
     distinct = lambda df, c: df.agg(F.count_distinct(c)).scalar()
     mae = predictions.groupBy("model").agg(F.avg(F.abs("error")).alias("m"))
     weather = mae.where(F.col("model").contains("precipitation")).agg(F.min("m")).scalar()
     base = mae.where("model = 'historical_mean'").agg(F.max("m")).scalar()
-    mine, theirs = quarterly.select("period_end").distinct(), forecast.select("period_end").distinct()
-    odd = mine.join(theirs, "period_end", "left_anti").unionByName(theirs.join(mine, "period_end", "left_anti"))
+    mine, theirs = quarterly.select(*keys).distinct(), forecast.select(*keys).distinct()
+    odd = mine.join(theirs, keys, "left_anti").unionByName(theirs.join(mine, keys, "left_anti"))
     row = areas.agg(F.count(F.lit(1)).alias("areas"), F.bool_and(F.col("status") == "verified_official").alias("boundary_verified"))
     row = row.withColumns({
         "annual_years": distinct(annual, "period_end"), "oos_years": distinct(predictions, "test_year"),

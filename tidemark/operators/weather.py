@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import periods
@@ -58,17 +58,17 @@ def area_weather_violations(daily: DataFrame, weights: DataFrame) -> DataFrame:
     )
 
 
-def quarterly_forecast(hourly: DataFrame, value: str = "precipitation_previous_day1") -> DataFrame:
+def quarterly_forecast(hourly: DataFrame, value: str = "precipitation_previous_day1", by: list[str] | None = None) -> DataFrame:
     """Hourly forecast to quarters, with whether all hours of the quarter are there."""
     quarter = periods.quarter_end(F.col("time").cast("date")).alias("period_end")
-    return hourly.groupBy(quarter).agg(
+    return hourly.groupBy(*(by or []), quarter).agg(
         F.sum(value).alias("precipitation_forecast_sum_mm"), F.count(value).alias("forecast_hours")
     ).withColumn("complete", F.col("forecast_hours") == periods.quarter_days(F.col("period_end")) * 24)
 
 
-def forecast_snapshot(quarterly: DataFrame, symbol: str, asset_id: str, point_id: str, model: str, lead_days: int,
-                      latitude: float, longitude: float, retrieved_at: str) -> DataFrame:
-    """Quarterly forecast with its origin written next to it."""
+def forecast_snapshot(quarterly: DataFrame, symbol: str, asset_id: str, point_id: str | Column, model: str, lead_days: int,
+                      latitude: float | Column, longitude: float | Column, retrieved_at: str) -> DataFrame:
+    """Quarterly forecast with its origin written next to it; point and place are one for all rows or a column."""
     return quarterly.drop("complete").withColumns({
         "symbol": F.lit(symbol), "asset_id": F.lit(asset_id), "weather_point_id": F.lit(point_id),
         "data_kind": F.lit("historical_forecast_fixed_lead"), "model": F.lit(model), "lead_offset_hours": F.lit(lead_days * 24),
@@ -76,10 +76,10 @@ def forecast_snapshot(quarterly: DataFrame, symbol: str, asset_id: str, point_id
     })
 
 
-def annual_weather(quarterly: DataFrame) -> DataFrame:
+def annual_weather(quarterly: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Years from quarters; temperature weighted by days."""
     totals = [b for _, b in TOTALS]
-    return quarterly.groupBy(F.make_date(F.year("period_end"), F.lit(12), F.lit(31)).alias("period_end")).agg(
+    return quarterly.groupBy(*(by or []), F.make_date(F.year("period_end"), F.lit(12), F.lit(31)).alias("period_end")).agg(
         *[F.sum(c).alias(c) for c in totals], F.sum("weather_days").alias("weather_days"),
         F.sum(F.col("temperature_2m_mean_c") * F.col("weather_days")).alias("_t"),
     ).withColumn("temperature_2m_mean_c", F.col("_t") / F.col("weather_days")).drop("_t")
@@ -90,9 +90,10 @@ def annual_operations(metrics: DataFrame, names: list[str]) -> DataFrame:
         F.first("value", ignorenulls=True))
 
 
-def annual_panel(metrics: DataFrame, point_quarterly: DataFrame, names: list[str], area_quarterly: DataFrame | None = None) -> DataFrame:
-    """Yearly operations with point weather and, when given, area weather."""
-    panel = annual_operations(metrics, names).join(annual_weather(point_quarterly), "period_end", "left")
+def annual_panel(metrics: DataFrame, point_quarterly: DataFrame, names: list[str], area_quarterly: DataFrame | None = None,
+                 by: list[str] | None = None) -> DataFrame:
+    """Yearly operations with point weather (a row for each key of `by`) and, when given, area weather."""
+    panel = annual_operations(metrics, names).join(annual_weather(point_quarterly, by), "period_end", "left")
     if area_quarterly is None:
         return panel
     area = area_quarterly.groupBy(F.make_date(F.year("period_end"), F.lit(12), F.lit(31)).alias("period_end")).agg(

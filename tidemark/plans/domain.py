@@ -429,9 +429,13 @@ def grid_weights(spark, sf) -> DataFrame:
 
 def hourly_forecast(spark, sf) -> DataFrame:
     """24 hours per day of the first grid point."""
-    one = daily_weather(spark, sf).where("grid_point_id = 'grid_01'")
-    return one.withColumn("_h", F.explode(F.sequence(F.lit(0), F.lit(23)))).select(
-        F.timestamp_seconds(F.unix_date("time").cast("bigint") * 86400 + F.col("_h") * 3600).alias("time"),
+    return hourly_forecasts(spark, sf).where("grid_point_id = 'grid_01'").drop("grid_point_id")
+
+
+def hourly_forecasts(spark, sf) -> DataFrame:
+    """24 hours per day of every grid point."""
+    return daily_weather(spark, sf).withColumn("_h", F.explode(F.sequence(F.lit(0), F.lit(23)))).select(
+        "grid_point_id", F.timestamp_seconds(F.unix_date("time").cast("bigint") * 86400 + F.col("_h") * 3600).alias("time"),
         (F.floor(F.col("precipitation_sum") * 10 + 0.5) / 250.0).alias("precipitation_previous_day1"),
     )
 
