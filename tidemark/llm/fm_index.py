@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.common import LOWER, pieces, span_hashes, words
+from tidemark.session import stage
 
 WINDOW = 13
 # Words of a shard; benchmark bytes that are searched for at a time.
@@ -247,13 +248,17 @@ def find_phrases(docs: DataFrame, benchmark: DataFrame, row: str, text: str, ite
     """(row, n_words, starts, ends, items) for each row of docs: merged word spans that benchmark windows cover, and their items.
 
     Benchmark items are the stated queries: blocks of at most about BLOCK_BYTES of their text go to the tasks, whatever the
-    benchmark's size; the spans of several blocks are merged per document. Documents stay where they are. A null, empty or word-free text
-    has no words and no spans; such items are no phrase.
+    benchmark's size. Documents stay where they are for one block; for more, rows get keys and are written once, and the spans of all blocks
+    are merged by key, so that null and repeated ids keep a row each. A null, empty or word-free text has no words and no spans; such items
+    are no phrase.
     """
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length(item_text)), F.lit(0))).first()[0]
     blocks = int(size // BLOCK_BYTES) + 1
     parts = []
     source = docs.select(F.col(row).cast("long").alias("row"), F.col(text).alias("text"))
+    if blocks > 1:
+        keyed = stage(source.withColumn("key", F.monotonically_increasing_id()), "keyed-texts")
+        source = keyed.select(F.col("key").alias("row"), "text")
     for b in range(blocks):
         mine = benchmark.select(F.col(item).cast("string"), F.col(item_text))
         if blocks > 1:
@@ -276,7 +281,8 @@ def find_phrases(docs: DataFrame, benchmark: DataFrame, row: str, text: str, ite
                       F.concat(F.slice(done, 1, F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, F.array(span)))
 
     spans = F.aggregate(F.array_sort("spans"), F.expr("cast(array() as array<struct<starts:bigint,ends:bigint>>)"), join)
-    return merged.withColumn("spans", spans).select(
+    named = keyed.select("row", "key").join(merged.withColumn("spans", spans).withColumnRenamed("row", "key"), "key")
+    return named.select(
         "row", "n_words", F.col("spans.starts").alias("starts"), F.col("spans.ends").alias("ends"), "items")
 
 
