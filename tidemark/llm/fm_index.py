@@ -22,7 +22,7 @@ SAMPLE = 4
 IS_WORD = np.zeros(256, bool)
 IS_WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 SPANS = T.StructType([
-    T.StructField("row", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("starts", T.ArrayType(T.LongType())),
+    T.StructField("n_words", T.LongType()), T.StructField("starts", T.ArrayType(T.LongType())),
     T.StructField("ends", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))])
 
 
@@ -202,6 +202,7 @@ def spans_of(batches: Iterator[pa.RecordBatch], phrases: Phrases, shard_words: i
     Batches have (row, text). Texts are gathered to shards of about `shard_words` indexed words; each shard gets its own index.
     """
     rows, n_words, shard, size = [], [], [], 0
+    kind = pa.int64()
 
     def flush():
         nonlocal rows, n_words, shard, size
@@ -224,9 +225,10 @@ def spans_of(batches: Iterator[pa.RecordBatch], phrases: Phrases, shard_words: i
             out["items"].append(sorted({i for w in np.unique(which[a:b]) for i in phrases.items[w]}))
         rows, n_words, shard, size = [], [], [], 0
         return pa.RecordBatch.from_pydict(out, schema=pa.schema([
-            ("row", pa.int64()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))]))
+            ("row", kind), ("n_words", pa.int64()), ("starts", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))]))
 
     for batch in batches:
+        kind = batch.schema.field("row").type
         for first, data, offsets in pieces(batch.column("text")):
             low = LOWER[data]
             starts, ends, doc = words(low, offsets, IS_WORD)
@@ -247,6 +249,8 @@ def spans_of(batches: Iterator[pa.RecordBatch], phrases: Phrases, shard_words: i
 def find_phrases(docs: DataFrame, benchmark: DataFrame, row: str, text: str, item: str = "item_id", item_text: str = "text") -> DataFrame:
     """(row, n_words, starts, ends, items) for each row of docs: merged word spans that benchmark windows cover, and their items.
 
+    row is a string where the column is one, and a long otherwise.
+
     Benchmark items are the stated queries: blocks of at most about BLOCK_BYTES of their text go to the tasks, whatever the
     benchmark's size. Documents stay where they are for one block; for more, rows get keys and are written once, and the spans of all blocks
     are merged by key, so that null and repeated ids keep a row each. A null, empty or word-free text has no words and no spans; such items
@@ -255,7 +259,8 @@ def find_phrases(docs: DataFrame, benchmark: DataFrame, row: str, text: str, ite
     size = benchmark.agg(F.coalesce(F.sum(F.octet_length(item_text)), F.lit(0))).first()[0]
     blocks = int(size // BLOCK_BYTES) + 1
     parts = []
-    source = docs.select(F.col(row).cast("long").alias("row"), F.col(text).alias("text"))
+    kind = "string" if isinstance(docs.schema[row].dataType, T.StringType) else "long"
+    source = docs.select(F.col(row).cast(kind).alias("row"), F.col(text).alias("text"))
     if blocks > 1:
         keyed = stage(source.withColumn("key", F.monotonically_increasing_id()), "keyed-texts")
         source = keyed.select(F.col("key").alias("row"), "text")
@@ -264,7 +269,7 @@ def find_phrases(docs: DataFrame, benchmark: DataFrame, row: str, text: str, ite
         if blocks > 1:
             mine = mine.where(F.pmod(F.xxhash64(F.col(item).cast("string")), F.lit(blocks)) == b)
         phrases = Phrases([(i, t) for i, t in mine.collect()])  # one block
-        parts.append(source.mapInArrow(lambda it, p=phrases: spans_of(it, p), SPANS))
+        parts.append(source.mapInArrow(lambda it, p=phrases: spans_of(it, p), T.StructType([source.schema["row"], *SPANS])))
     if blocks == 1:
         return parts[0]
     every = parts[0]

@@ -29,7 +29,7 @@ _R = np.random.default_rng(11)
 _FACTORS = _R.integers(0, 2**32, SAMPLES, dtype=np.uint64).astype(np.uint32) | np.uint32(1)
 _SHIFTS = _R.integers(0, 2**32, SAMPLES, dtype=np.uint64).astype(np.uint32)
 _ORDER = _R.integers(0, 2**64, 64, dtype=np.uint64) | np.uint64(1)
-FEATURES = "id long, n_shingles long, h1 long, h2 long, bands array<bigint>, sketch array<bigint>"
+FEATURES = "n_shingles long, h1 long, h2 long, bands array<bigint>, sketch array<bigint>"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,9 +121,10 @@ def _features(batches, width):
                 keys[some], sketch[some] = band_keys(s), odd_sketches(s)
             names = set_names(values, bounds)
             listed = lambda m: pa.ListArray.from_arrays(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1], m.ravel())
+            carried = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id").slice(first, len(size)), pa.array(size), pa.array(names[0]), pa.array(names[1]), listed(keys), listed(sketch)],
-                ["id", "n_shingles", "h1", "h2", "bands", "sketch"])
+                [*[batch.column(c).slice(first, len(size)) for c in carried], pa.array(size), pa.array(names[0]), pa.array(names[1]), listed(keys), listed(sketch)],
+                [*carried, "n_shingles", "h1", "h2", "bands", "sketch"])
 
 
 def _sets(batches, width):
@@ -183,8 +184,11 @@ def _block_links(table: pa.Table, percent: int, most: int) -> pa.Table:
     return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
 
 
-def similar_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """One row per input row: (id, n_shingles, component_id, kept). Rows are linked where 100 * |A and B| >= percent * |A or B|.
+def similar_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80, name: Column | None = None) -> DataFrame:
+    """One row per input row: (id, n_shingles, component_id, kept); with `name`, a string that tells rows apart, also (name, root).
+
+    root is one number for each component, also where components share their smallest id, and NULL without shingles.
+    Rows are linked where 100 * |A and B| >= percent * |A or B|.
 
     component_id is the smallest id reachable over links; kept says whether a row has that id. NULL, empty and word-free texts have no
     shingles and are linked with nothing, each kept. Rows with a NULL id take part; they are kept only where no id is reachable. Repeated
@@ -199,7 +203,10 @@ def similar_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", width
     an estimate 0.2 below the threshold, eight deviations.
     """
     given = docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text"))
-    seen = stage(given.mapInArrow(lambda it: _features(it, width), FEATURES), "features")
+    named_rows = given if name is None else docs.select(F.col(id).cast("long").alias("id"), name.alias("name"), F.col(text).alias("text"))
+    extra = [] if name is None else ["name"]
+    schema = ", ".join(["id long", *[f"{c} string" for c in extra], FEATURES])
+    seen = stage(named_rows.mapInArrow(lambda it: _features(it, width), schema), "features")
     classes = seen.where("n_shingles > 0").groupBy("h1", "h2").agg(
         F.min("id").alias("least"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = stage(classes.withColumn("cid", F.monotonically_increasing_id()), "classes")
@@ -247,10 +254,12 @@ def similar_texts(docs: DataFrame, id: str = "doc_id", text: str = "text", width
     root = F.coalesce("root", "cid")
     named = classes.join(roots.withColumnRenamed("node", "cid"), "cid", "left").select("h1", "h2", "least", root.alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "root").select("h1", "h2", "component_id")
-    out = seen.select("id", "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")
+    named = named.join(least, "root").select("h1", "h2", "component_id", "root")
+    out = seen.select("id", *extra, "n_shingles", "h1", "h2").join(named, ["h1", "h2"], "left")
     reached = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("id"))
-    return out.select("id", "n_shingles", reached.alias("component_id")).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
+    if name is not None:
+        extra = ["name", "root"]
+    return out.select("id", "n_shingles", reached.alias("component_id"), *extra).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
 
 
 def _blocks(tied: DataFrame, labels: DataFrame, sketches: DataFrame, sets: DataFrame, percent: int, most: int) -> DataFrame:
