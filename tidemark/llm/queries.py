@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import columns, fm_index, hilbert, mixing, odd_sketch, quality, rans, secrets, urls, warc
+from tidemark.llm import alignment, columns, exact, fm_index, hilbert, mixing, odd_sketch, quality, rans, runs, secrets, urls, warc
+from tidemark.llm.common import words_of
 from tidemark.session import new_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -204,3 +205,54 @@ def op2(spark, sf):
 def op10(spark, sf):
     out = columns.remove_repeats(table(spark, sf, "documents"), texts=False)
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("starts").cast("long").alias("n_spans"), "kept_sha256")
+
+
+def rewritten(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) with the words from place a on replaced by repeats of p words, where the hash of the doc_id says so."""
+    docs = docs.select("doc_id", "text")
+    h = F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8"))
+    words = words_of(F.col("text"))
+    n, g = F.col("__n"), F.floor(h / 10)
+    a = F.pmod(g, n)
+    p = 1 + F.floor((n - a) / (3 + F.pmod(g, F.lit(8))))
+    new = F.expr("array_join(transform(__words, (w, i) -> if(i < __a, w, __words[cast(__a + (i - __a) % __p as int)])), ' ')")
+    chosen = docs.where(F.pmod(h, F.lit(10)) == 0).withColumn("__words", words).withColumn("__n", F.size("__words")).where("__n > 0")
+    changed = chosen.withColumn("__a", a.cast("long")).withColumn("__p", p.cast("long")).select("doc_id", new.alias("text"))
+    same = docs.where((F.pmod(h, F.lit(10)) != 0) | h.isNull() | (F.size(words) == 0))
+    return changed.union(same)
+
+
+@query("op11_periodic_runs")
+def op11(spark, sf):
+    found = runs.find_runs(rewritten(table(spark, sf, "documents")))
+    first = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("start"), r["period"].alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    found = found.withColumn("best", first)
+    length = -F.col("best.l")
+    return found.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"), length.alias("length"),
+        F.col("best.period").alias("period"), F.floor(1000 * length / F.col("best.period")).cast("long").alias("exponent_milli"),
+        F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"), "n_words")
+
+
+@query("op12_token_alignment")
+def op12(spark, sf):
+    import public_tokenizers
+
+    sha = F.when(F.col("groups") == "", F.lit("")).otherwise(F.sha2("groups", 256))
+    found = alignment.align(
+        table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), summaries={"groups_sha256": sha})
+    return found.select(F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
+OP13_SQL = """
+WITH t AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS normal FROM documents),
+g AS (SELECT doc_id, normal, max(doc_id) OVER (PARTITION BY normal) AS keep_id, count(*) OVER (PARTITION BY normal) AS group_size FROM t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(normal) AS text_sha256 FROM g
+"""
+
+
+@query("op13_exact_duplicates", OP13_SQL)
+def op13(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text", exact.digest(F.col("text")).alias("text_sha256"))
+    return exact.exact_duplicates(docs).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
