@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +17,8 @@ from tidemark.session import stage
 
 # Fixed value: the mark that stands for a space in pieces.
 MARK = "▁"
-CACHED_UNITS = 400_000
+CACHED_UNITS = 600_000
+LINKS_AT_A_TIME = 1 << 20
 LEARN_AT_A_TIME = 4096
 # Pairs of ids whose counts are sent to all tasks: the most frequent ones, 17 bytes each. Links of other pairs are joined with their counts.
 HOT_PAIRS = 1 << 18
@@ -94,6 +96,8 @@ class Pair:
             self.a_bytes[k] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
         names = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace(MARK, " ").encode() for k, p in enumerate(names)]
+        self.a_table, self.b_table = pa.array(self.a_bytes, pa.binary()), pa.array(self.b_bytes, pa.binary())
+        self.digits = pa.array([b"%d" % k for k in range(max(size, len(names)))], pa.binary())
         self.a_size, self.b_size = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
         split = says.get("pre_tokenizer") or {}
         level = split.get("type") == "ByteLevel" and split.get("use_regex", True) and not split.get("add_prefix_space") and not says.get("normalizer")
@@ -108,51 +112,74 @@ class Pair:
 
     def _reset(self) -> None:
         self.known, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.numbers, self.groups = np.zeros((0, 5), np.int64), []
+        self.numbers, self.groups = np.zeros((0, 5), np.int32), pa.array([], pa.binary())
         self.links, self.link_bounds = np.zeros(0, np.int64), np.zeros(1, np.int64)
 
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-        """Of texts that begin with a space: rows (right, n_a, n_b, n_groups, n_links), groups as text, links of all texts as a * size + b.
-
-        right is 0 where the joined bytes of either side are not the text's; such a text has no tokens.
-        """
+    def _tokens(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+        """(A ids, B ids, A tokens per text, B tokens per text) of units that can stand behind each other, encoded as one text; None where one differs."""
+        whole = b"".join(texts)
+        string = whole.decode()
+        a = np.array(self.a.encode_batch_fast([string], add_special_tokens=False)[0].ids, np.int64)
+        b = np.array(self.b.encode(string[1:], num_threads=1), np.int64)
+        ends, counts = np.cumsum([len(t) for t in texts]), []
+        for ids, size, table in ((a, self.a_size, self.a_table), (b, self.b_size, self.b_table)):
+            reach = np.cumsum(size[ids])
+            if reach[-1] != len(whole) or table.take(pa.array(ids)).buffers()[2].to_pybytes()[: len(whole)] != whole:
+                return None
+            at = np.searchsorted(reach, ends)
+            if (reach[at] != ends).any():
+                return None
+            counts.append(np.diff(at, prepend=-1))
+        return a, b, *counts
+
+    def _one_by_one(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """What `_tokens` gives, and which texts come back byte by byte; the others have no tokens."""
         strings = [t.decode() for t in texts]
         a = [e.ids for e in self.a.encode_batch_fast(strings, add_special_tokens=False)]
         b = self.b.encode([s[1:] for s in strings], num_threads=1)
         right = [
             b"".join([self.a_bytes[i] for i in x]) == t and b"".join([self.b_bytes[i] for i in y]) == t for t, x, y in zip(texts, a, b, strict=True)]
-        numbers = np.zeros((len(texts), 5), np.int64)
-        numbers[:, 0] = right
-        good = np.flatnonzero(numbers[:, 0])
-        groups = [b""] * len(texts)
-        if not len(good):
-            return numbers, groups, np.zeros(0, np.int64)
-        a_count, b_count = np.array([len(a[k]) for k in good]), np.array([len(b[k]) for k in good])
-        a_ids, b_ids = (np.array([i for k in good for i in side[k]], np.int64) for side in (a, b))
+        a, b = ([x if r else [] for x, r in zip(side, right, strict=True)] for side in (a, b))
+        flat = [np.array([i for x in side for i in x], np.int64) for side in (a, b)]
+        return *flat, *[np.array([len(x) for x in side], np.int64) for side in (a, b)], np.array(right, bool)
+
+    def encode(self, texts: list[bytes], joined: bool = False) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        """Of texts that begin with a space: rows (right, n_a, n_b, n_groups, n_links), groups as text, links of all texts as a * size + b.
+
+        right is 0 where the joined bytes of either side are not the text's; such a text has no tokens. `joined` texts can be encoded as one.
+        """
+        found = self._tokens(texts) if joined else None
+        a_ids, b_ids, a_count, b_count, right = self._one_by_one(texts) if found is None else (*found, np.ones(len(texts), bool))
+        numbers = np.zeros((len(texts), 5), np.int32)
+        numbers[:, 0], numbers[:, 1], numbers[:, 2] = right, a_count, b_count
         a_ends, b_ends = np.cumsum(self.a_size[a_ids]), np.cumsum(self.b_size[b_ids])
         a_bounds, b_bounds = np.append(0, np.cumsum(a_count)), np.append(0, np.cumsum(b_count))
-        first_a, first_b = shared_groups(a_ends, b_ends, a_bounds, b_bounds)
+        some = np.append(a_count > 0, True)
+        first_a, first_b = shared_groups(a_ends, b_ends, a_bounds[some], b_bounds[some])
         i, j = overlaps(a_ends, b_ends)
         per = np.searchsorted(first_a, a_bounds)
-        numbers[good, 1], numbers[good, 2], numbers[good, 3] = a_count, b_count, np.diff(per)
-        numbers[good, 4] = np.diff(np.searchsorted(i, a_bounds))
-        a_text, b_text = [b"%d" % x for x in a_ids.tolist()], [b"%d" % x for x in b_ids.tolist()]
-        edge_a, edge_b = np.append(first_a, len(a_ids)).tolist(), np.append(first_b, len(b_ids)).tolist()
-        said = [b",".join(a_text[edge_a[g] : edge_a[g + 1]]) + b"|" + b",".join(b_text[edge_b[g] : edge_b[g + 1]]) for g in range(len(first_a))]
-        for k, lo, hi in zip(good.tolist(), per[:-1].tolist(), per[1:].tolist(), strict=True):
-            groups[k] = b";".join(said[lo:hi])
+        numbers[:, 3], numbers[:, 4] = np.diff(per), np.diff(np.searchsorted(i, a_bounds))
+        listed = lambda bounds, values, mark: pc.binary_join(pa.ListArray.from_arrays(bounds.astype(np.int32), values), mark)
+        sides = [listed(np.append(first, len(ids)), self.digits.take(pa.array(ids)), b",") for first, ids in ((first_a, a_ids), (first_b, b_ids))]
+        groups = listed(per, pc.binary_join_element_wise(*sides, b"|"), b";")
         return numbers, groups, a_ids[i] * len(self.b_bytes) + b_ids[j]
 
     def _learn(self, hashes: np.ndarray, texts: list[bytes]) -> None:
-        numbers, links = [self.numbers], [self.links]
-        for k in range(0, len(texts), LEARN_AT_A_TIME):
-            n, groups, found = self.encode(texts[k : k + LEARN_AT_A_TIME])
-            numbers.append(n)
-            links.append(found)
-            self.groups += groups
+        numbers, links, groups = [self.numbers], [self.links], [self.groups]
+        follow = np.array([_ends_solid(t) for t in texts], bool) & self.cuts
+        by = np.argsort(~follow, kind="stable")  # units that can stand behind each other come first
+        hashes, texts, joined = hashes[by], [texts[k] for k in by.tolist()], int(follow.sum())
+        for lo, hi in ((0, joined), (joined, len(texts))):
+            for k in range(lo, hi, LEARN_AT_A_TIME):
+                n, said, found = self.encode(texts[k : min(hi, k + LEARN_AT_A_TIME)], joined=hi == joined)
+                numbers.append(n)
+                links.append(found)
+                groups.append(said)
         entry = len(self.numbers) + np.arange(len(texts))
-        self.numbers, self.links = np.concatenate(numbers), np.concatenate(links)
-        self.link_bounds = np.append(0, np.cumsum(self.numbers[:, 4]))
+        self.numbers, self.links, self.groups = np.concatenate(numbers), np.concatenate(links), pa.concat_arrays(groups)
+        self.link_bounds = np.append(0, np.cumsum(self.numbers[:, 4], dtype=np.int64))
+        order = np.argsort(hashes)
+        hashes, entry = hashes[order], entry[order]
         at = np.searchsorted(self.known, hashes)
         self.known, self.entry = np.insert(self.known, at, hashes), np.insert(self.entry, at, entry)
 
@@ -178,6 +205,11 @@ _LAST = np.zeros(256, bool)
 _LAST[[*range(0x80, 0x8B), 0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = True
 
 
+def _ends_solid(text: bytes) -> bool:
+    """Whether a space behind this text begins a unit."""
+    return bool(text) and (bool(_SOLID[text[-1]]) or (text[-1] >= 0x80 and (0xC3 <= text[-2] <= 0xDF or not _LAST[text[-1]])))
+
+
 def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts, ends and texts of the units of texts that each begin with a space."""
     opens = np.zeros(len(data), bool)
@@ -213,15 +245,16 @@ def _scan(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str, kind: pa.
             if pair.cuts:
                 for d in np.unique(text[numbers[:, 0] == 0]):
                     whole[int(d)] = pair.encode([data[offsets[d] : offsets[d + 1]].tobytes()])
-            sums = np.zeros((n, 4), np.int64)
-            np.add.at(sums, text, numbers[:, 1:] * numbers[:, :1])
-            groups, entries = [], entry.tolist()
-            for d in range(n):
-                if d in whole:
-                    sums[d], part = whole[d][0][0, 1:], whole[d][1][0]
-                else:
-                    part = b";".join([pair.groups[e] for e in entries[edges[d] : edges[d + 1]]])
-                groups.append(part)
+            total = np.zeros((len(entry) + 1, 4), np.int64)
+            np.cumsum(numbers[:, 1:], axis=0, out=total[1:])
+            sums = np.diff(total[edges], axis=0)
+            groups = pc.binary_join(pa.ListArray.from_arrays(edges.astype(np.int32), pair.groups.take(pa.array(entry))), b";")
+            if whole:
+                for d, (own_numbers, _, _) in whole.items():
+                    sums[d] = own_numbers[0, 1:]
+                at = np.arange(n)
+                at[list(whole)] = n + np.arange(len(whole))
+                groups = pa.concat_arrays([groups, *[said for _, said, _ in whole.values()]]).take(pa.array(at))
             count = pair.link_bounds[entry + 1] - pair.link_bounds[entry]
             for d in whole:
                 count[edges[d] : edges[d + 1]] = 0
@@ -233,7 +266,7 @@ def _scan(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str, kind: pa.
             listed = pa.ListArray.from_arrays(np.append(0, np.cumsum(sums[:, 3])).astype(np.int32), pa.array(links).cast(kind))
             carried = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c).slice(first, n) for c in carried], *[pa.array(sums[:, k]) for k in range(4)], pa.array(groups, pa.binary()).cast(pa.string()), listed],
+                [*[batch.column(c).slice(first, n) for c in carried], *[pa.array(sums[:, k]) for k in range(4)], groups.cast(pa.string()), listed],
                 [*carried, "n_a", "n_b", "n_groups", "n_links", "groups", "links"])
 
 
@@ -242,6 +275,15 @@ def _lookup(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, (keys[at] == wanted if len(keys) else np.zeros(len(wanted), bool))
 
 
+def _some_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stretches of rows of about a million links."""
+    for batch in batches:
+        total = np.cumsum(batch.column("links").value_lengths().to_numpy())
+        cuts = np.unique(np.append(np.flatnonzero(np.diff(total // LINKS_AT_A_TIME)) + 1, [0, batch.num_rows]))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            yield batch.slice(a, b - a)
+
+
 def _rows_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """(row in the batch, pair) of all links of a batch."""
     links = batch.column("links")
@@ -250,20 +292,19 @@ def _rows_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 
 def _sum_hot(batches: Iterator[pa.RecordBatch], hot) -> Iterator[pa.RecordBatch]:
     keys, counts, best = hot.value
-    for batch in batches:
+    for batch in _some_links(batches):
         row, pair = _rows_of(batch)
         at, found = _lookup(keys, pair)
-        at, row = at[found], row[found]
-        sums = np.zeros(batch.num_rows, np.int64)
-        np.add.at(sums, row, counts[at])
-        n_best = np.bincount(row[best[at]], minlength=batch.num_rows).astype(np.int64)
+        edges = np.searchsorted(row, np.arange(batch.num_rows + 1))
+        added = lambda values: np.diff(np.append(0, np.cumsum(np.where(found, values[at], 0), dtype=np.int64))[edges])  # noqa: B023, E731
+        n_best, sums = (added(best), added(counts)) if len(keys) else (np.zeros(batch.num_rows, np.int64),) * 2
         names = [c for c in batch.schema.names if c != "links"]
         yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(n_best), pa.array(sums)], [*names, "n_best", "count_sum"])
 
 
 def _rare(batches: Iterator[pa.RecordBatch], hot) -> Iterator[pa.RecordBatch]:
     keys = hot.value[0]
-    for batch in batches:
+    for batch in _some_links(batches):
         row, pair = _rows_of(batch)
         _, found = _lookup(keys, pair)
         both, times = np.unique(np.stack([row[~found], pair[~found]], 1), axis=0, return_counts=True)
