@@ -166,7 +166,7 @@ def test_whole_texts_give_the_same_groups(spark, monkeypatch):
     pair = alignment.Pair(A, B)
     texts = [" " + r["text"] for r in docs.collect()]
     numbers, groups, _ = pair.encode([t.encode() for t in texts])
-    assert samples.multiset((tuple(n[1:4]), g.decode()) for n, g in zip(numbers.tolist(), groups, strict=True)) == samples.multiset(
+    assert samples.multiset((tuple(n[1:4]), g.as_py().decode()) for n, g in zip(numbers.tolist(), groups, strict=True)) == samples.multiset(
         ((r["n_a"], r["n_b"], r["n_groups"]), r["groups"]) for r in one)
 
 

@@ -17,7 +17,8 @@ from tidemark.session import stage
 
 # Fixed value: the mark that stands for a space in pieces.
 MARK = "▁"
-CACHED_UNITS = 600_000
+CACHED_UNITS = 250_000
+PIECE_BYTES = 1 << 20
 LINKS_AT_A_TIME = 1 << 20
 LEARN_AT_A_TIME = 4096
 # Pairs of ids whose counts are sent to all tasks: the most frequent ones, 17 bytes each. Links of other pairs are joined with their counts.
@@ -226,7 +227,7 @@ def units(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _scan(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str, kind: pa.DataType) -> Iterator[pa.RecordBatch]:
     pair = Pair.of(a_path, b_path)
     for batch in batches:
-        for first, own, bounds in pieces(batch.column("text")):
+        for first, own, bounds in pieces(batch.column("text"), PIECE_BYTES):
             n = len(bounds) - 1
             some = np.diff(bounds) > 0
             offsets = bounds + np.append(0, np.cumsum(some))
@@ -268,6 +269,7 @@ def _scan(batches: Iterator[pa.RecordBatch], a_path: str, b_path: str, kind: pa.
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(c).slice(first, n) for c in carried], *[pa.array(sums[:, k]) for k in range(4)], groups.cast(pa.string()), listed],
                 [*carried, "n_a", "n_b", "n_groups", "n_links", "groups", "links"])
+        pa.default_memory_pool().release_unused()
 
 
 def _lookup(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
