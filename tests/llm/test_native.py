@@ -1,6 +1,7 @@
 """URL verdicts, shards, mixes, quality verdicts and the pipeline against plain Python."""
 
 import hashlib
+import itertools
 import math
 import re
 from collections import Counter, defaultdict
@@ -139,7 +140,80 @@ def counts_by_hand(text):
             sum(33 <= ord(c) <= 126 and not c.isalnum() for c in text), len(lines))
 
 
-def verdicts_by_hand(rows, least=60, share=0.75, steps=3):
+def concentrated_by_hand(own, share=0.75):
+    """The least determinant over all starts, each concentrated until its determinant stops falling: (centre, inverse, ln determinant)."""
+    floor = np.array([quality.LEAST_SPREAD[s] for s in quality.STATS]) ** 2
+    q = np.percentile(own, [25, 50, 75], axis=0)
+    spread = np.maximum((q[2] - q[0]) / 1.349, np.sqrt(floor))
+    u = (own - q[1]) / spread
+    moments = lambda x: (x.mean(0), np.cov(x.T, bias=True) + np.diag(floor))
+    going = []
+    for t in (None, np.tanh(u), u / np.maximum(np.sqrt((u**2).sum(1, keepdims=True)), 1e-9), np.sign(u)):
+        r = np.eye(len(floor))
+        if t is not None:
+            t = np.round(t * quality.FINE)
+            size = np.sqrt(np.diag(t.T @ t))
+            with np.errstate(invalid="ignore", divide="ignore"):
+                r = np.nan_to_num(0.95 * (t.T @ t) / np.outer(size, size))
+            np.fill_diagonal(r, 1)
+        going.append((q[1], r * np.outer(spread, spread)))
+    going.append(moments(own))
+    for k in range(len(floor)):
+        going += [moments(own[own[:, k] <= q[2][k]]), moments(own[own[:, k] >= q[0][k]])]
+    assert len(going) == quality.STARTS
+    going, done, turn = [(math.inf, n, *g) for n, g in enumerate(going)], [], 0
+    while going:
+        turn, then = turn + 1, []
+        for det, n, centre, cov in going:
+            c = cell_of(far_from(own, centre, np.linalg.inv(cov)))
+            new, new_cov = moments(own[c <= np.percentile(c, 100 * share)])
+            now = np.linalg.slogdet(new_cov)[1]
+            if now < det - quality.FALL:
+                then.append((now, n, new, new_cov))
+            else:
+                done.append((det, n, centre, cov))
+        going = sorted(then, key=lambda g: g[:2])[: quality.GOING] if turn == 2 else then
+    det, _, centre, cov = min(done, key=lambda g: g[:2])
+    return centre, np.linalg.inv(cov), det
+
+
+def far_from(x, centre, inverse):
+    return np.maximum(np.einsum("ij,jk,ik->i", x - centre, inverse, x - centre), 0)
+
+
+def cell_of(distance):
+    return np.floor(np.log(distance + 1e-6) * quality.CELLS)
+
+
+def test_concentration_finds_the_least_determinant_of_all_subsets(spark):
+    rng = np.random.default_rng(5)
+    rows, n, least = [], 9, 8
+    for g in range(40):
+        x = rng.normal(0, 1, (n, 6)) @ rng.normal(0, 0.6, (6, 6)) + 5
+        x[: 2 * (g % 2)] += rng.normal(0, 6, 6)  # in every other group two rows lie apart
+        rows += [(f"g{g:02d}", *map(int, np.round(v * quality.SCALE))) for v in x]
+    rows += [("flat", *[256] * 6)] * n + [("few", *range(6))] * (least - 1)
+    ok = spark.createDataFrame(rows, "__group string, " + ", ".join(f"__{s} long" for s in quality.STATS))
+    got = {r["__group"]: r for r in quality.concentrated(ok, least, 0.75).collect()}
+    assert len(got) == 41 and "few" not in got
+    floor = np.array([quality.LEAST_SPREAD[s] for s in quality.STATS]) ** 2
+    assert got["flat"]["det"] == pytest.approx(np.log(floor).sum())
+    exact = 0
+    for g in range(40):
+        x = np.array([r[1:] for r in rows if r[0] == f"g{g:02d}"]) / quality.SCALE
+        subsets = [x[list(k)] for k in itertools.combinations(range(n), 7)]
+        dets = [np.linalg.slogdet(np.cov(v.T, bias=True) + np.diag(floor))[1] for v in subsets]
+        r = got[f"g{g:02d}"]
+        assert r["det"] >= min(dets) - 1e-6  # the estimate of some subset of seven rows, or of fewer where cells tie
+        assert min(abs(r["det"] - v) for v in dets) < 1e-6
+        exact += r["det"] <= min(dets) + 1e-6
+        if g % 2:
+            assert np.allclose(r["m"], subsets[int(np.argmin(dets))].mean(0)) or r["det"] > min(dets) + 1e-6
+            assert r["det"] < np.linalg.slogdet(np.cov(x[:7].T, bias=True) + np.diag(floor))[1]
+    assert exact >= 30  # of 40: all starts together miss the minimum of few groups
+
+
+def verdicts_by_hand(rows, least=60, share=0.75):
     """Distances by plain numpy, groups and quantiles as the docstring has them."""
     import unicodedata
 
@@ -151,23 +225,15 @@ def verdicts_by_hand(rows, least=60, share=0.75, steps=3):
     x = np.floor(x * quality.SCALE + 0.5) / quality.SCALE
     fine = Counter((la, so) for (_, _, la, so), f in zip(rows, failed, strict=True) if not f)
     group = [(la, so) if fine[la, so] >= least else (la,) for _, _, la, so in rows]
-    floor = np.array([quality.LEAST_SPREAD[s] for s in quality.STATS]) ** 2
     distance = np.full(len(rows), np.nan)
     for g in set(group):
         mine = np.array([h == g for h in group])
         own = x[mine & ~failed]
         if len(own) < least:
             continue
-        q = np.percentile(own, [25, 50, 75], axis=0)
-        centre, cov = q[1], np.diag(np.maximum((q[2] - q[0]) / 1.349, np.sqrt(floor)) ** 2)
-        far = lambda v: np.einsum("ij,jk,ik->i", v - centre, np.linalg.inv(cov), v - centre)  # noqa: B023, E731
-        cell = lambda d: np.floor(np.log(d + 1e-6) * 32)
-        for _ in range(steps):
-            c = cell(far(own))
-            near = own[c <= np.percentile(c, 100 * share)]
-            centre, cov = near.mean(0), np.cov(near.T, bias=True) + np.diag(floor)
-        scale = max(1.0, math.exp((np.percentile(cell(far(own)), 50) + 0.5) / 32) / quality.CHI2_MEDIAN)
-        distance[mine] = far(x[mine]) / scale
+        centre, inverse, _ = concentrated_by_hand(own, share)
+        scale = max(1.0, math.exp((np.percentile(cell_of(far_from(own, centre, inverse)), 50) + 0.5) / quality.CELLS) / quality.CHI2_MEDIAN)
+        distance[mine] = far_from(x[mine], centre, inverse) / scale
     return counts, failed, distance
 
 

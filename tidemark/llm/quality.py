@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import counted_small, let, words_of
@@ -90,49 +90,86 @@ def statistics() -> dict[str, Column]:
     }
 
 
-def _with_factor(groups: DataFrame) -> DataFrame:
-    """Cholesky factor of each group's covariance, entry by entry: c_ij in, l_ij out."""
-    p = len(STATS)
-    for j in range(p):
-        for i in range(j, p):
-            left = F.col(f"c_{i}_{j}")
-            for k in range(j):
-                left = left - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}")
-            groups = groups.withColumn(f"l_{i}_{j}", F.sqrt(F.greatest(left, F.lit(1e-6))) if i == j else left / F.col(f"l_{j}_{j}"))
-    return groups
+P = len(STATS)
+# Cells of distances for each factor e: quantiles are exact over cells, and their table is bounded.
+CELLS = 256
+# Transformed deviations are whole multiples of 1 / FINE, so that sums of their products are exact as well.
+FINE = 1 << 12
+# First estimates per group, and how many of them go on after the first two steps.
+STARTS = 5 + 2 * P
+GOING = 4
+# A step counts as one down if the logarithm of the determinant falls by this much.
+FALL = 1e-4
+# Gauss-Jordan over the rows of (matrix | unit matrix): the right half becomes the inverse, pivots give the determinant.
+INVERSE = f"""aggregate(sequence(0, {P - 1}),
+  struct(transform(sequence(0, {P - 1}), i -> concat(slice(c, i * {P} + 1, {P}), transform(sequence(0, {P - 1}), j -> if(i = j, 1D, 0D)))) AS m, 0D AS det),
+  (s, k) -> struct(transform(s.m, (r, i) -> if(i = k, transform(r, x -> x / s.m[k][k]), zip_with(r, s.m[k], (x, y) -> x - y * r[k] / s.m[k][k]))) AS m,
+    s.det + ln(greatest(s.m[k][k], 1e-12D)) AS det))"""
 
 
-def _with_distance(rows: DataFrame, groups: DataFrame) -> DataFrame:
-    """Squared Mahalanobis distance of each row from its group, by forward substitution."""
-    p = len(STATS)
-    out = rows.join(groups, "__group", "left")
-    scale = F.col("__scale") if "__scale" in groups.columns else F.lit(1.0)
-    for i, s in enumerate(STATS):
-        d = F.col(f"__{s}") / SCALE - F.col(f"m_{i}")
-        for k in range(i):
-            d = d - F.col(f"l_{i}_{k}") * F.col(f"y_{k}")
-        out = out.withColumn(f"y_{i}", d / F.col(f"l_{i}_{i}"))
-    total = sum((F.col(f"y_{i}") * F.col(f"y_{i}") for i in range(1, p)), F.col("y_0") * F.col("y_0"))
-    return out.withColumn("distance", total / scale).select(*rows.columns, "distance")
+def _solved(estimates: DataFrame, keys: list[str]) -> DataFrame:
+    """Centre m, inverse and ln determinant of covariances c, a row of P * P numbers."""
+    found = estimates.select(*keys, "m", F.expr(INVERSE).alias("__x"))
+    return found.select(*keys, "m", F.expr(f"flatten(transform(__x.m, r -> slice(r, {P + 1}, {P})))").alias("inv"), F.col("__x.det").alias("det"))
 
 
-def _step(distance: Column) -> Column:
-    """Cell of a distance: 32 cells for each factor e, so quantiles are exact over cells and their table is bounded."""
-    return F.floor(F.log(distance + 1e-6) * 32).cast("int")
+def _distance() -> Column:
+    """Squared Mahalanobis distance of a row of statistics from the centre and inverse covariance next to it."""
+    d = [F.col(f"__{s}") / SCALE - F.col("m")[i] for i, s in enumerate(STATS)]
+    total = F.lit(0.0)
+    for i in range(P):
+        across = sum((F.col("inv")[i * P + j] * d[j] for j in range(i)), F.lit(0.0))
+        total = total + d[i] * (F.col("inv")[i * P + i] * d[i] + 2 * across)
+    return F.greatest(total, F.lit(0.0))
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    p = len(STATS)
+def _cell(distance: Column) -> Column:
+    return F.floor(F.log(distance + 1e-6) * CELLS).cast("int")
+
+
+def _matrix(entry) -> Column:
+    return F.array(*[entry(max(i, j), min(i, j)) for i in range(P) for j in range(P)])
+
+
+def _moments(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Centre and covariance (with a floor under each variance) of the statistics, from sums of whole numbers."""
     q = [F.col(f"__{s}") for s in STATS]
-    sums = [F.sum(q[i]).alias(f"s_{i}") for i in range(p)]
-    products = [F.sum(q[i] * q[j]).alias(f"p_{i}_{j}") for i in range(p) for j in range(i + 1)]
-    g = rows.groupBy("__group").agg(F.count(F.lit(1)).alias("n"), *sums, *products)
-    cols = [(F.col(f"s_{i}") / F.col("n") / SCALE).alias(f"m_{i}") for i in range(p)]
-    for i in range(p):
-        for j in range(i + 1):
-            c = (F.col(f"p_{i}_{j}") / F.col("n") - F.col(f"s_{i}") / F.col("n") * (F.col(f"s_{j}") / F.col("n"))) / SCALE**2
-            cols.append((c + (LEAST_SPREAD[STATS[i]] ** 2 if i == j else 0.0)).alias(f"c_{i}_{j}"))
-    return g.select("__group", *cols)
+    sums = [F.sum(q[i]).alias(f"s_{i}") for i in range(P)]
+    products = [F.sum(q[i] * q[j]).alias(f"p_{i}_{j}") for i in range(P) for j in range(i + 1)]
+    mean = [F.col(f"s_{i}") / F.col("n") / SCALE for i in range(P)]
+    entry = lambda i, j: F.col(f"p_{i}_{j}") / F.col("n") / SCALE**2 - mean[i] * mean[j] + (LEAST_SPREAD[STATS[i]] ** 2 if i == j else 0.0)
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *sums, *products).select(*keys, F.array(*mean).alias("m"), _matrix(entry).alias("c"))
+
+
+def _starts(ok: DataFrame, least: int) -> DataFrame:
+    """STARTS first estimates per group.
+
+    Four are medians with quartile spreads and correlations of nothing, of tanh, of spatial signs and of signs; the others are moments
+    of all rows, and of the rows without the upper or the lower quarter of one statistic.
+    """
+    quarters = ok.groupBy("__group").agg(
+        F.count(F.lit(1)).alias("n"), *[F.percentile(f"__{s}", [0.25, 0.5, 0.75]).alias(f"q_{i}") for i, s in enumerate(STATS)]).where(F.col("n") >= least)
+    spread = [F.greatest((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / SCALE / 1.349, F.lit(LEAST_SPREAD[s])) for i, s in enumerate(STATS)]
+    low, middle, high = (F.array(*[F.col(f"q_{i}")[k] / SCALE for i in range(P)]) for k in range(3))
+    base = counted_small(stage(quarters.select("__group", middle.alias("m"), F.array(*spread).alias("w"), low.alias("lo"), high.alias("hi")), "medians"))
+    u = [(F.col(f"__{s}") / SCALE - F.col("m")[i]) / F.col("w")[i] for i, s in enumerate(STATS)]
+    whole = lambda values: F.array(*[F.round(v * FINE).cast("long") for v in values])
+    length = F.greatest(F.sqrt(sum((F.col("u")[i] * F.col("u")[i] for i in range(1, P)), F.col("u")[0] * F.col("u")[0])), F.lit(1e-9))
+    ways = [[F.tanh(F.col("u")[i]) for i in range(P)], [F.col("u")[i] / length for i in range(P)], [F.signum(F.col("u")[i]) for i in range(P)]]
+    turned = ok.join(base, "__group").select("__group", F.array(*u).alias("u")).select(
+        "__group", F.posexplode(F.array(*[whole(w) for w in ways])).alias("__start", "t"))
+    products = turned.groupBy("__group", "__start").agg(*[F.sum(F.col("t")[i] * F.col("t")[j]).alias(f"p_{i}_{j}") for i in range(P) for j in range(i + 1)])
+    # shrunk a little towards no correlation, so that every start has an inverse
+    related = lambda i, j: F.lit(1.0) if i == j else F.coalesce(
+        0.95 * F.col(f"p_{i}_{j}") / F.sqrt(F.nullif(F.col(f"p_{i}_{i}").cast("double") * F.col(f"p_{j}_{j}"), F.lit(0.0))), F.lit(0.0))
+    relations = products.select("__group", (F.col("__start") + 1).alias("__start"), _matrix(related).alias("r"))
+    plain = base.select("__group", F.lit(0).alias("__start"), _matrix(lambda i, j: F.lit(1.0 if i == j else 0.0)).alias("r"))
+    scaled = F.array(*[F.col("r")[i * P + j] * F.col("w")[i] * F.col("w")[j] for i in range(P) for j in range(P)])
+    turned = relations.union(plain).join(base, "__group").select("__group", "__start", "m", scaled.alias("c"))
+    x = [F.col(f"__{s}") / SCALE for s in STATS]
+    inside = [F.when(x[i] <= F.col("hi")[i], 5 + 2 * i) for i in range(P)] + [F.when(x[i] >= F.col("lo")[i], 6 + 2 * i) for i in range(P)]
+    parts = ok.join(base, "__group").select(*ok.columns, F.explode(F.array_compact(F.array(F.lit(4), *inside))).alias("__start"))
+    return _solved(turned.union(_moments(parts, ["__group", "__start"])), ["__group", "__start"])
 
 
 def _with_group_names(rows: DataFrame, group: tuple[str, ...]) -> DataFrame:
@@ -151,40 +188,59 @@ def _with_statistics(rows: DataFrame) -> DataFrame:
 
 
 def estimates(
-    counted: DataFrame, group: tuple[str, ...] = ("lang", "source"), least: int = 60, share: float = 0.75, steps: int = 3
+    counted: DataFrame, group: tuple[str, ...] = ("lang", "source"), least: int = 60, share: float = 0.75
 ) -> tuple[DataFrame, DataFrame]:
     """Minimum-covariance-determinant estimates from the result of `counts`: (groups that have their own, estimates by group).
 
-    Rows that the base rules passed estimate centre and covariance of their group: start at medians and quartile
-    spreads, then `steps` concentration steps, each over the `share` of rows nearest to the last estimate. Variances
-    have a floor, so a constant statistic rejects nobody over a trifle. Distances are put on scale by their
+    Rows that the base rules passed estimate centre and covariance of their group. From each of STARTS deterministic first estimates, concentration
+    steps go on: the `share` of rows nearest to the last estimate gives the next one, until the determinant stops falling; after two steps
+    only the GOING lowest of a group go on. The estimate with the least determinant of all that stopped is the group's. Variances have a floor (the determinant compared is that of the covariance with
+    it), so a constant statistic rejects nobody over a trifle. Distances are put on scale by their
     median. Groups with fewer than `least` passing rows share one estimate per first group column, and NULL is a value like any other;
     where even that has fewer, there is no estimate. Groups are aggregated with partial sums of whole numbers, so a group with
     a third of all rows sends one partial row per task, and reruns agree to the last bit.
     """
+    large, ok = _grouped(counted, group, least)
+    best = concentrated(ok, least, share)
+    middle = ok.join(best, "__group").groupBy("__group").agg(F.percentile(_cell(_distance()), 0.5).alias("__middle"))
+    scale = F.greatest(F.exp((F.col("__middle") + 0.5) / CELLS) / CHI2_MEDIAN, F.lit(1.0))
+    return large, counted_small(stage(best.join(middle.select("__group", scale.alias("__scale")), "__group"), "estimate"))
+
+
+def _grouped(counted: DataFrame, group: tuple[str, ...], least: int) -> tuple[DataFrame, DataFrame]:
+    """Groups that have their own estimate, and the passing rows' statistics by group."""
     named = _with_group_names(_with_statistics(counted.where("not base_failed")), group)
     rows = stage(named.select("__fine", "__coarse", *[f"__{s}" for s in STATS]), "statistics")
     large = rows.groupBy("__fine").agg((F.count(F.lit(1)) >= least).alias("__large")).where("__large")
     large = counted_small(stage(large, "groups"))
-    ok = stage(_with_group(rows, large), "statistics")
-
-    p = len(STATS)
-    quartiles = ok.groupBy("__group").agg(
-        F.count(F.lit(1)).alias("n"), *[F.percentile(f"__{s}", [0.25, 0.5, 0.75]).alias(f"q_{i}") for i, s in enumerate(STATS)]).where(F.col("n") >= least)
-    start = [(F.col(f"q_{i}")[1] / SCALE).alias(f"m_{i}") for i in range(p)]
-    for i, s in enumerate(STATS):
-        spread = F.greatest((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / SCALE / 1.349, F.lit(LEAST_SPREAD[s]))
-        start += [(spread * spread if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for j in range(i + 1)]
-    estimate = counted_small(stage(_with_factor(quartiles.select("__group", *start)), "estimate"))
-    for _ in range(steps):
-        near = _with_distance(ok, estimate).where("distance is not null").withColumn("__step", _step(F.col("distance")))
-        bound = counted_small(stage(near.groupBy("__group").agg(F.percentile("__step", share).alias("__bound")), "bound"))
-        kept = near.join(bound, "__group").where("__step <= __bound")
-        estimate = counted_small(stage(_with_factor(_moments(kept)), "estimate"))
-    middle = _with_distance(ok, estimate).where("distance is not null").groupBy("__group").agg(
-        F.percentile(_step(F.col("distance")), 0.5).alias("__middle"))
-    scale = F.greatest(F.exp((F.col("__middle") + 0.5) / 32) / CHI2_MEDIAN, F.lit(1.0))
-    return large, counted_small(stage(estimate.join(middle.select("__group", scale.alias("__scale")), "__group"), "estimate"))
+    return large, stage(_with_group(rows, large), "statistics")
+
+
+def concentrated(ok: DataFrame, least: int, share: float) -> DataFrame:
+    """(__group, m, inv, det): the least determinant that concentration steps from all starts reach."""
+    keys = ["__group", "__start"]
+    going = stage(_starts(ok, least).withColumn("det", F.lit(float("inf"))), "estimate")
+    done, turn = going.limit(0), 0
+    while True:
+        going, turn = counted_small(going), turn + 1
+        cells = ok.join(going, "__group").groupBy(*keys, _cell(_distance()).alias("__cell")).agg(F.count(F.lit(1)).alias("__n"))
+        bound = cells.groupBy(*keys).agg(F.percentile("__cell", share, F.col("__n")).alias("__bound"))
+        aimed = counted_small(stage(going.join(bound, keys).withColumnRenamed("det", "__before"), "bound"))
+        near = ok.join(aimed, "__group").where(_cell(_distance()) <= F.col("__bound"))
+        found = _solved(_moments(near, keys), keys).join(aimed.select(*keys, "__before", F.col("m").alias("__m"), F.col("inv").alias("__inv")), keys)
+        found = stage(found, "estimate")
+        fell = F.col("det") < F.col("__before") - FALL
+        stopped = found.where(~fell)
+        if not stopped.isEmpty():
+            done = done.union(stopped.select(*keys, F.col("__m").alias("m"), F.col("__inv").alias("inv"), F.col("__before").alias("det")))
+        going = found.where(fell).select(*keys, "m", "inv", "det")
+        if turn == 2:
+            lowest = Window.partitionBy("__group").orderBy("det", "__start")  # a row for each start
+            going = going.withColumn("__place", F.row_number().over(lowest)).where(F.col("__place") <= GOING).drop("__place")
+        if going.isEmpty():
+            break
+    best = done.groupBy("__group").agg(F.min_by(F.struct("m", "inv", "det"), F.struct("det", "__start")).alias("b"))
+    return counted_small(stage(best.select("__group", "b.*"), "best"))
 
 
 def outliers(
@@ -192,9 +248,13 @@ def outliers(
 ) -> DataFrame:
     """The rows of `counts` with (distance, outlier). Rows without an estimate have distance NULL and are no outliers."""
     large, estimate = fitted
-    rows = _with_group(_with_group_names(_with_statistics(counted), group), large)
-    out = _with_distance(rows, estimate)
-    return out.withColumn("outlier", F.coalesce(F.col("distance") > cutoff, F.lit(False))).select(*counted.columns, "distance", "outlier")
+    rows = _with_group(_with_group_names(_with_statistics(counted), group), large).join(estimate.drop("det"), "__group", "left")
+    distance = _distance_or_null() / F.col("__scale")
+    return rows.select(*counted.columns, distance.alias("distance")).withColumn("outlier", F.coalesce(F.col("distance") > cutoff, F.lit(False)))
+
+
+def _distance_or_null() -> Column:
+    return F.when(F.col("inv").isNotNull(), _distance())
 
 
 def judge(docs: DataFrame, text: str = "text", group: tuple[str, ...] = ("lang", "source"), cutoff: float = CUTOFF, keep_text: bool = True) -> DataFrame:
