@@ -279,7 +279,8 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
         F.min("id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("hashes").alias("hashes"), F.first("places").alias("places"))
     every = classes.select("name", "least", F.explode(F.arrays_zip("hashes", "places")).alias("x")).select(
         "name", "least", F.col("x.hashes").alias("hash"), F.col("x.places").alias("place"))
-    often = every.groupBy("hash").agg(F.count(F.lit(1)).alias("strings")).where("strings > 1")
+    # both sides are dealt out for this join alone, so that Spark can split the strings of a hot anchor over tasks
+    often = stage(every.groupBy("hash").agg(F.count(F.lit(1)).alias("strings")).where("strings > 1"), "often")
     marked = every.join(often, "hash").groupBy("name", "least").agg(
         F.collect_list(F.struct("hash", "place", (F.col("strings") > LARGE).alias("large"))).alias("marks"))  # bounded by the text
     marked = stage(marked.withColumn("cid", F.monotonically_increasing_id()), "marked")

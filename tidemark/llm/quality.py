@@ -100,6 +100,8 @@ STARTS = 5 + 2 * P
 GOING = 4
 # A step counts as one down if the logarithm of the determinant falls by this much.
 FALL = 1e-4
+# Rows of estimates (group and start, some 400 bytes each) that are sent to all tasks.
+SENT = 50_000
 # Gauss-Jordan over the rows of (matrix | unit matrix): the right half becomes the inverse, pivots give the determinant.
 INVERSE = f"""aggregate(sequence(0, {P - 1}),
   struct(transform(sequence(0, {P - 1}), i -> concat(slice(c, i * {P} + 1, {P}), transform(sequence(0, {P - 1}), j -> if(i = j, 1D, 0D)))) AS m, 0D AS det),
@@ -221,24 +223,21 @@ def concentrated(ok: DataFrame, least: int, share: float) -> DataFrame:
     keys = ["__group", "__start"]
     going = stage(_starts(ok, least).withColumn("det", F.lit(float("inf"))), "estimate")
     done, turn = going.limit(0), 0
-    while True:
-        going, turn = counted_small(going), turn + 1
-        cells = ok.join(going, "__group").groupBy(*keys, _cell(_distance()).alias("__cell")).agg(F.count(F.lit(1)).alias("__n"))
+    while (rows := going.count()) > 0:  # a row for each group and start
+        sent = F.broadcast if rows <= SENT else lambda df: df
+        turn += 1
+        cells = ok.join(sent(going), "__group").groupBy(*keys, _cell(_distance()).alias("__cell")).agg(F.count(F.lit(1)).alias("__n"))
         bound = cells.groupBy(*keys).agg(F.percentile("__cell", share, F.col("__n")).alias("__bound"))
-        aimed = counted_small(stage(going.join(bound, keys).withColumnRenamed("det", "__before"), "bound"))
-        near = ok.join(aimed, "__group").where(_cell(_distance()) <= F.col("__bound"))
-        found = _solved(_moments(near, keys), keys).join(aimed.select(*keys, "__before", F.col("m").alias("__m"), F.col("inv").alias("__inv")), keys)
+        aimed = stage(going.join(bound, keys).withColumnRenamed("det", "__before"), "bound")
+        near = ok.join(sent(aimed), "__group").where(_cell(_distance()) <= F.col("__bound"))
+        found = _solved(_moments(near, keys), keys).join(sent(aimed.select(*keys, "__before", F.col("m").alias("__m"), F.col("inv").alias("__inv"))), keys)
         found = stage(found, "estimate")
         fell = F.col("det") < F.col("__before") - FALL
-        stopped = found.where(~fell)
-        if not stopped.isEmpty():
-            done = done.union(stopped.select(*keys, F.col("__m").alias("m"), F.col("__inv").alias("inv"), F.col("__before").alias("det")))
+        done = done.union(found.where(~fell).select(*keys, F.col("__m").alias("m"), F.col("__inv").alias("inv"), F.col("__before").alias("det")))
         going = found.where(fell).select(*keys, "m", "inv", "det")
         if turn == 2:
             lowest = Window.partitionBy("__group").orderBy("det", "__start")  # a row for each start
-            going = going.withColumn("__place", F.row_number().over(lowest)).where(F.col("__place") <= GOING).drop("__place")
-        if going.isEmpty():
-            break
+            going = stage(going.withColumn("__place", F.row_number().over(lowest)).where(F.col("__place") <= GOING).drop("__place"), "estimate")
     best = done.groupBy("__group").agg(F.min_by(F.struct("m", "inv", "det"), F.struct("det", "__start")).alias("b"))
     return counted_small(stage(best.select("__group", "b.*"), "best"))
 
