@@ -6,8 +6,8 @@ import pytest
 import __spark_entry__ as entry
 from tests.test_registered_queries import SF, TABLES, order, same
 
-POINTS = ["A22_quarterly_forecast_points", "P19_forecast_snapshot_points", "A23_annual_weather_points", "A24_annual_model_panel_points", "A25_extension_audit_points",
-          "J18_operations_with_weather_points", "W16_expanding_forecasts_points", "A26_forecast_errors_points", "A27_forecast_skill_points", "R16_study_completion_points"]
+POINTS = ["A22_quarterly_forecast", "P19_forecast_snapshot", "A23_annual_weather", "A24_annual_model_panel", "A25_extension_audit",
+          "J18_operations_with_weather", "W16_expanding_forecasts", "A26_forecast_errors", "A27_forecast_skill", "R16_study_completion"]
 
 
 @pytest.mark.parametrize("name", POINTS)
@@ -28,9 +28,3 @@ def test_all_points_equal_oracle(spark, name):
     if point:
         assert {r[point] for r in rows} == {f"grid_0{k}" for k in range(1, 8)}
 
-
-def test_first_point_is_what_the_single_point_queries_give(spark):
-    for name in ("A22_quarterly_forecast", "A23_annual_weather", "W16_expanding_forecasts"):
-        one = entry.queries()[name](spark, SF)
-        mine = entry.queries()[f"{name}_points"](spark, SF).where("grid_point_id = 'grid_01'").select(*one.columns)
-        assert sorted(map(repr, one.collect())) == sorted(map(repr, mine.collect()))

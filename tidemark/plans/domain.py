@@ -427,11 +427,6 @@ def grid_weights(spark, sf) -> DataFrame:
     )
 
 
-def hourly_forecast(spark, sf) -> DataFrame:
-    """24 hours per day of the first grid point."""
-    return hourly_forecasts(spark, sf).where("grid_point_id = 'grid_01'").drop("grid_point_id")
-
-
 def hourly_forecasts(spark, sf) -> DataFrame:
     """24 hours per day of every grid point."""
     return daily_weather(spark, sf).withColumn("_h", F.explode(F.sequence(F.lit(0), F.lit(23)))).select(

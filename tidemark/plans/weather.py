@@ -16,41 +16,34 @@ QUARTER_DOUBLES = "precipitation_sum_mm rain_sum_mm snowfall_sum_cm et0_fao_evap
 
 _fit = lambda x: (f"CASE WHEN max({x}) OVER p > min({x}) OVER p THEN regr_intercept(y, {x}) OVER p + regr_slope(y, {x}) OVER p * {x} ELSE avg(y) OVER p END")
 VIEWS = {
-    "point": f"""SELECT {qend('time')} AS period_end, max(precipitation_sum) AS precipitation_max_daily_mm, count(*) AS weather_days, count(*) FILTER (precipitation_sum > 0.1) AS wet_days,
-        sum(precipitation_sum) AS precipitation_sum_mm, sum(rain_sum) AS rain_sum_mm, sum(snowfall_sum) AS snowfall_sum_cm, sum(et0_fao_evapotranspiration) AS et0_fao_evapotranspiration_sum_mm,
-        avg(temperature_2m_mean) AS temperature_2m_mean_c FROM weather WHERE grid_point_id = 'grid_01' GROUP BY 1""",
-    "points": f"""SELECT grid_point_id, {qend('time')} AS period_end, max(precipitation_sum) AS precipitation_max_daily_mm, count(*) AS weather_days, count(*) FILTER (precipitation_sum > 0.1) AS wet_days,
+    "point": f"""SELECT grid_point_id, {qend('time')} AS period_end, max(precipitation_sum) AS precipitation_max_daily_mm, count(*) AS weather_days, count(*) FILTER (precipitation_sum > 0.1) AS wet_days,
         sum(precipitation_sum) AS precipitation_sum_mm, sum(rain_sum) AS rain_sum_mm, sum(snowfall_sum) AS snowfall_sum_cm, sum(et0_fao_evapotranspiration) AS et0_fao_evapotranspiration_sum_mm,
         avg(temperature_2m_mean) AS temperature_2m_mean_c FROM weather GROUP BY 1, 2""",
     "area": f"""SELECT *, t / weather_days AS temperature_2m_mean_c FROM (SELECT {qend('time')} AS period_end, sum(precipitation_sum * area_weight) AS precipitation_sum_mm, sum(rain_sum * area_weight) AS rain_sum_mm,
         sum(snowfall_sum * area_weight) AS snowfall_sum_cm, sum(et0_fao_evapotranspiration * area_weight) AS et0_fao_evapotranspiration_sum_mm, sum(temperature_2m_mean * area_weight) AS t, count(DISTINCT time) AS weather_days
         FROM weather JOIN weights USING (grid_point_id) GROUP BY 1)""",
-    "hours": f"""SELECT CAST(time AS DATE) AS day, floor(precipitation_sum * 10 + 0.5) / 250.0::DOUBLE AS v FROM weather JOIN (SELECT unnest(generate_series(0, 23)) AS h) ON true WHERE grid_point_id = 'grid_01'""",
-    "fc": f"SELECT {qend('day')} AS period_end, sum(v) AS precipitation_forecast_sum_mm, count(*) AS forecast_hours FROM hours GROUP BY 1",
-    "wyear": """SELECT make_date(year(period_end), 12, 31) AS period_end, sum(precipitation_sum_mm) AS precipitation_sum_mm, sum(rain_sum_mm) AS rain_sum_mm, sum(snowfall_sum_cm) AS snowfall_sum_cm,
-        sum(et0_fao_evapotranspiration_sum_mm) AS et0_fao_evapotranspiration_sum_mm, CAST(sum(weather_days) AS BIGINT) AS weather_days, sum(temperature_2m_mean_c * weather_days) / sum(weather_days) AS temperature_2m_mean_c FROM point GROUP BY 1""",
+    "hours": """SELECT grid_point_id, CAST(time AS DATE) AS day, floor(precipitation_sum * 10 + 0.5) / 250.0::DOUBLE AS v FROM weather JOIN (SELECT unnest(generate_series(0, 23)) AS h) ON true""",
+    "fc": f"SELECT grid_point_id, {qend('day')} AS period_end, sum(v) AS precipitation_forecast_sum_mm, count(*) AS forecast_hours FROM hours GROUP BY 1, 2",
+    "wyear": """SELECT grid_point_id, make_date(year(period_end), 12, 31) AS period_end, sum(precipitation_sum_mm) AS precipitation_sum_mm, sum(rain_sum_mm) AS rain_sum_mm, sum(snowfall_sum_cm) AS snowfall_sum_cm,
+        sum(et0_fao_evapotranspiration_sum_mm) AS et0_fao_evapotranspiration_sum_mm, CAST(sum(weather_days) AS BIGINT) AS weather_days, sum(temperature_2m_mean_c * weather_days) / sum(weather_days) AS temperature_2m_mean_c FROM point GROUP BY 1, 2""",
     "ayear": """SELECT make_date(year(period_end), 12, 31) AS period_end, sum(precipitation_sum_mm) AS catchment_precipitation_sum_mm, sum(et0_fao_evapotranspiration_sum_mm) AS catchment_et0_sum_mm, CAST(sum(weather_days) AS BIGINT) AS catchment_weather_days FROM area GROUP BY 1""",
     "ops": """SELECT symbol, 'A00' AS asset_id, make_date(y, 12, 31) AS period_end, CAST(p - c AS DOUBLE) AS power_generation, (p - c) / 8.0::DOUBLE AS utilization_hours, CAST(p AS DOUBLE) AS hydrological_generation_potential,
         CAST(c AS DOUBLE) AS curtailed_generation FROM annual_base""",
     "pan": "SELECT o.*, w.* EXCLUDE (period_end), a.* EXCLUDE (period_end) FROM ops o LEFT JOIN wyear w USING (period_end) LEFT JOIN ayear a USING (period_end)",
-    "pred0": f"""SELECT symbol, year(period_end) AS test_year, y AS actual, count(*) OVER p AS train_years, year(min(period_end) OVER p) AS train_start_year, year(max(period_end) OVER p) AS train_end_year,
-        avg(y) OVER p AS historical_mean, lag(y) OVER (PARTITION BY symbol ORDER BY period_end) AS previous_year, {_fit('x1')} AS point_precipitation_ols, {_fit('x2')} AS catchment_precipitation_ols
-        FROM (SELECT symbol, period_end, hydrological_generation_potential AS y, precipitation_sum_mm AS x1, catchment_precipitation_sum_mm AS x2 FROM pan)
-        WINDOW p AS (PARTITION BY symbol ORDER BY period_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
-    "pred": "SELECT symbol, 'hydrological_generation_potential' AS target, CAST(test_year AS INTEGER) AS test_year, CAST(train_start_year AS INTEGER) AS train_start_year, CAST(train_end_year AS INTEGER) AS train_end_year, train_years, model, actual, prediction, prediction - actual AS error FROM ("
+    "pred0": f"""SELECT symbol, grid_point_id, year(period_end) AS test_year, y AS actual, count(*) OVER p AS train_years, year(min(period_end) OVER p) AS train_start_year, year(max(period_end) OVER p) AS train_end_year,
+        avg(y) OVER p AS historical_mean, lag(y) OVER (PARTITION BY symbol, grid_point_id ORDER BY period_end) AS previous_year, {_fit('x1')} AS point_precipitation_ols, {_fit('x2')} AS catchment_precipitation_ols
+        FROM (SELECT symbol, grid_point_id, period_end, hydrological_generation_potential AS y, precipitation_sum_mm AS x1, catchment_precipitation_sum_mm AS x2 FROM pan)
+        WINDOW p AS (PARTITION BY symbol, grid_point_id ORDER BY period_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+    "pred": "SELECT symbol, grid_point_id, 'hydrological_generation_potential' AS target, CAST(test_year AS INTEGER) AS test_year, CAST(train_start_year AS INTEGER) AS train_start_year, CAST(train_end_year AS INTEGER) AS train_end_year, train_years, model, actual, prediction, prediction - actual AS error FROM ("
     + " UNION ALL ".join(f"SELECT *, '{m}' AS model, {m} AS prediction FROM pred0" for m in ("historical_mean", "previous_year", *MODELS)) + ") WHERE train_years >= 5",
 }
 
 
-def point_quarters(spark, sf):
-    return w.quarterly_point_weather(d.daily_weather(spark, sf).where("grid_point_id = 'grid_01'"))
-
-
 def area_quarters(spark, sf):
     return w.quarterly_area_weather(d.daily_weather(spark, sf), d.grid_weights(spark, sf))
 
 
-@query("A20_quarterly_point_weather", "SELECT * FROM points", QUARTER_DOUBLES + " precipitation_max_daily_mm", **VIEWS)
+@query("A20_quarterly_point_weather", "SELECT * FROM point", QUARTER_DOUBLES + " precipitation_max_daily_mm", **VIEWS)
 def all_point_quarters(spark, sf):
     return w.quarterly_point_weather(d.daily_weather(spark, sf), ["grid_point_id"])
 
@@ -65,66 +58,6 @@ def area_violations(spark, sf):
     return w.area_weather_violations(holed, d.grid_weights(spark, sf)).withColumn("detail", F.lit(""))
 
 
-def forecast_quarters(spark, sf):
-    return w.quarterly_forecast(d.hourly_forecast(spark, sf))
-
-
-query("A22_quarterly_forecast", "SELECT *, forecast_hours = (date_diff('day', CAST(date_trunc('quarter', period_end) AS DATE), period_end) + 1) * 24 AS complete FROM fc", "precipitation_forecast_sum_mm", **VIEWS)(forecast_quarters)
-
-
-@query("P19_forecast_snapshot", """SELECT period_end, precipitation_forecast_sum_mm, forecast_hours, '000001' AS symbol, 'A00' AS asset_id, 'grid_01' AS weather_point_id, 'historical_forecast_fixed_lead' AS data_kind, 'model_a' AS model,
- 24 AS lead_offset_hours, 25.5::DOUBLE AS latitude, 100.25::DOUBLE AS longitude, DATE '2002-01-05' AS retrieved_at FROM fc""", "precipitation_forecast_sum_mm latitude longitude", **VIEWS)
-def snapshot(spark, sf):
-    return w.forecast_snapshot(forecast_quarters(spark, sf), "000001", "A00", "grid_01", "model_a", 1, 25.5, 100.25, "2002-01-05")
-
-
-@query("A23_annual_weather", "SELECT * FROM wyear", QUARTER_DOUBLES, **VIEWS)
-def annual_weather(spark, sf):
-    return w.annual_weather(point_quarters(spark, sf))
-
-
-def panel(spark, sf):
-    return w.annual_panel(d.annual_metrics(spark, sf), point_quarters(spark, sf), CORE, area_quarters(spark, sf))
-
-
-query("A24_annual_model_panel", "SELECT * FROM pan", QUARTER_DOUBLES + " " + " ".join(CORE) + " catchment_precipitation_sum_mm catchment_et0_sum_mm", 9, **VIEWS)(panel)
-
-
-@query("A25_extension_audit", """SELECT (SELECT count(*) * 4 FROM annual_base) AS prelisting_observations, CAST(0 AS BIGINT) AS year_to_date_observations, (SELECT count(*) FROM annual_base) AS complete_annual_years,
- (SELECT count(*) FROM pan) AS annual_weather_join_rows, (SELECT count(*) FROM pan WHERE precipitation_sum_mm IS NOT NULL AND temperature_2m_mean_c IS NOT NULL) AS annual_weather_complete_rows""", **VIEWS)
-def extension(spark, sf):
-    return w.extension_audit(d.annual_metrics(spark, sf), panel(spark, sf), CORE, ["precipitation_sum_mm", "temperature_2m_mean_c"])
-
-
-@query("J18_operations_with_weather", "SELECT o.symbol, o.period_end, o.value, p.precipitation_sum_mm, p.wet_days FROM (SELECT symbol, period_end, sum(value) AS value FROM versions WHERE metric = 'quantity' AND valid_to IS NULL GROUP BY 1, 2) o LEFT JOIN point p USING (period_end)",
-       "value precipitation_sum_mm", **VIEWS)
-def with_weather(spark, sf):
-    from tidemark.plans import point_in_time as pit
-
-    rows = pit.versions(spark, sf).where("metric = 'quantity' and valid_to is null").groupBy("symbol", "period_end").agg(F.sum("value").alias("value"))
-    return w.operations_with_weather(rows, point_quarters(spark, sf)).select("symbol", "period_end", "value", "precipitation_sum_mm", "wet_days")
-
-
-def predictions(spark, sf):
-    return forecast.expanding_forecasts(panel(spark, sf), "hydrological_generation_potential", MODELS, 5)
-
-
-query("W16_expanding_forecasts", "SELECT * FROM pred", "actual prediction error", 4, **VIEWS)(predictions)
-
-
-@query("A26_forecast_errors", """SELECT *, (1 - mae / (SELECT avg(abs(error)) FROM pred WHERE model = 'historical_mean')) * 100 AS mae_skill_vs_mean_pct FROM (
- SELECT model, count(*) AS oos_years, min(test_year) AS test_start_year, max(test_year) AS test_end_year, avg(abs(error)) AS mae, sqrt(avg(error * error)) AS rmse, avg(abs(error) / actual) * 100 AS mape_pct FROM pred GROUP BY 1)""",
-       "mae rmse mape_pct mae_skill_vs_mean_pct", 4, **VIEWS)
-def errors(spark, sf):
-    return forecast.forecast_errors(predictions(spark, sf))
-
-
-@query("A27_forecast_skill", f"""SELECT count(*) AS quarters, {corr('f', 'a')} AS correlation, avg(f - a) AS mean_bias_mm, avg(abs(f - a)) AS mae_mm, sum(f) / sum(a) AS forecast_to_reanalysis_ratio
- FROM (SELECT precipitation_forecast_sum_mm AS f, precipitation_sum_mm AS a FROM fc JOIN point USING (period_end))""", "correlation mean_bias_mm mae_mm forecast_to_reanalysis_ratio", **VIEWS)
-def skill(spark, sf):
-    return forecast.forecast_skill(forecast_quarters(spark, sf), point_quarters(spark, sf))
-
-
 @query("R16_panel_readiness", """SELECT symbol, count(*) AS quarters, 12 AS minimum_quarters, count(*) = 28 AS consecutive, true AS complete_core_metrics, count(*) >= 12 AND count(*) = 28 AS ready,
  CASE WHEN count(*) < 28 THEN 'quarters are missing' ELSE '' END AS reasons FROM (SELECT DISTINCT symbol, period_end FROM obs WHERE NOT (symbol = '000003' AND period_end = DATE '1999-03-31')) GROUP BY 1""")
 def readiness(spark, sf):
@@ -132,52 +65,28 @@ def readiness(spark, sf):
     return forecast.panel_readiness(rows, ["total"], 12, ["symbol"])
 
 
-@query("R16_study_completion", """SELECT (SELECT count(DISTINCT period_end) FROM pan) AS annual_years, (SELECT count(DISTINCT test_year) FROM pred) AS oos_years, (SELECT count(DISTINCT period_end) FROM point) AS quarterly_periods,
- (SELECT count(*) FROM fc) AS forecast_quarters, true AS forecast_periods_aligned, (SELECT count(*) FROM weights) AS areas, false AS boundary_verified,
- (SELECT min(m) FROM (SELECT avg(abs(error)) AS m FROM pred WHERE contains(model, 'precipitation') GROUP BY model)) < (SELECT avg(abs(error)) FROM pred WHERE model = 'historical_mean') AS weather_model_beats_mean,
- false AS forecast_is_area_weighted, false AS research_complete, false AS deployable,
- 'area boundary not verified; ' || CASE WHEN (SELECT min(m) FROM (SELECT avg(abs(error)) AS m FROM pred WHERE contains(model, 'precipitation') GROUP BY model)) < (SELECT avg(abs(error)) FROM pred WHERE model = 'historical_mean') THEN '' ELSE 'weather does not beat the mean; ' END || 'forecast is for a point' AS reasons""", **VIEWS)
-def completion(spark, sf):
-    areas = d.grid_weights(spark, sf).withColumn("status", F.lit("experimental_candidate"))
-    return forecast.study_completion(panel(spark, sf), point_quarters(spark, sf), forecast_quarters(spark, sf), predictions(spark, sf), areas, False)
-
-
-# --- the same for every grid point ------------------------------------------------------------------------
+# --- forecasts, panels and studies for every grid point -----------------------------------------------------
 
 POINT = ["grid_point_id"]
-POINT_VIEWS = {
-    **VIEWS,
-    "point": VIEWS["points"],
-    "hours": """SELECT grid_point_id, CAST(time AS DATE) AS day, floor(precipitation_sum * 10 + 0.5) / 250.0::DOUBLE AS v FROM weather JOIN (SELECT unnest(generate_series(0, 23)) AS h) ON true""",
-    "fc": f"SELECT grid_point_id, {qend('day')} AS period_end, sum(v) AS precipitation_forecast_sum_mm, count(*) AS forecast_hours FROM hours GROUP BY 1, 2",
-    "wyear": """SELECT grid_point_id, make_date(year(period_end), 12, 31) AS period_end, sum(precipitation_sum_mm) AS precipitation_sum_mm, sum(rain_sum_mm) AS rain_sum_mm, sum(snowfall_sum_cm) AS snowfall_sum_cm,
-        sum(et0_fao_evapotranspiration_sum_mm) AS et0_fao_evapotranspiration_sum_mm, CAST(sum(weather_days) AS BIGINT) AS weather_days, sum(temperature_2m_mean_c * weather_days) / sum(weather_days) AS temperature_2m_mean_c FROM point GROUP BY 1, 2""",
-    "pred0": f"""SELECT symbol, grid_point_id, year(period_end) AS test_year, y AS actual, count(*) OVER p AS train_years, year(min(period_end) OVER p) AS train_start_year, year(max(period_end) OVER p) AS train_end_year,
-        avg(y) OVER p AS historical_mean, lag(y) OVER (PARTITION BY symbol, grid_point_id ORDER BY period_end) AS previous_year, {_fit('x1')} AS point_precipitation_ols, {_fit('x2')} AS catchment_precipitation_ols
-        FROM (SELECT symbol, grid_point_id, period_end, hydrological_generation_potential AS y, precipitation_sum_mm AS x1, catchment_precipitation_sum_mm AS x2 FROM pan)
-        WINDOW p AS (PARTITION BY symbol, grid_point_id ORDER BY period_end ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
-    "pred": "SELECT symbol, grid_point_id, 'hydrological_generation_potential' AS target, CAST(test_year AS INTEGER) AS test_year, CAST(train_start_year AS INTEGER) AS train_start_year, CAST(train_end_year AS INTEGER) AS train_end_year, train_years, model, actual, prediction, prediction - actual AS error FROM ("
-    + " UNION ALL ".join(f"SELECT *, '{m}' AS model, {m} AS prediction FROM pred0" for m in ("historical_mean", "previous_year", *MODELS)) + ") WHERE train_years >= 5",
-}
 
 
 def all_forecast_quarters(spark, sf):
     return w.quarterly_forecast(d.hourly_forecasts(spark, sf), by=POINT)
 
 
-query("A22_quarterly_forecast_points", "SELECT *, forecast_hours = (date_diff('day', CAST(date_trunc('quarter', period_end) AS DATE), period_end) + 1) * 24 AS complete FROM fc", "precipitation_forecast_sum_mm", **POINT_VIEWS)(all_forecast_quarters)
+query("A22_quarterly_forecast", "SELECT *, forecast_hours = (date_diff('day', CAST(date_trunc('quarter', period_end) AS DATE), period_end) + 1) * 24 AS complete FROM fc", "precipitation_forecast_sum_mm", **VIEWS)(all_forecast_quarters)
 
 
-@query("P19_forecast_snapshot_points", """SELECT period_end, precipitation_forecast_sum_mm, forecast_hours, '000001' AS symbol, 'A00' AS asset_id, grid_point_id AS weather_point_id, 'historical_forecast_fixed_lead' AS data_kind, 'model_a' AS model,
+@query("P19_forecast_snapshot", """SELECT period_end, precipitation_forecast_sum_mm, forecast_hours, '000001' AS symbol, 'A00' AS asset_id, grid_point_id AS weather_point_id, 'historical_forecast_fixed_lead' AS data_kind, 'model_a' AS model,
  24 AS lead_offset_hours, 25.25::DOUBLE + CAST(right(grid_point_id, 2) AS INTEGER) * 0.25::DOUBLE AS latitude, 100.0::DOUBLE + CAST(right(grid_point_id, 2) AS INTEGER) * 0.25::DOUBLE AS longitude, DATE '2002-01-05' AS retrieved_at FROM fc""",
-       "precipitation_forecast_sum_mm latitude longitude", **POINT_VIEWS)
+       "precipitation_forecast_sum_mm latitude longitude", **VIEWS)
 def all_snapshots(spark, sf):
     step = F.substring("grid_point_id", -2, 2).cast("int") * 0.25
     rows = w.forecast_snapshot(all_forecast_quarters(spark, sf), "000001", "A00", F.col("grid_point_id"), "model_a", 1, 25.25 + step, 100.0 + step, "2002-01-05")
     return rows.drop("grid_point_id")
 
 
-@query("A23_annual_weather_points", "SELECT * FROM wyear", QUARTER_DOUBLES, **POINT_VIEWS)
+@query("A23_annual_weather", "SELECT * FROM wyear", QUARTER_DOUBLES, **VIEWS)
 def all_annual_weather(spark, sf):
     return w.annual_weather(all_point_quarters(spark, sf), POINT)
 
@@ -186,17 +95,17 @@ def point_panel(spark, sf):
     return w.annual_panel(d.annual_metrics(spark, sf), all_point_quarters(spark, sf), CORE, area_quarters(spark, sf), POINT)
 
 
-query("A24_annual_model_panel_points", "SELECT * FROM pan", QUARTER_DOUBLES + " " + " ".join(CORE) + " catchment_precipitation_sum_mm catchment_et0_sum_mm", 9, **POINT_VIEWS)(point_panel)
+query("A24_annual_model_panel", "SELECT * FROM pan", QUARTER_DOUBLES + " " + " ".join(CORE) + " catchment_precipitation_sum_mm catchment_et0_sum_mm", 9, **VIEWS)(point_panel)
 
 
-@query("A25_extension_audit_points", """SELECT (SELECT count(*) * 4 FROM annual_base) AS prelisting_observations, CAST(0 AS BIGINT) AS year_to_date_observations, (SELECT count(*) FROM annual_base) AS complete_annual_years,
- (SELECT count(*) FROM pan) AS annual_weather_join_rows, (SELECT count(*) FROM pan WHERE precipitation_sum_mm IS NOT NULL AND temperature_2m_mean_c IS NOT NULL) AS annual_weather_complete_rows""", **POINT_VIEWS)
+@query("A25_extension_audit", """SELECT (SELECT count(*) * 4 FROM annual_base) AS prelisting_observations, CAST(0 AS BIGINT) AS year_to_date_observations, (SELECT count(*) FROM annual_base) AS complete_annual_years,
+ (SELECT count(*) FROM pan) AS annual_weather_join_rows, (SELECT count(*) FROM pan WHERE precipitation_sum_mm IS NOT NULL AND temperature_2m_mean_c IS NOT NULL) AS annual_weather_complete_rows""", **VIEWS)
 def point_extension(spark, sf):
     return w.extension_audit(d.annual_metrics(spark, sf), point_panel(spark, sf), CORE, ["precipitation_sum_mm", "temperature_2m_mean_c"])
 
 
-@query("J18_operations_with_weather_points", "SELECT o.symbol, o.period_end, p.grid_point_id, o.value, p.precipitation_sum_mm, p.wet_days FROM (SELECT symbol, period_end, sum(value) AS value FROM versions WHERE metric = 'quantity' AND valid_to IS NULL GROUP BY 1, 2) o LEFT JOIN point p USING (period_end)",
-       "value precipitation_sum_mm", **POINT_VIEWS)
+@query("J18_operations_with_weather", "SELECT o.symbol, o.period_end, p.grid_point_id, o.value, p.precipitation_sum_mm, p.wet_days FROM (SELECT symbol, period_end, sum(value) AS value FROM versions WHERE metric = 'quantity' AND valid_to IS NULL GROUP BY 1, 2) o LEFT JOIN point p USING (period_end)",
+       "value precipitation_sum_mm", **VIEWS)
 def with_all_weather(spark, sf):
     from tidemark.plans import point_in_time as pit
 
@@ -208,18 +117,18 @@ def point_predictions(spark, sf):
     return forecast.expanding_forecasts(point_panel(spark, sf), "hydrological_generation_potential", MODELS, 5, POINT)
 
 
-query("W16_expanding_forecasts_points", "SELECT * FROM pred", "actual prediction error", 4, **POINT_VIEWS)(point_predictions)
+query("W16_expanding_forecasts", "SELECT * FROM pred", "actual prediction error", 4, **VIEWS)(point_predictions)
 
 
-@query("A26_forecast_errors_points", """SELECT *, (1 - mae / max(CASE WHEN model = 'historical_mean' THEN mae END) OVER (PARTITION BY grid_point_id)) * 100 AS mae_skill_vs_mean_pct FROM (
+@query("A26_forecast_errors", """SELECT *, (1 - mae / max(CASE WHEN model = 'historical_mean' THEN mae END) OVER (PARTITION BY grid_point_id)) * 100 AS mae_skill_vs_mean_pct FROM (
  SELECT grid_point_id, model, count(*) AS oos_years, min(test_year) AS test_start_year, max(test_year) AS test_end_year, avg(abs(error)) AS mae, sqrt(avg(error * error)) AS rmse, avg(abs(error) / actual) * 100 AS mape_pct FROM pred GROUP BY 1, 2)""",
-       "mae rmse mape_pct mae_skill_vs_mean_pct", 4, **POINT_VIEWS)
+       "mae rmse mape_pct mae_skill_vs_mean_pct", 4, **VIEWS)
 def point_errors(spark, sf):
     return forecast.forecast_errors(point_predictions(spark, sf), POINT)
 
 
-@query("A27_forecast_skill_points", f"""SELECT grid_point_id, count(*) AS quarters, {corr('f', 'a')} AS correlation, avg(f - a) AS mean_bias_mm, avg(abs(f - a)) AS mae_mm, sum(f) / sum(a) AS forecast_to_reanalysis_ratio
- FROM (SELECT grid_point_id, precipitation_forecast_sum_mm AS f, precipitation_sum_mm AS a FROM fc JOIN point USING (grid_point_id, period_end)) GROUP BY 1""", "correlation mean_bias_mm mae_mm forecast_to_reanalysis_ratio", **POINT_VIEWS)
+@query("A27_forecast_skill", f"""SELECT grid_point_id, count(*) AS quarters, {corr('f', 'a')} AS correlation, avg(f - a) AS mean_bias_mm, avg(abs(f - a)) AS mae_mm, sum(f) / sum(a) AS forecast_to_reanalysis_ratio
+ FROM (SELECT grid_point_id, precipitation_forecast_sum_mm AS f, precipitation_sum_mm AS a FROM fc JOIN point USING (grid_point_id, period_end)) GROUP BY 1""", "correlation mean_bias_mm mae_mm forecast_to_reanalysis_ratio", **VIEWS)
 def point_skill(spark, sf):
     return forecast.forecast_skill(all_forecast_quarters(spark, sf), all_point_quarters(spark, sf), POINT)
 
@@ -227,10 +136,10 @@ def point_skill(spark, sf):
 _BEATS = """(SELECT min(m) FROM (SELECT avg(abs(error)) AS m FROM pred WHERE contains(model, 'precipitation') GROUP BY model)) < (SELECT avg(abs(error)) FROM pred WHERE model = 'historical_mean')"""
 
 
-@query("R16_study_completion_points", f"""SELECT (SELECT count(DISTINCT period_end) FROM pan) AS annual_years, (SELECT count(DISTINCT test_year) FROM pred) AS oos_years, (SELECT count(DISTINCT period_end) FROM point) AS quarterly_periods,
+@query("R16_study_completion", f"""SELECT (SELECT count(DISTINCT period_end) FROM pan) AS annual_years, (SELECT count(DISTINCT test_year) FROM pred) AS oos_years, (SELECT count(DISTINCT period_end) FROM point) AS quarterly_periods,
  (SELECT count(DISTINCT period_end) FROM fc) AS forecast_quarters, NOT EXISTS (SELECT 1 FROM point FULL JOIN fc USING (grid_point_id, period_end) WHERE weather_days IS NULL OR forecast_hours IS NULL) AS forecast_periods_aligned,
  (SELECT count(*) FROM weights) AS areas, false AS boundary_verified, {_BEATS} AS weather_model_beats_mean, false AS forecast_is_area_weighted, false AS research_complete, false AS deployable,
- 'area boundary not verified; ' || CASE WHEN {_BEATS} THEN '' ELSE 'weather does not beat the mean; ' END || 'forecast is for a point' AS reasons""", **POINT_VIEWS)
+ 'area boundary not verified; ' || CASE WHEN {_BEATS} THEN '' ELSE 'weather does not beat the mean; ' END || 'forecast is for a point' AS reasons""", **VIEWS)
 def point_completion(spark, sf):
     areas = d.grid_weights(spark, sf).withColumn("status", F.lit("experimental_candidate"))
     return forecast.study_completion(point_panel(spark, sf), all_point_quarters(spark, sf), all_forecast_quarters(spark, sf), point_predictions(spark, sf), areas, False, by=POINT)
