@@ -92,3 +92,19 @@ def must_match_once(left: DataFrame, right: DataFrame, keys: list[str], right_id
     return left.join(partners, keys, "left").withColumn(
         "matches", F.coalesce("matches", F.lit(0).cast("bigint"))
     ).withColumn(right_id, F.when(F.col("matches") == 1, F.col("_one"))).drop("_one")
+
+
+def bucketed_interval_join(
+    intervals: DataFrame, points: DataFrame, by: list[str], start: str, end: str, time: str, days: int = 32
+) -> DataFrame:
+    """Inner join of dated rows with the closed date intervals of the same key that hold them.
+
+    Each interval is repeated for the buckets of `days` days that it touches, each point lies in one bucket, and the two meet on (key, bucket)
+    before the exact test. So what is paired is bounded by the days that intervals cover, however long the key's history is, and a key with very many
+    rows is spread over its buckets. Every fitting pair comes once. Rows with a NULL key, bound or day fit nothing, nor do intervals that end before they
+    start; equal rows are joined as often as they come. Column names other than `by` must differ between the sides.
+    """
+    bucket = lambda c: F.floor(F.unix_date(c) / F.lit(days)).cast("int")
+    spread = intervals.where(F.col(start) <= F.col(end)).withColumn("_bucket", F.explode(F.sequence(bucket(F.col(start)), bucket(F.col(end)))))
+    dealt = points.withColumn("_bucket", bucket(F.col(time)))
+    return spread.join(dealt, [*by, "_bucket"]).where(F.col(time).between(F.col(start), F.col(end))).drop("_bucket")

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators import calendars
+from tidemark.operators import calendars, joins
 from tidemark.session import stage
 
 TRADING_DAYS = 252
@@ -137,11 +137,10 @@ def simulate(targets: DataFrame, closes: DataFrame, sessions: DataFrame, cases:
     )
     price = closes.select("symbol", "date", "close")
     worth = F.col("weight") * F.col("close") / F.col("_open")
-    # Joined by symbol alone and summed on the spot: holdings and prices are shuffled once each, and the rows per
-    # portfolio, symbol and day in between never are. A symbol's side is bounded by the calendar and the events.
+    # A holding meets the prices of its own stretch of days only, and the rows per portfolio, symbol and day in between
+    # are summed where they arise.
     invested = (
-        opened.join(price, "symbol")
-        .where(F.col("date").between(F.col("entry_date"), F.col("finish")))
+        joins.bucketed_interval_join(opened, price, ["symbol"], "entry_date", "finish", "date")
         .groupBy("portfolio", "k", "date")
         .agg(F.sum(worth).alias("invested"), F.sum("weight").alias("weight"))
     )

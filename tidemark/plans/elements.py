@@ -97,6 +97,16 @@ def by_type(spark, sf):
     return d.assets(spark, sf).join(wanted, "asset_type").select("symbol", "asset_id", "asset_type", "metric")
 
 
+@query("J10_bucketed_interval_join", """SELECT a.o_orderkey, count(*) AS orders, sum(CAST(round(b.o_totalprice * 100) AS BIGINT))::BIGINT AS cents FROM orders a
+ JOIN orders b ON b.o_custkey = a.o_custkey AND CAST(b.o_orderdate AS DATE) BETWEEN CAST(a.o_orderdate AS DATE) AND CAST(a.o_orderdate AS DATE) + 90 GROUP BY 1""")
+def orders_ahead(spark, sf):
+    """For every order, the customer's orders of the 90 days from it on."""
+    orders = d._orders(spark, sf)
+    spans = orders.select("o_orderkey", "o_custkey", F.col("date").alias("start"), F.date_add("date", 90).alias("finish"))
+    held = joins.bucketed_interval_join(spans, orders.select("o_custkey", "date", "cents"), ["o_custkey"], "start", "finish", "date")
+    return held.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("orders"), F.sum("cents").alias("cents"))
+
+
 @query("J15_revision_pairs", "SELECT c.document_id, p.document_id AS replaced_id, date_diff('day', p.publication_date, c.publication_date) AS days_later FROM registry c JOIN registry p ON p.document_id = c.supersedes_document_id")
 def revisions(spark, sf):
     docs = d.registry(spark, sf)

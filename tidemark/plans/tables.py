@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import uuid
 
 from pyspark.sql import functions as F
@@ -341,6 +342,55 @@ def monthly(spark, sf):
     return rows.groupBy("bucket", "event_type").agg(F.sum("rows").alias("rows"))
 
 
+# Three waves of events: all but every fourth of the first half, then late and new ones, then a closing row that finishes every window.
+EVENT_WAVES = {
+    "half": "SELECT make_timestamp(epoch_us(min(ts)) + (epoch_us(max(ts)) - epoch_us(min(ts))) // 2) AS middle FROM events",
+    "wave1": "SELECT e.* FROM events e JOIN half ON true WHERE e.ts < middle AND e.event_id % 4 <> 0",
+    "mark": "SELECT date_trunc('milliseconds', max(ts)) - INTERVAL 7 DAY AS wm FROM wave1",
+    "taken": "SELECT * FROM wave1 UNION ALL SELECT e.* FROM events e JOIN half ON true JOIN mark ON true WHERE NOT (e.ts < middle AND e.event_id % 4 <> 0) AND {window_end} > wm",
+}
+_WEEK_END = "CAST(CAST(date_trunc('week', CAST(e.ts AS DATE) + 2) AS DATE) + 5 AS TIMESTAMP)"
+_DAY_END = "CAST(CAST(e.ts AS DATE) + 1 AS TIMESTAMP)"
+
+
+def _event_waves(spark, sf, frequency: str) -> tuple[str, list]:
+    """Runs the stream once for each wave, from its checkpoint; (folder of finished windows, runs)."""
+    folder = new_folder(spark, "buckets")
+    events = d.table(spark, sf, "events").select("event_id", "ts", "event_type")
+    ends = events.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    first = (F.col("ts") < F.lit(ends["a"] + (ends["b"] - ends["a"]) // 2)) & (F.col("event_id") % 4 != 0)
+    closing = spark.createDataFrame([(None, ends["b"] + datetime.timedelta(days=60), "closing")], events.schema)
+    runs = []
+    for wave in (events.where(first), events.where(~first), closing):
+        wave.write.mode("append").parquet(f"{folder}/in")
+        feed = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 10_000).parquet(f"{folder}/in")
+        runs.append(ingest.start_bucket_counts(feed, f"{folder}/out", f"{folder}/checkpoint", "ts", frequency))
+        runs[-1].awaitTermination()
+    return f"{folder}/out", runs
+
+
+@query("X4_streamed_weekly_buckets", "SELECT CAST(CAST(date_trunc('week', CAST(ts AS DATE) + 2) AS DATE) + 4 AS DATE) AS bucket, event_type, CAST(count(*) AS BIGINT) AS \"rows\" FROM taken GROUP BY 1, 2",
+       **EVENT_WAVES | {"taken": EVENT_WAVES["taken"].replace("{window_end}", _WEEK_END)})
+def streamed_weekly(spark, sf):
+    """Weeks counted by a stream of three micro-batches with a restart between them; rows of finished weeks are left out."""
+    return ingest.finished_buckets(spark, _event_waves(spark, sf, "weekly")[0])
+
+
+@query("X4_streamed_monthly_buckets", "SELECT CAST(last_day(CAST(ts AS DATE)) AS DATE) AS bucket, event_type, CAST(count(*) AS BIGINT) AS \"rows\" FROM taken GROUP BY 1, 2",
+       **EVENT_WAVES | {"taken": EVENT_WAVES["taken"].replace("{window_end}", _DAY_END)})
+def streamed_monthly(spark, sf):
+    return ingest.finished_buckets(spark, _event_waves(spark, sf, "monthly")[0])
+
+
+@query("X4_streamed_late_rows", "SELECT CAST((SELECT count(*) FROM events) - (SELECT count(*) FROM taken) AS BIGINT) AS late_rows, CAST((SELECT count(*) FROM events) + 1 AS BIGINT) AS rows_seen",
+       **EVENT_WAVES | {"taken": EVENT_WAVES["taken"].replace("{window_end}", _DAY_END)})
+def streamed_late(spark, sf):
+    """How many rows came after their day was finished; the closing row is the one still open."""
+    folder, runs = _event_waves(spark, sf, "monthly")
+    seen = sum(map(ingest.rows_seen, runs))
+    return spark.createDataFrame([(ingest.late_rows(spark, folder, seen, 1), seen)], "late_rows long, rows_seen long")
+
+
 @query("X2_X5_streamed_catalogue", "SELECT announcement_id, symbol, document_type_candidate FROM cat")
 def streamed(spark, sf):
     """The announcements as a file stream, each sent twice: classified, taken once, appended."""

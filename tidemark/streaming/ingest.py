@@ -75,11 +75,46 @@ def start_ingest(stream: DataFrame, folder: str, checkpoint: str):
 
 def bucket_counts(stream: DataFrame, event_time: str, frequency: str, overlap: str = OVERLAP) -> DataFrame:
     """Rows per week (Saturday to Friday) or month. Weeks are tumbling windows, months a key next to a daily window."""
+    counted = window_counts(stream, event_time, frequency, overlap)
+    return counted.select("bucket", "event_type", "rows")
+
+
+def window_counts(stream: DataFrame, event_time: str, frequency: str, overlap: str = OVERLAP) -> DataFrame:
+    """(window_start, bucket, event_type, rows) by windows of a week or, for months, of a day, behind a watermark of `overlap`."""
     timed = stream.withColumn(event_time, F.col(event_time).cast("timestamp")).withWatermark(event_time, overlap)
     if frequency == "weekly":
-        window = F.window(event_time, "7 days", "7 days", "2 days")
-        return timed.groupBy(window, "event_type").agg(F.count(F.lit(1)).alias("rows")).select(
-            F.date_sub(F.col("window.end").cast("date"), 1).alias("bucket"), "event_type", "rows")
-    day = F.window(event_time, "1 day")
-    return timed.groupBy(day, "event_type").agg(F.count(F.lit(1)).alias("rows")).select(
-        F.last_day(F.col("window.start").cast("date")).alias("bucket"), "event_type", "rows")
+        window, bucket = F.window(event_time, "7 days", "7 days", "2 days"), F.date_sub(F.col("window.end").cast("date"), 1)
+    else:
+        window, bucket = F.window(event_time, "1 day"), F.last_day(F.col("window.start").cast("date"))
+    return timed.groupBy(window, "event_type").agg(F.count(F.lit(1)).alias("rows")).select(
+        F.col("window.start").alias("window_start"), bucket.alias("bucket"), "event_type", "rows")
+
+
+def start_bucket_counts(stream: DataFrame, folder: str, checkpoint: str, event_time: str, frequency: str, overlap: str = OVERLAP):
+    """Append the counts of finished windows to a table; runs what is there, then stops, and goes on from the checkpoint the next time.
+
+    A window is finished, and written once, when the newest row seen is `overlap` past its end; until then its counts are state, of which there is
+    one row for each open window and type, so a batch costs the same however long the history is. Rows of a finished window
+    are late: they change nothing, and `late_rows` says how many came. Rows without a time are never counted nor late.
+    """
+    seen = stream.where(F.col(event_time).isNotNull()).observe("seen", F.count(F.lit(1)).alias("rows"))
+    return (
+        window_counts(seen, event_time, frequency, overlap).writeStream.format("parquet").outputMode("append")
+        .option("path", folder).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    )
+
+
+def finished_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    """(bucket, event_type, rows) of the finished windows; a month adds up those of its days that are finished."""
+    return spark.read.parquet(folder).groupBy("bucket", "event_type").agg(F.sum("rows").alias("rows"))
+
+
+def rows_seen(run) -> int:
+    """Rows with a time that one run of `start_bucket_counts` has read."""
+    return sum(p.observedMetrics["seen"]["rows"] for p in run.recentProgress if "seen" in p.observedMetrics)
+
+
+def late_rows(spark: SparkSession, folder: str, seen: int, still_open: int = 0) -> int:
+    """Rows that came after their window was finished: of those seen, what is neither counted nor in a window still open."""
+    counted = spark.read.parquet(folder).agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    return seen - still_open - counted
