@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import ranks
-from tidemark.operators import calendars, checks, evaluation, factors, features, joins, merges, portfolio, study, versions
+from tidemark.operators import calendars, checks, evaluation, factors, features, joins, merges, portfolio, scans, study, versions
 from tidemark.plans import disclosures as disc
 from tidemark.plans import domain as d
 from tidemark.plans import market, portfolios
@@ -97,6 +97,32 @@ def by_type(spark, sf):
     return d.assets(spark, sf).join(wanted, "asset_type").select("symbol", "asset_id", "asset_type", "metric")
 
 
+LINE_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "cents"]
+
+
+def _line_series(spark, sf):
+    """All line items as one long series."""
+    return d.table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", d.whole(F.col("l_extendedprice")).alias("cents"), F.when(F.col("l_returnflag") == "R", d.whole(F.col("l_quantity"))).alias("returned"))
+
+
+_SERIES = {"series": "SELECT l_orderkey, l_linenumber, l_partkey, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents, CASE WHEN l_returnflag = 'R' THEN CAST(round(l_quantity * 100) AS BIGINT) END AS returned FROM lineitem"}
+
+
+@query("W7_W14_W15_segmented_running", """SELECT l_orderkey, l_linenumber, l_partkey, sum(cents) OVER w::BIGINT AS total, max(cents) OVER w AS highest, min(returned) OVER w AS least_returned, count(returned) OVER w AS returns,
+ last_value(returned IGNORE NULLS) OVER w AS last_returned FROM series WINDOW w AS (ORDER BY l_orderkey, l_linenumber, l_partkey, cents ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""", **_SERIES)
+def segmented_running(spark, sf):
+    measures = {"total": ("sum", "cents"), "highest": ("max", "cents"), "least_returned": ("min", "returned"), "returns": ("count", "returned"), "last_returned": ("last", "returned")}
+    return scans.running(_line_series(spark, sf), [], LINE_ORDER, measures).select(*LINE_ORDER[:3], *measures)
+
+
+@query("W5_segmented_rolling", """SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN row_number() OVER w >= 20 THEN sum(cents) OVER v END::BIGINT AS total_20, CASE WHEN row_number() OVER w >= 20 THEN max(returned) OVER v END AS most_returned_20 FROM series
+ WINDOW w AS (ORDER BY l_orderkey, l_linenumber, l_partkey, cents), v AS (ORDER BY l_orderkey, l_linenumber, l_partkey, cents ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""", **_SERIES)
+def segmented_rolling(spark, sf):
+    measures = {"total_20": ("sum", "cents"), "most_returned_20": ("max", "returned")}
+    return scans.rolling(_line_series(spark, sf), [], LINE_ORDER, 20, measures).select(*LINE_ORDER[:3], *measures)
+
+
 @query("J10_bucketed_interval_join", """SELECT a.o_orderkey, count(*) AS orders, sum(CAST(round(b.o_totalprice * 100) AS BIGINT))::BIGINT AS cents FROM orders a
  JOIN orders b ON b.o_custkey = a.o_custkey AND CAST(b.o_orderdate AS DATE) BETWEEN CAST(a.o_orderdate AS DATE) AND CAST(a.o_orderdate AS DATE) + 90 GROUP BY 1""")
 def orders_ahead(spark, sf):
