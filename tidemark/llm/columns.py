@@ -291,7 +291,7 @@ def remove_repeats(docs: DataFrame, id: str = "doc_id", text: str = "text", leng
     strings = own.mapInArrow(lambda it: _strings(it, length), STRINGS_DDL).repartition(n, "hash").sortWithinPartitions("hash")
     runs = strings.mapInArrow(lambda it: _construct(it, length), "cid long, first long, last long")
     large = own.where(F.exists("marks", lambda m: m["large"])).mapInArrow(lambda it: _windows(it, length), "w1 long, w2 long, cid long, first long")
-    again = large.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    again = stage(large.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "again")  # written for the same reason as `often`
     runs = runs.union(large.join(again, ["w1", "w2"]).select("cid", "first", F.col("first").alias("last")))
     runs = stage(runs, "runs").groupBy("cid").agg(F.collect_list(F.struct("first", "last")).alias("runs"))  # bounded by the text
     cut = own.select("cid", "text").join(runs, "cid").mapInArrow(lambda it: _remove(it, length, texts), REMOVED)
