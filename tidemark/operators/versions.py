@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import ids
 from tidemark.operators import checks
+from tidemark.sources import commits
 
 OBSERVATION_KEY = ["symbol", "asset_id", "period_end", "metric"]
 
@@ -20,9 +21,13 @@ def observation_versions(observations: DataFrame, documents: DataFrame) -> DataF
     The window runs per observation key. Versions of a key are unique per
     publication day, so its size is bounded by the calendar.
     """
+    return _intervals(_identified(observations, documents))
+
+
+def _identified(observations: DataFrame, documents: DataFrame) -> DataFrame:
+    """Observations as version rows without their intervals."""
     lookup = _one_document_per_source(documents)
     optional = lambda name, fallback: F.col(name if name in observations.columns else fallback)
-    history = Window.partitionBy(*OBSERVATION_KEY).orderBy("publication_date")
     identified = observations.join(lookup, "source_url", "left").withColumn(
         "observation_id",
         ids.readable_observation_id(*[F.col(c) for c in ("symbol", "asset_id", "period_end", "metric")], F.coalesce("document_id", F.lit("unregistered"))),
@@ -36,14 +41,37 @@ def observation_versions(observations: DataFrame, documents: DataFrame) -> DataF
         optional("raw_unit", "unit").alias("raw_unit"),
         "document_id",
         F.col("publication_date").alias("valid_from"),
-        F.lead("publication_date").over(history).alias("valid_to"),
-        F.lag("observation_id").over(history).alias("supersedes_observation_id"),
         F.when(F.col("document_id").isNull(), "unregistered").when(F.col("verification_status") == "human_verified", "verified")
         .otherwise("unverified").alias("quality_status"),
         "source_url",
     )
 
 
+def _intervals(identified: DataFrame) -> DataFrame:
+    history = Window.partitionBy(*OBSERVATION_KEY).orderBy("valid_from")
+    return identified.select(
+        "observation_id", *OBSERVATION_KEY, "value", "unit", "raw_value", "raw_unit", "document_id", "valid_from",
+        F.lead("valid_from").over(history).alias("valid_to"),
+        F.lag("observation_id").over(history).alias("supersedes_observation_id"),
+        "quality_status", "source_url",
+    )
+
+
+def append_versions(observations: DataFrame, documents: DataFrame, folder: str, parts: int = commits.PARTS) -> int:
+    """Add a batch of observations to a kept table of versions; the new number of that table, which `commits.read` reads.
+
+    Versions lie in parts by a hash of their key. Intervals are derived again in the parts of the batch's keys only, so what a batch
+    costs follows from the parts it touches; a row that falls between two versions closes the one and is closed by the other. A row already
+    there, and one sent twice, gives no second version, so a batch may be sent again. A kept row keeps the document it was registered under.
+    """
+    new = _identified(observations, documents)
+
+    def change(old: DataFrame, batch: DataFrame) -> DataFrame:
+        return _intervals(old.select(*batch.columns).unionByName(batch).dropDuplicates(["observation_id", *OBSERVATION_KEY, "valid_from", "value", "source_url"]))
+
+    return commits.merge(new, folder, OBSERVATION_KEY, change, parts)
+
+
 def _one_document_per_source(documents: DataFrame) -> DataFrame:
     choice = F.struct((F.col("verification_status") != "human_verified").alias("_rank"), "document_id", "verification_status")
     return documents.groupBy("source_url").agg(F.min(choice).alias("_d")).select("source_url", "_d.document_id", "_d.verification_status")

@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import periods
 from tidemark.operators import catalogue, checks, coverage, joins
+from tidemark.operators import versions as v
 from tidemark.plans import disclosures as disc
 from tidemark.plans import domain as d
 from tidemark.plans import point_in_time as pit
 from tidemark.plans.oracle_views import code, qend
 from tidemark.plans.registry import query
 from tidemark.session import new_folder, shared_dir
-from tidemark.sources import sinks, tables
-from tidemark.streaming import ingest
+from tidemark.sources import commits, sinks, tables
+from tidemark.streaming import ingest, keyed
 
 
 def as_text(df):
@@ -202,6 +203,16 @@ def guarded(spark, sf):
     return sinks.current_snapshot(spark, folder)
 
 
+@query("S26_pinned_snapshots", "SELECT 1 AS version, snapshot_date, symbol FROM universe WHERE snapshot_date < DATE '2019-01-01' UNION ALL SELECT 2, snapshot_date, symbol FROM universe")
+def pinned(spark, sf):
+    """Both versions of a snapshot, each read by its number after the second was published."""
+    folder = new_folder(spark, "snapshot")
+    rows = d.universe_history(spark, sf).select("snapshot_date", "symbol")
+    numbers = [sinks.guarded_replace(rows.where("snapshot_date < date'2019-01-01'"), folder), sinks.guarded_replace(rows, folder, replace=True)]
+    first, second = [sinks.current_snapshot(spark, folder, n).select(F.lit(n).alias("version"), "snapshot_date", "symbol") for n in numbers]
+    return first.union(second)
+
+
 # --- constraints -----------------------------------------------------------------------------------------
 
 
@@ -407,19 +418,51 @@ WAVES = {"first_wave": "SELECT * FROM ann WHERE NOT suffix(announcement_id, '5')
          "newest": "SELECT max(publication_date) AS day FROM first_wave WHERE publication_date < DATE '2017-01-01'"}
 
 
-@query("X2_stream_outcomes", """SELECT 'accepted' AS outcome, announcement_id FROM first_wave WHERE publication_date < DATE '2017-01-01'
+ORACLES_OF_WAVES = """SELECT 'accepted' AS outcome, announcement_id FROM first_wave WHERE publication_date < DATE '2017-01-01'
  UNION ALL SELECT CASE WHEN publication_date < day - 7 THEN 'late' ELSE 'accepted' END, announcement_id FROM ann JOIN newest ON true WHERE suffix(announcement_id, '5')
- UNION ALL SELECT 'conflicts', announcement_id FROM first_wave WHERE suffix(announcement_id, '7') AND publication_date < DATE '2017-01-01'""", **WAVES)
-def stream_outcomes(spark, sf):
-    """Where each announcement of two waves ends up: replays give no row, changed titles are conflicts, old ones are late."""
-    folder = new_folder(spark, "stream")
+ UNION ALL SELECT 'conflicts', announcement_id FROM first_wave WHERE suffix(announcement_id, '7') AND publication_date < DATE '2017-01-01'"""
+
+
+def _announcement_waves(spark, sf):
     rows = d.announcements(spark, sf).select("announcement_id", "symbol", F.col("publication_date").cast("timestamp").alias("publication_ts"), "title", "original_type", "source_url")
     ends = lambda digit: F.col("announcement_id").endswith(digit)
     first = rows.where(~ends("5") & (F.col("publication_ts") < F.lit("2017-01-01").cast("timestamp")))
     second = rows.where(ends("5")).unionByName(first.where(ends("3"))).unionByName(first.where(ends("7")).withColumn("title", F.concat("title", F.lit("*"))))
-    for wave in (first, second):
+    return rows, (first, second)
+
+
+@query("X2_stream_outcomes", ORACLES_OF_WAVES, **WAVES)
+def stream_outcomes(spark, sf):
+    """Where each announcement of two waves ends up: replays give no row, changed titles are conflicts, old ones are late."""
+    folder = new_folder(spark, "stream")
+    rows, waves = _announcement_waves(spark, sf)
+    for wave in waves:
         wave.write.mode("append").parquet(f"{folder}/in")
         feed = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 10_000).parquet(f"{folder}/in")
         ingest.start_ingest(feed, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     found = [spark.read.parquet(f"{folder}/out/{name}").select(F.lit(name).alias("outcome"), "announcement_id") for name in ("accepted", "conflicts", "late")]
     return found[0].union(found[1]).union(found[2])
+
+
+@query("X2_keyed_stream_outcomes", ORACLES_OF_WAVES, **WAVES)
+def keyed_outcomes(spark, sf):
+    """The same two waves through a stream whose state holds the known ids; the history is not read in a batch."""
+    folder = new_folder(spark, "stream")
+    rows, waves = _announcement_waves(spark, sf)
+    for wave in waves:
+        wave.write.mode("append").parquet(f"{folder}/in")
+        feed = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 10_000).parquet(f"{folder}/in")
+        keyed.start_keyed_ingest(feed, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    return keyed.settled(spark, f"{folder}/out").select("outcome", "announcement_id")
+
+
+@query("X5_W1_appended_versions", "SELECT * FROM versions", "value raw_value")
+def appended(spark, sf):
+    """Versions kept over three batches: later ones bring rows between two versions, new keys and rows sent before."""
+    folder = new_folder(spark, "versions")
+    rows = d.kept_observations(spark, sf)
+    documents = d.registry(spark, sf, rows)
+    turn = F.pmod(F.xxhash64(*v.OBSERVATION_KEY, "publication_date"), F.lit(4))
+    for batch in (rows.where(turn < 2), rows.where(turn.isin(0, 2)), rows.where(turn == 3)):
+        number = v.append_versions(batch, documents, folder, 16)
+    return commits.read(spark, folder, number)

@@ -2,58 +2,41 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import versions
+from tidemark.sources import commits
 
 
 def export(tables: dict[str, DataFrame], folder: str, observation_versions: DataFrame | None = None, as_of: Column | None = None) -> dict[str, str]:
-    """Write named tables below a folder, and on request the observations in force on a day."""
+    """Publish named tables below a folder, and on request the observations in force on a day; the folder of each one's new rows.
+
+    Readers of an earlier export keep their rows: each table is a numbered version of its own.
+    """
     out = dict(tables)
     if observation_versions is not None and as_of is not None:
         out["observations_as_of"] = versions.as_of(observation_versions, as_of)
     paths = {}
     for name, df in out.items():
-        paths[name] = f"{folder.rstrip('/')}/{name}"
-        df.write.mode("overwrite").parquet(paths[name])
+        home = f"{folder.rstrip('/')}/{name}"
+        number = commits.replace(df, home)
+        paths[name] = f"{home}/{commits.manifest(df.sparkSession, home, number)['parts']['0']}"
     return paths
 
 
-def _filesystem(spark: SparkSession, path: str):
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark._jsc.hadoopConfiguration()), target
-
+def guarded_replace(df: DataFrame, folder: str, replace: bool = False) -> int:
+    """Publish a new version of a snapshot and return its number; an existing one is kept unless replacing is asked for.
 
-def guarded_replace(df: DataFrame, folder: str, replace: bool = False) -> str:
-    """Publish a new version of a snapshot; an existing one is kept unless replacing is asked for.
-
-    Versions are folders with a rising number. The newest one that its job finished, and so marked, is the
-    current one: nothing is overwritten, and a lost job leaves the old version in place.
+    Nothing is overwritten, a lost job leaves the old version in place, and of two writers at once the second gets the next number,
+    or an error where it did not ask to replace.
     """
-    spark = df.sparkSession
-    found = _finished_versions(spark, folder)
-    if found and not replace:
-        raise FileExistsError(f"{folder} has a snapshot already")
-    number = int(found[-1].split("-")[1]) + 1 if found else 1
-    version = f"{folder.rstrip('/')}/version-{number:012d}-{uuid.uuid4().hex}"
-    df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(version)
-    return version
-
-
-def _finished_versions(spark: SparkSession, folder: str) -> list[str]:
-    fs, _ = _filesystem(spark, folder)
-    marks = fs.globStatus(spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/version-*/_SUCCESS")) or []
-    return sorted(m.getPath().getParent().getName() for m in marks)
+    return commits.replace(df, folder, only_first=not replace)
 
 
-def current_snapshot(spark: SparkSession, folder: str) -> DataFrame:
-    found = _finished_versions(spark, folder)
-    if not found:
-        raise FileNotFoundError(f"{folder} has no finished snapshot")
-    return spark.read.parquet(f"{folder.rstrip('/')}/{found[-1]}")
+def current_snapshot(spark: SparkSession, folder: str, number: int | None = None) -> DataFrame:
+    """The newest version, or the one of a number."""
+    return commits.read(spark, folder, number)
 
 
 def fingerprints(spark: SparkSession, paths: list[str], pattern: str = "*", recursive: bool = False) -> DataFrame:
