@@ -13,6 +13,8 @@ from tidemark.streaming import ingest
 
 # How often a key whose rows stay away is looked at: forgetting goes by event time, this is only the wake-up call.
 WAKE_MS = 24 * 3600 * 1000
+OUTCOMES = ("accepted", "conflicts", "late")
+ACCEPTED, CONFLICT, LATE = 1, 2, 3
 KNOWN = "content_key string, newest_ms long"
 
 
@@ -42,34 +44,34 @@ def start_keyed_ingest(stream: DataFrame, folder: str, checkpoint: str, overlap_
             return
         rows = None
         for chunk in chunks:  # one row for each content, so a key with very many repeats stays small
-            rows = chunk if rows is None else pd.concat([rows, chunk])
+            rows = (chunk if rows is None else pd.concat([rows, chunk])).reset_index(drop=True)
             rows = rows.sort_values(order, na_position="first").drop_duplicates("content_key")
         right = known or rows["content_key"].iloc[0]
         stamps = rows["publication_ts"].map(lambda t: None if pd.isna(t) else t.value // 1_000_000)
         same = rows["content_key"] == right
         late = stamps.map(lambda ms: not pd.isna(ms) and ms < watermark).astype(bool)
-        outcome = pd.Series("conflicts", rows.index).mask(same & late, "late").mask(same & ~late, "accepted")
+        outcome = pd.Series(CONFLICT, rows.index).mask(same & late, LATE).mask(same & ~late, ACCEPTED)
+        out = rows.assign(_outcome=outcome)
         if known:
-            out = rows[~same].assign(outcome="conflicts")
-        else:
-            out = rows.assign(outcome=outcome)
-        if known or "accepted" in set(outcome):
+            out = out[~same]  # what is known already gives no row
+        if known or ACCEPTED in set(outcome):
             times = [int(ms) for ms in stamps[same] if not pd.isna(ms)]
             state.update((right, max([newest or 0, *(times or [max(watermark, 0) + overlap_ms])])))
             state.setTimeoutDuration(wake_ms)
         if len(out):
-            yield out[[*columns, "outcome"]]
+            yield out[[*columns, "_outcome"]]
 
     spark = stream.sparkSession
-    schema = timed.select(*columns, F.lit("").alias("outcome")).schema
+    schema = timed.select(*columns, F.lit(ACCEPTED).alias("_outcome")).schema
     judged = timed.groupBy("_key").applyInPandasWithState(judge, schema, KNOWN, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    named = judged.select(*columns, F.element_at(F.array(*map(F.lit, OUTCOMES)), F.col("_outcome")).alias("outcome"))
     # A wake-up call alone must not start another batch, or a run that should end would go round for ever.
     idle = "spark.sql.streaming.noDataMicroBatches.enabled"
     before = spark.conf.get(idle, None)
     spark.conf.set(idle, "false")
     try:
         return (
-            judged.writeStream.format("parquet").outputMode("append").partitionBy("outcome").option("path", folder)
+            named.writeStream.format("parquet").outputMode("append").partitionBy("outcome").option("path", folder)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         )
     finally:
