@@ -48,6 +48,45 @@ def test_models_tell_random_from_ordinary_on_held_out_strings(spark):
     assert right >= 195
 
 
+def trained():
+    rng = np.random.default_rng(8)
+    letters = np.frombuffer(secrets.LETTERS, np.uint8)
+    token = lambda n: rng.choice(letters[:62], n).tobytes().decode()
+    stems = ["customer", "order", "total", "index", "value", "report", "delete", "update", "handler", "request", "session", "config", "services", "hooks", "host"]
+    name = lambda n: "".join(w + rng.choice(["/", "=", "."], p=[0.8, 0.1, 0.1]) for w in rng.choice(stems, n))[:-1]
+    counts = [sum(np.bincount(secrets.pairs(t.encode()), minlength=secrets.N**2) for t in ts) for ts in ([token(24) for _ in range(400)], [name(6) for _ in range(2000)])]
+    return secrets.Models(*counts), token, name
+
+
+def test_best_stretch_equals_all_stretches_tried():
+    rng = np.random.default_rng(1)
+    for n in [*range(1, 12), 60]:
+        gain = rng.normal(-0.2, 1, n).round(2)
+        start, end, total = secrets.best_stretch(gain)
+        assert total == pytest.approx(max(gain[a:b].sum() for a in range(n) for b in range(a + 1, n + 1))) == pytest.approx(gain[start:end].sum())
+
+
+def test_tokens_next_to_base_spans_and_at_the_end_of_paths_are_found_by_themselves(spark):
+    models, token, name = trained()
+    a, b, c, d = (token(28) for _ in range(4))
+    digits = "0123456789abcdef" * 2
+    texts = {
+        1: f"see {digits}.{a} there", 2: f"//{name(8)}/{b}", 3: f"{name(5)}/{c}/{name(5)}/{d}", 4: name(200), 5: "", 6: None,
+        7: f"über {name(3)}={a}", 8: name(30_000) + "/" + b, 9: f"password={a} {name(4)}",
+    }
+    docs = spark.createDataFrame([*texts.items(), (2, texts[2])], "doc_id long, text string")
+    got = [(r["id"], [texts[r["id"]][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == "markov"]) for r in secrets.find_secrets(docs, models).collect()]
+    assert sorted(got) == [(1, [a]), (2, [b]), (2, [b]), (3, [c, d]), (4, []), (5, []), (6, []), (7, [a]), (8, [b]), (9, [])]
+
+
+def test_stretch_errors_on_held_out_strings():
+    models, token, name = trained()
+    hit = lambda t: bool(models.stretches(t.encode(), [(0, len(t))], secrets.LEAST_RATIO))
+    assert sum(hit(name(40)) for _ in range(500)) == 0
+    for length, least in ((16, 0.9), (20, 0.98), (24, 0.99)):
+        assert sum(hit(name(3) + "/" + token(length)) for _ in range(300)) >= least * 300
+
+
 def phrases_by_hand(docs, items):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     low = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")

@@ -22,9 +22,14 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 SYMBOL = np.full(256, -1, np.int64)
 SYMBOL[list(LETTERS)] = np.arange(len(LETTERS))
 N = len(LETTERS) + 1  # one more for the start of a string
-# A run of this many characters is judged; it is a secret if each character is this much likelier in a random string.
-LEAST_RUN = 20
+# What each character of a secret must add on average: how much likelier it is in a random string.
 LEAST_RATIO = 0.5
+# No character counts for more than this: characters that ordinary runs hardly have, such as the digits of a number, are no secret by themselves.
+MOST_RATIO = 2.0
+# The chance of a sum s in an ordinary run is taken to fall no faster than exp(-MOST_DECAY s): identifiers are no Markov chains.
+MOST_DECAY = 1.5
+# Where the words of a run end.
+BREAKS = b"/_.=-"
 # Runs of this many characters count as ordinary identifiers in training.
 LEAST_WORD = 4
 
@@ -49,23 +54,95 @@ def pairs(text: bytes) -> np.ndarray:
     return np.concatenate([[N - 1], s[:-1]]) * N + s
 
 
+def _decay(chance: np.ndarray, gain: np.ndarray) -> float:
+    """The positive exponent at which chance * exp(exponent * gain) has a largest eigenvalue of one; 1 at least, MOST_DECAY at most."""
+    low, high = 1.0, MOST_DECAY
+    for _ in range(30):
+        middle = (low + high) / 2
+        low, high = (middle, high) if np.abs(np.linalg.eigvals(chance * np.exp(middle * gain))).max() <= 1 else (low, middle)
+    return low
+
+
 class Models:
     """Log-likelihood ratio of random to ordinary for each transition.
 
-    A character's probability after another leans, with a weight of `prior` counts, on its share among all characters.
+    A character's probability after another leans, with a weight of `prior` counts, on its share among all characters. A transition's
+    ratio lies between -MOST_RATIO and MOST_RATIO. Under the ordinary model a stretch that starts at a given character reaches a sum s of
+    (ratio - LEAST_RATIO) with a chance of about exp(-decay s), where decay makes the transition matrix weighted by exp(decay (ratio - LEAST_RATIO))
+    have a largest eigenvalue of one, MOST_DECAY at most. So over the n characters trained on about `false_hits` stretches reach `least_sum` = log(n / false_hits) / decay:
+    there is no fixed length, the models and the size of the corpus give it. Real identifiers are no Markov chains; the error
+    on held-out strings is measured in the tests.
     """
 
-    def __init__(self, random: np.ndarray, ordinary: np.ndarray, prior: float = 10.0):
+    def __init__(self, random: np.ndarray, ordinary: np.ndarray, prior: float = 10.0, false_hits: float = 1.0):
         def logs(n):
             n = n.reshape(N, N).astype(float)
             share = (n.sum(0) + 0.5) / (n.sum() + 0.5 * N)
             return np.log((n + prior * share) / (n.sum(1, keepdims=True) + prior))
 
-        self.ratio = (logs(random) - logs(ordinary)).ravel()
+        likely = logs(ordinary)
+        self.ratio = np.clip(logs(random) - likely, -MOST_RATIO, MOST_RATIO).ravel()
+        self.least_sum = float(np.log(max(ordinary.sum(), 1) / false_hits)) / _decay(np.exp(likely), self.ratio.reshape(N, N) - LEAST_RATIO)
 
     def score(self, text: bytes) -> float:
         return float(self.ratio[pairs(text)].mean())
 
+    def suspects(self, data: np.ndarray, offsets: np.ndarray, ratio: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Runs whose characters above `ratio` alone add up to `least_sum`; no other run can hold a stretch that does."""
+        starts, ends, doc = runs(data, offsets, 1)
+        symbols = SYMBOL[data]
+        previous = np.concatenate([[N - 1], symbols])[: len(data)]
+        previous[starts] = N - 1
+        inside = symbols >= 0
+        gains = np.zeros(len(data) + 1)
+        np.cumsum(np.where(inside, np.maximum(self.ratio[np.where(inside, previous * N + symbols, 0)] - ratio, 0), 0), out=gains[1:])
+        able = gains[ends] - gains[starts] >= self.least_sum - 1e-6
+        return starts[able], ends[able], doc[able]
+
+    def stretches(self, run: bytes, parts: list[tuple[int, int]], ratio: float) -> list[tuple[int, int]]:
+        """Secrets in parts of a run: the stretch of the largest sum of (log-likelihood ratio - `ratio`) if it reaches `least_sum`,
+        widened to whole words of letters, digits and + (breaks at its edges go), then the same left and right of it."""
+        gain = self.ratio[pairs(run)] - ratio
+        found, open_parts = [], list(parts)
+        while open_parts:
+            a, b = open_parts.pop()
+            if b <= a:
+                continue
+            start, end, total = best_stretch(gain[a:b])
+            if total < max(self.least_sum, 1e-9):
+                continue
+            start, end = start + a, end + a
+            while start > a and run[start - 1] not in BREAKS:
+                start -= 1
+            while end < b and run[end] not in BREAKS:
+                end += 1
+            open_parts += [(a, start), (end, b)]
+            while start < end and run[start] in BREAKS:
+                start += 1
+            while start < end and run[end - 1] in BREAKS:
+                end -= 1
+            if start < end:
+                found.append((start, end))
+        return sorted(found)
+
+
+def best_stretch(gain: np.ndarray) -> tuple[int, int, float]:
+    """Start, end and sum of the stretch with the largest sum; the first such end, and the longest such stretch."""
+    total = np.concatenate([[0.0], np.cumsum(gain)])
+    above = total[1:] - np.minimum.accumulate(total)[:-1]
+    end = int(above.argmax())
+    return int(total[: end + 1].argmin()), end + 1, float(above[end])
+
+
+def outside(start: int, end: int, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Parts of start..end that no interval of a list touches, counted from start."""
+    parts, at = [], start
+    for a, b in sorted(taken):
+        if b > start and a < end:
+            parts.append((at - start, max(a, at) - start))
+            at = max(at, b)
+    return [(a, b) for a, b in [*parts, (at - start, end - start)] if b > a]
+
 
 def base_spans(text: str, data: bytes, long_runs: list[tuple[int, int]]) -> list[tuple[int, int, int, int, int]]:
     """(start, kind, end, value start, value end) in code points, by start. Access keys and hex digits lie in runs of secret characters."""
@@ -83,26 +160,34 @@ def base_spans(text: str, data: bytes, long_runs: list[tuple[int, int]]) -> list
     return sorted(found)
 
 
-def scan_piece(data: np.ndarray, offsets: np.ndarray, least: int):
-    """For each text of a piece that can hold a secret: (document, text, base spans, runs of at least `least` characters in code points)."""
-    starts, ends, doc = runs(data, offsets, min(least, LEAST["hex"]))
+def scan_piece(data: np.ndarray, offsets: np.ndarray, models: Models | None = None, ratio: float = LEAST_RATIO):
+    """For each text of a piece that can hold a secret: (document, text, base spans, runs that the models suspect, in code points)."""
+    nothing = np.zeros(0, np.int64)
+    long = runs(data, offsets, LEAST["hex"])
+    odd = models.suspects(data, offsets, ratio) if models else (nothing, nothing, nothing)
     before = np.zeros(len(data) + 1, np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=before[1:])
     marked = np.zeros(len(offsets) - 1, bool)
-    marked[doc] = True
+    marked[long[2]] = True
+    marked[odd[2]] = True
     mark = np.flatnonzero((data == 58) | (data == 61))
     marked[np.searchsorted(offsets, mark, "right") - 1] = True
-    edges = np.searchsorted(doc, np.arange(len(offsets)))
+    edges = [np.searchsorted(found[2], np.arange(len(offsets))) for found in (long, odd)]
     raw = data.tobytes()
     for d in np.flatnonzero(marked):
         text = raw[offsets[d] : offsets[d + 1]].decode()
         zero = before[offsets[d]]
-        own = [(int(before[s] - zero), int(before[e] - zero)) for s, e in zip(starts[edges[d] : edges[d + 1]], ends[edges[d] : edges[d + 1]], strict=True)]
-        yield int(d), text, base_spans(text, raw, own), own
+        own, suspected = (
+            [(int(before[s] - zero), int(before[e] - zero)) for s, e in zip(found[0][edge[d] : edge[d + 1]], found[1][edge[d] : edge[d + 1]], strict=True)]
+            for found, edge in ((long, edges[0]), (odd, edges[1])))
+        yield int(d), text, base_spans(text, raw, own), suspected
 
 
 def _transitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Transition counts of labelled strings: values that the base rules found are random, all other runs ordinary."""
+    """Transition counts of labelled strings: values that the base rules found are random, all other runs ordinary.
+
+    The label is the rules' own: a plain word that a text assigns to a password counts as random. Samples with better labels go through `labelled_counts`.
+    """
     total = np.zeros((2, N * N), np.int64)
     for batch in batches:
         for _, data, offsets in pieces(batch.column("text")):
@@ -118,7 +203,7 @@ def _transitions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 first[np.searchsorted(at, starts)] = True
                 previous = np.where(first, N - 1, np.concatenate([[0], symbols[:-1]]))
                 total[0] += np.bincount(previous * N + symbols, minlength=N * N)
-            for _, text, spans, _ in scan_piece(data, offsets, LEAST["hex"]):
+            for _, text, spans, _ in scan_piece(data, offsets):
                 for _, _, _, a, b in spans:
                     n = np.bincount(pairs(text[a:b].encode()), minlength=N * N)
                     total[1] += n
@@ -158,23 +243,24 @@ def fit(counts: DataFrame) -> Models:
     return Models(total[1], total[0])
 
 
-def find_secrets(docs: DataFrame, models: Models, id: str = "doc_id", text: str = "text", ratio: float = LEAST_RATIO, least: int = LEAST_RUN) -> DataFrame:
+def find_secrets(docs: DataFrame, models: Models, id: str = "doc_id", text: str = "text", ratio: float = LEAST_RATIO) -> DataFrame:
     """(id, spans) per row: spans are structs (kind, start, end) by start, then kind as in KINDS, in code points, end exclusive.
 
-    Base spans are leftmost and non-overlapping for each kind. Runs of secret characters that touch no base span are added as
-    `markov` where their mean log-likelihood ratio is at least `ratio`. NULL and empty texts have none.
-    Texts are scanned where they lie, whole.
+    Base spans are leftmost and non-overlapping for each kind. What lies outside them in each run of secret characters is judged by
+    its best-scoring stretches (`Models.stretches`), which are added as `markov`, so a token next to a base span, or at the end of a path, is found by itself.
+    NULL and empty texts have none; repeated rows each have their own. Texts of any length are scanned where they lie, whole.
     """
 
     def scan(batches):
         for batch in batches:
             ids, spans = batch.column("id"), [[] for _ in range(batch.num_rows)]
             for first, data, offsets in pieces(batch.column("text")):
-                for d, content, base, own in scan_piece(data, offsets, least):
+                for d, content, base, suspected in scan_piece(data, offsets, models, ratio):
                     out = [(a, k, b) for a, k, b, _, _ in base]
-                    for a, b in own:
-                        if b - a >= least and not any(x < b and a < y for x, _, y in out if _ != 3) and models.score(content[a:b].encode()) >= ratio:
-                            out.append((a, 3, b))
+                    taken = [(a, b) for a, _, b in out]
+                    for a, b in suspected:
+                        for x, y in models.stretches(content[a:b].encode(), outside(a, b, [t for t in taken if t[0] < b and t[1] > a]), ratio):
+                            out.append((a + x, 3, a + y))
                     spans[first + d] = [{"kind": KINDS[k], "start": a, "end": b} for a, k, b in sorted(out)]
             kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([ids, pa.array(spans, kind)], ["id", "spans"])
