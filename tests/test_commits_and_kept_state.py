@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from tests.test_registered_queries import SF, TABLES, order, same
 from tidemark.operators import versions
-from tidemark.sources import commits, sinks
+from tidemark.sources import commits, sinks, tables
 from tidemark.streaming import keyed
 
 
-@pytest.mark.parametrize("name", ["X5_W1_appended_versions", "X2_keyed_stream_outcomes", "S26_pinned_snapshots", "S26_guarded_snapshot", "S25_exported_snapshot"])
+@pytest.mark.parametrize("name", ["X5_W1_appended_versions", "X2_keyed_stream_outcomes", "S26_pinned_snapshots", "S26_guarded_snapshot", "S25_exported_snapshot",
+                                  "S1_S22_refused_lines", "S1_S22_tolerant_rows"])
 def test_queries_equal_oracle(spark, name):
     con = duckdb.connect()
     for t in TABLES.split():
@@ -162,3 +163,18 @@ def test_keyed_stream_handles_rows_without_id_and_an_empty_wave(spark, tmp_path)
         keyed.start_keyed_ingest(feed, str(tmp_path / "out"), str(tmp_path / "checkpoint")).awaitTermination()
     got = Counter((r["outcome"], r["announcement_id"]) for r in keyed.settled(spark, str(tmp_path / "out")).collect())
     assert got == {("accepted", None): 2, ("accepted", "5"): 1, ("conflicts", "5"): 1}
+
+
+def test_refused_lines_are_rows_and_the_rest_is_read(spark, tmp_path):
+    head = "symbol,date,close,adjustment\n"
+    (tmp_path / "a.csv").write_text(head + "000123,2024-01-02,1.5,none\n000123,2024-13-02,x,none\n000123,2024-01-03\n")
+    (tmp_path / "b.csv").write_text(head + "000124,2024-01-02,,none\n000124,2024-01-03,2,none,7\n")
+    (tmp_path / "c.csv").write_text(head)
+    rows, refused = tables.tolerant_csv(spark, str(tmp_path), "prices_unadjusted")
+    assert sorted((r["symbol"], str(r["date"]), r["close"]) for r in rows.collect()) == [("000123", "2024-01-02", 1.5), ("000124", "2024-01-02", None)]
+    assert sorted((r["rule"], r["file"][-5:], r["line"]) for r in refused.collect()) == [
+        ("malformed_line", "a.csv", "000123,2024-01-03"), ("malformed_line", "b.csv", "000124,2024-01-03,2,none,7"),
+        ("unreadable_close", "a.csv", "000123,2024-13-02,x,none"), ("unreadable_date", "a.csv", "000123,2024-13-02,x,none")]
+    (tmp_path / "d.csv").write_text("date,symbol,close,adjustment\n2024-01-02,000123,1,none\n")
+    with pytest.raises(Exception, match="CSV header"):
+        tables.tolerant_csv(spark, str(tmp_path), "prices_unadjusted")[0].collect()

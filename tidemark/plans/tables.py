@@ -182,6 +182,29 @@ def union_scan(spark, sf):
     return tables.union_files(spark, paths, "observations").select("symbol", "asset_id", "period_end", "metric", "value")
 
 
+# Weight files with broken lines: suppliers divisible by 11 have a field too many, the others divisible by 7 no number.
+WEIGHT_LINES = "SELECT s_suppkey, s_suppkey || ',' || CASE WHEN s_suppkey % 11 = 0 THEN s_nationkey || ',x' WHEN s_suppkey % 7 = 0 THEN 'n/a' ELSE CAST(s_nationkey AS VARCHAR) END AS line FROM supplier"
+
+
+def _weight_files(spark, sf):
+    key, nation = F.col("s_suppkey"), F.col("s_nationkey").cast("string")
+    value = F.when(key % 11 == 0, F.concat(nation, F.lit(",x"))).when(key % 7 == 0, "n/a").otherwise(nation)
+    folder = new_folder(spark, "lines")
+    lines = d.table(spark, sf, "supplier").select(F.concat(key.cast("string"), F.lit(","), value).alias("grid_point_id,area_weight"))
+    lines.write.csv(folder, header=True, sep="\u0001", quote="")
+    return tables.tolerant_csv(spark, folder, "grid_weights")
+
+
+@query("S1_S22_refused_lines", "SELECT CASE WHEN s_suppkey % 11 = 0 THEN 'malformed_line' ELSE 'unreadable_area_weight' END AS rule, line FROM weight_lines WHERE s_suppkey % 11 = 0 OR s_suppkey % 7 = 0", weight_lines=WEIGHT_LINES)
+def refused_lines(spark, sf):
+    return _weight_files(spark, sf)[1].select("rule", "line")
+
+
+@query("S1_S22_tolerant_rows", "SELECT CAST(s_suppkey AS VARCHAR) AS grid_point_id, CAST(s_nationkey AS DOUBLE) AS area_weight FROM supplier WHERE s_suppkey % 11 <> 0 AND s_suppkey % 7 <> 0")
+def tolerant_rows(spark, sf):
+    return _weight_files(spark, sf)[0]
+
+
 @query("S24_sample_metric_lists", """SELECT asset_type, string_agg(DISTINCT metric, ', ' ORDER BY metric) AS metrics FROM obs JOIN assets USING (symbol, asset_id) GROUP BY 1""")
 def sample_lists(spark, sf):
     return coverage.sample_metric_lists(d.observations(spark, sf).join(d.assets(spark, sf), ["symbol", "asset_id"]))

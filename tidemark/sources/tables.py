@@ -162,6 +162,26 @@ def union_files(spark: SparkSession, paths: list[str], name: str) -> DataFrame:
     return typed(spark.read.csv(paths, header=True, inferSchema=False, mode="FAILFAST"), name)
 
 
+def tolerant_csv(spark: SparkSession, paths: str | list[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """(typed rows, refused lines) of CSV files by header. A line with too many or too few fields, or with a value that its type cannot hold,
+    is refused: a row (rule, file, line), one for each rule it breaks, and no row of the table. Files with other headers stop the job.
+
+    One scan each; nothing is cached, so rows and refusals may be read apart. Broken rules of readable rows are `violations`.
+    """
+    header = spark.read.csv(paths, header=True, inferSchema=False).schema
+    raw = spark.read.schema(T.StructType([*header.fields, T.StructField("__line", T.StringType())])).csv(
+        paths, header=True, enforceSchema=False, mode="PERMISSIVE", columnNameOfCorruptRecord="__line").withColumn("__file", F.col("_metadata.file_path"))
+    fields = [f for f in contract(name).schema.fields if f.name in header.names and not isinstance(f.dataType, T.StringType)]
+    unreadable = [
+        F.when(F.col("__line").isNull() & F.nullif(F.col(f.name), F.lit("")).isNotNull() & F.col(f.name).try_cast(f.dataType).isNull(), F.lit(f"unreadable_{f.name}"))
+        for f in fields]
+    rules = F.array_compact(F.array(F.when(F.col("__line").isNotNull(), F.lit("malformed_line")), *unreadable))
+    marked = raw.withColumn("__rules", rules)
+    line = F.coalesce("__line", F.to_csv(F.struct(*[F.col(c) for c in header.names])))
+    refused = marked.where(F.size("__rules") > 0).select(F.explode("__rules").alias("rule"), F.col("__file").alias("file"), line.alias("line"))
+    return typed(marked.where(F.size("__rules") == 0).drop("__line", "__file", "__rules"), name), refused
+
+
 def union_conflicts(df: DataFrame, source: str) -> DataFrame:
     """Sources that several files give with different content."""
     content = F.sha2(F.to_json(F.struct(*df.columns)), 256)
