@@ -1,11 +1,13 @@
 """Secret spans, benchmark phrases, token files and archives against plain Python over whole texts."""
 
 import hashlib
+import json
 import re
 import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm import samples
@@ -182,6 +184,25 @@ def test_empty_token_file(spark):
     assert rans.read_tokens(spark, path).count() == 0
 
 
+def test_other_tokenizers_get_whole_texts():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    with open(queries.tokenizer_path()) as file:
+        known = json.load(file)
+    with open(path) as file:
+        other = json.load(file)
+    assert rans.words_stand_alone(known) and not rans.words_stand_alone(other)
+    for change in ({"normalizer": None}, {"pre_tokenizer": None}, {"added_tokens": [{"content": "cat", "special": True}]}, {"truncation": {"max_length": 9}}):
+        assert not rans.words_stand_alone(known | change)
+    texts = ["Two  Words, kept AS they are\n", "", None, "é ß <|endoftext|> x's", "word " * 3000]
+    library = Tokenizer.from_file(path)
+    want = [i for t in texts for i in [*library.encode(t or "", add_special_tokens=False).ids, 2]]
+    parts = list(rans.Encoder(path, 2).batch(pa.array(texts, pa.string())))
+    assert np.concatenate([ids for _, ids, _ in parts]).tolist() == want and sum(len(per) for _, _, per in parts) == len(texts)
+
+
 @pytest.mark.parametrize("n", [1, 5, 1023, 1024, 1025, 300_000])
 def test_blocks_decode_from_checkpoints_and_notice_damage(n):
     rng = np.random.default_rng(n)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -32,13 +33,34 @@ _MARK = np.zeros(256, bool)
 _MARK[list(b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~")] = True
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
+# Fixed value: the pattern of the tokenizers whose words may be encoded one by one; it joins no white space to anything, and letters to no mark but after '.
+WORDS_APART = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
+def words_stand_alone(description: dict) -> bool:
+    """Whether a tokenizer's own description says that a text's ids are those of its lower-cased words, cut between letters and marks.
+
+    True only for what is known to be so: white space folded and dropped, lower case, the fixed pattern, special tokens that open with <|.
+    """
+    def steps(part, list_name):
+        return part[list_name] if part and part["type"] == "Sequence" else [part or {"type": None}]
+
+    fold = {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}
+    split, *rest = steps(description.get("pre_tokenizer"), "pretokenizers")
+    return (
+        [n if n == fold else n["type"] for n in steps(description.get("normalizer"), "normalizers")] == ["NFC", fold, "Lowercase"]
+        and split == {"type": "Split", "pattern": {"Regex": WORDS_APART}, "behavior": "Removed", "invert": True}
+        and [(r["type"], r.get("add_prefix_space"), r.get("use_regex")) for r in rest] == [("ByteLevel", False, False)]
+        and all(t["special"] and t["content"].startswith("<|") for t in description.get("added_tokens", []))
+        and not description.get("truncation") and not description.get("padding") and not description["model"].get("dropout")
+    )
+
+
 class Encoder:
-    """Whole texts to ids, for tokenizers that drop white space, lower-case and keep letters apart from marks.
+    """Whole texts to ids.
 
-    A text's ids are then those of its words, so each word is encoded once and remembered by its hash. Words are lower-cased
+    Where the tokenizer's description says so (`words_stand_alone`) a text's ids are those of its words; any other tokenizer gets whole texts. Each word is encoded once and remembered by its hash. Words are lower-cased
     before they are looked up, but for letters that a combining character may follow and pieces that hold a special token.
     What is remembered is bounded by CACHED_WORDS, and forgotten when it is full.
     """
@@ -48,6 +70,8 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a task on each core
         self.tokenizer, self.end_id = Tokenizer.from_file(path), end_id
+        with open(path, encoding="utf-8") as file:
+            self.by_words = words_stand_alone(json.load(file))
         self._reset()
 
     @staticmethod
@@ -72,10 +96,20 @@ class Encoder:
         at = np.searchsorted(self.known, hashes)
         self.known, self.entry = np.insert(self.known, at, hashes), np.insert(self.entry, at, entry)
 
+    def _whole(self, raw: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        texts = [raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+        ids = []
+        for k in range(0, len(texts), LEARN_AT_A_TIME):
+            ids += [[*e.ids, self.end_id] for e in self.tokenizer.encode_batch_fast(texts[k : k + LEARN_AT_A_TIME], add_special_tokens=False)]
+        return np.array([i for g in ids for i in g], np.uint32), np.array([len(g) for g in ids], np.int64)
+
     def batch(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids of all texts of a piece, ids per text), the end id after each text."""
         for first, data, offsets in pieces(column):
             raw = data.tobytes()
+            if not self.by_words:
+                yield first, *self._whole(raw, offsets)
+                continue
             if b"<|" not in raw:
                 lower = LOWER[data]
                 lower[:-1] = np.where(data[1:] >= 128, data[:-1], lower[:-1])
