@@ -18,6 +18,12 @@ def quarter_index(day: Column) -> Column:
     return F.year(day) * 4 + F.quarter(day)
 
 
+def quarter_of_index(index: Column) -> Column:
+    """Last day of the quarter with this running number."""
+    year = F.floor((index - 1) / 4).cast("int")
+    return F.last_day(F.make_date(year, ((index - 4 * year) * 3).cast("int"), F.lit(1)))
+
+
 def quarter_label(day: Column) -> Column:
     return F.concat(F.year(day).cast("string"), F.lit("Q"), F.quarter(day).cast("string"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import periods, text
-from tidemark.operators import joins, versions
+from tidemark.operators import bitmaps, versions
 from tidemark.operators.catalogue import PERIODIC_TYPES, REPORT_TYPES
 
 KEY = versions.OBSERVATION_KEY
@@ -16,21 +16,25 @@ WEIGHT_METRICS = {"settled_electricity_weighted_average": "settled_electricity",
 
 
 def metric_coverage(metrics: DataFrame, expected: list[str]) -> DataFrame:
-    """Asset by quarter by expected metric. The metric list is fixed and short, so it is laid out per row, not joined."""
-    cells = metrics.select("symbol", "asset_id", "period_end").distinct().withColumn(
-        "metric", F.explode(F.array(*[F.lit(m) for m in sorted(expected)])))
-    return joins.with_presence(cells, metrics, KEY)
+    """Asset by quarter by expected metric."""
+    return metric_coverage_of(bitmaps.period_words(metrics, ["symbol", "asset_id", "metric"]), expected)
+
+
+def metric_coverage_of(words: DataFrame, expected: list[str]) -> DataFrame:
+    """The same from kept words of (symbol, asset_id, metric)."""
+    asset = ["symbol", "asset_id"]
+    wanted = F.array(*[F.struct(F.lit(m).alias("metric")) for m in sorted(expected)])
+    return bitmaps.metric_status(bitmaps.by_metric(words, asset), asset, wanted)
 
 
 def asset_type_coverage(assets: DataFrame, metrics: DataFrame, requirements: DataFrame, level: str = "core") -> DataFrame:
     """Asset by quarter by metric required of its type."""
-    wanted = requirements.where(F.col("requirement_level") == level).select("asset_type", "metric", "requirement_level")
-    cells = (
-        metrics.select("symbol", "asset_id", "period_end").distinct()
-        .join(assets.select("symbol", "asset_id", "asset_type").distinct(), ["symbol", "asset_id"])
-        .join(wanted, "asset_type")
-    )
-    return joins.with_presence(cells, metrics, KEY)
+    asset = ["symbol", "asset_id"]
+    wanted = requirements.where(F.col("requirement_level") == level).groupBy("asset_type").agg(
+        F.collect_list(F.struct("metric", "requirement_level")).alias("wanted"))
+    required = assets.select(*asset, "asset_type").distinct().join(wanted, "asset_type")
+    words = bitmaps.by_metric(bitmaps.period_words(metrics, [*asset, "metric"]), asset).join(required, asset)
+    return bitmaps.metric_status(words, [*asset, "asset_type"], F.col("wanted"))
 
 
 def document_sequences(documents: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import checks, versions
+from tidemark.sources import commits
 
 
 def conflicts(existing: DataFrame, new: DataFrame, keys: list[str], compare: list[str], name: str = "content_changed") -> DataFrame:
@@ -41,6 +42,41 @@ def replace_snapshot(
     return merged_prices, merged_coverage
 
 
+def keep_appended(new: DataFrame, folder: str, keys: list[str], parts: int = 64, buckets: int = 8) -> int:
+    """`append_new` on a kept table: new rows with unseen keys go into the buckets of their keys, others are not touched. Gives the table's number.
+
+    Of rows of the batch with one key, one stays. Stored rows are read in their buckets and not moved.
+    """
+    once = new.dropDuplicates(keys)
+    return commits.merge(once, folder, keys, lambda old, batch: append_new(old, batch, keys), parts, buckets)
+
+
+def keep_replaced(fetched: DataFrame, folder: str, keys: list[str], parts: int = 64, buckets: int = 8) -> int:
+    """`replace_rows` on a kept table, in the buckets of the fetched keys only."""
+    return commits.merge(fetched, folder, keys, lambda old, batch: replace_rows(old, batch, keys), parts, buckets)
+
+
+def keep_snapshot(
+    fetched: DataFrame, coverage: DataFrame, folder: str, years: tuple[int, int], parts: int = 64, buckets: int = 8
+) -> int:
+    """Prices of a kept table replaced for the symbols of `coverage` with a final status; others, failed ones included, keep theirs.
+
+    Rows are kept by (symbol, year): a symbol with very many rows lies in many parts and buckets. `years` spans the stored years, as
+    a symbol may have old rows in years for which nothing was fetched.
+    """
+    keys = ["symbol", "year"]
+    final = coverage.where(F.col("status").isin("available", "no_history")).select("symbol").distinct()
+    span = F.sequence(F.lit(min(years)), F.lit(max(years)))
+    ended = final.select("symbol", F.explode(span).alias("year"))
+    rows = fetched.withColumn("year", F.year("date")).withColumn("_row", F.lit(True))
+    marked = rows.unionByName(ended.withColumn("_row", F.lit(False)), allowMissingColumns=True)
+
+    def change(old: DataFrame, batch: DataFrame) -> DataFrame:
+        return replace_rows(old.drop("_row"), batch, keys).where("coalesce(_row, true)").drop("_row")
+
+    return commits.merge(marked, folder, keys, change, parts, buckets)
+
+
 def still_to_do(wanted: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Work without a final result for the same window."""
     return wanted.join(done.where(F.col("status").isin("available", "no_history")).select(*keys).distinct(), keys, "left_anti")

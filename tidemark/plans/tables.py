@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tidemark.functions import periods
-from tidemark.operators import catalogue, checks, coverage, joins
+from tidemark.operators import bitmaps, catalogue, checks, coverage, joins, merges
 from tidemark.operators import versions as v
 from tidemark.plans import disclosures as disc
 from tidemark.plans import domain as d
@@ -309,6 +309,38 @@ def type_coverage(spark, sf):
 query("A2_asset_type_coverage", "SELECT * FROM acov", **COVERAGE)(type_coverage)
 
 
+@query("A1_merged_bitmaps", """SELECT k.symbol, k.asset_id, k.period_end, m.metric, CASE WHEN o.metric IS NULL THEN 'missing' ELSE 'available' END AS status FROM (SELECT DISTINCT symbol, asset_id, period_end FROM obs) k
+ JOIN (SELECT unnest(['quantity', 'rent', 'costs']) AS metric) m ON true LEFT JOIN (SELECT DISTINCT symbol, asset_id, period_end, metric FROM obs) o ON o.symbol = k.symbol AND o.asset_id = k.asset_id AND o.period_end = k.period_end AND o.metric = m.metric""")
+def merged_bitmaps(spark, sf):
+    """Coverage from words of three batches, one of them sent twice; `costs` is expected and never there."""
+    rows = d.observations(spark, sf)
+    keys = ["symbol", "asset_id", "metric"]
+    turn = F.pmod(F.xxhash64(*keys, "period_end"), F.lit(3))
+    words = [bitmaps.period_words(rows.where(turn == n), keys) for n in (0, 1, 2, 1)]
+    return coverage.metric_coverage_of(bitmaps.merged_words(keys, *words), ["quantity", "rent", "costs"])
+
+
+# One announcement date in eight of a symbol is left out, so that symbols have holes between their quarters.
+_DAYS = "SELECT symbol, publication_date AS day FROM ann WHERE (CAST(symbol AS BIGINT) + year(publication_date) * 4 + quarter(publication_date)) % 8 <> 0"
+
+
+@query("A9_bitmap_holes", f"""SELECT symbol, CAST({qend('day')} AS DATE) AS period_end FROM (
+   SELECT symbol, unnest(generate_series(CAST(date_trunc('quarter', min(day)) AS TIMESTAMP), CAST(date_trunc('quarter', max(day)) AS TIMESTAMP), INTERVAL 3 MONTH)) AS day FROM days GROUP BY symbol)
+ EXCEPT SELECT symbol, CAST({qend('day')} AS DATE) FROM days""", days=_DAYS)
+def bitmap_holes(spark, sf):
+    """Quarters between a symbol's first and last announcement in which it announced nothing."""
+    index = periods.quarter_index(F.col("publication_date"))
+    rows = d.announcements(spark, sf).where((F.col("symbol").cast("bigint") + index) % 8 != 0)
+    return bitmaps.holes(bitmaps.period_words(rows, ["symbol"], "publication_date"), ["symbol"])
+
+
+@query("C9_bitmap_spans", """SELECT symbol, CAST(min(year(day) * 4 + quarter(day)) AS BIGINT) AS first, CAST(max(year(day) * 4 + quarter(day)) AS BIGINT) AS last, count(DISTINCT year(day) * 4 + quarter(day)) AS covered FROM days GROUP BY symbol""", days=_DAYS)
+def bitmap_spans(spark, sf):
+    index = periods.quarter_index(F.col("publication_date"))
+    rows = d.announcements(spark, sf).where((F.col("symbol").cast("bigint") + index) % 8 != 0)
+    return bitmaps.spans(bitmaps.period_words(rows, ["symbol"], "publication_date"), ["symbol"])
+
+
 @query("A3_document_sequences", """SELECT symbol, min(CAST(year(period_end) AS VARCHAR) || 'Q' || quarter(period_end)) AS quarter_start, max(CAST(year(period_end) AS VARCHAR) || 'Q' || quarter(period_end)) AS quarter_end,
  count(DISTINCT period_end) AS covered_quarters, CAST(max(year(period_end) * 4 + quarter(period_end)) - min(year(period_end) * 4 + quarter(period_end)) + 1 AS BIGINT) AS expected_quarters, count(*) AS registered_documents,
  count(content_sha256) AS hashed_documents, count(*) FILTER (verification_status = 'human_verified') AS human_verified_documents,
@@ -489,3 +521,40 @@ def appended(spark, sf):
     for batch in (rows.where(turn < 2), rows.where(turn.isin(0, 2)), rows.where(turn == 3)):
         number = v.append_versions(batch, documents, folder, 16)
     return commits.read(spark, folder, number)
+
+
+OLD, NEW = "publication_date < DATE '2019-01-01'", "publication_date >= DATE '2018-06-01'"
+
+
+@query("U5_kept_catalogue", "SELECT announcement_id, symbol, title, CASE WHEN publication_date < DATE '2019-01-01' THEN 'first' ELSE 'second' END AS run FROM ann")
+def kept_catalogue(spark, sf):
+    """The catalogue kept in buckets of its ids over two runs that overlap: ids known before keep the row of the first run."""
+    folder = new_folder(spark, "catalogue")
+    rows = d.announcements(spark, sf).select("announcement_id", "symbol", "title", "publication_date")
+    for run, part in (("first", rows.where(OLD)), ("second", rows.where(NEW))):
+        number = merges.keep_appended(part.withColumn("run", F.lit(run)), folder, ["announcement_id"], 8, 4)
+    return commits.read(spark, folder, number).drop("publication_date")
+
+
+@query("U4_kept_history", "SELECT *, CASE WHEN snapshot_date < DATE '2018-06-01' THEN 'first' ELSE 'second' END AS run FROM universe")
+def kept_history(spark, sf):
+    """Universe snapshots kept over two runs; the second run's rows take the place of the first's with their key."""
+    folder = new_folder(spark, "universe")
+    rows = d.universe_history(spark, sf)
+    for run, part in (("first", "snapshot_date < date'2019-01-01'"), ("second", "snapshot_date >= date'2018-06-01'")):
+        number = merges.keep_replaced(rows.where(part).withColumn("run", F.lit(run)), folder, ["snapshot_date", "symbol"], 8, 4)
+    return commits.read(spark, folder, number)
+
+
+@query("U7_kept_snapshot", """SELECT symbol, date, close FROM prices WHERE CAST(symbol AS BIGINT) % 3 = 2 AND date < DATE '1998-01-01' OR CAST(symbol AS BIGINT) % 3 = 0 AND date >= DATE '1995-01-01'""", "close")
+def kept_snapshot(spark, sf):
+    """Prices kept by symbol and year: the new run brought a third of the symbols from 1995 on, found no history for a third, failed for the rest."""
+    folder = new_folder(spark, "prices")
+    prices = d.prices(spark, sf).select("symbol", "date", "close")
+    third = F.col("symbol").cast("bigint") % 3
+    symbols = prices.select("symbol").distinct()
+    status = F.when(third == 0, "available").when(third == 1, "no_history").otherwise("network_failed")
+    ends = prices.agg(F.year(F.min("date")), F.year(F.max("date"))).first()
+    merges.keep_snapshot(prices.where("date < date'1998-01-01'"), symbols.select("symbol", F.lit("available").alias("status")), folder, tuple(ends), 8, 4)
+    number = merges.keep_snapshot(prices.where((third == 0) & F.expr("date >= date'1995-01-01'")), symbols.select("symbol", status.alias("status")), folder, tuple(ends), 8, 4)
+    return commits.read(spark, folder, number).select("symbol", "date", "close")

@@ -167,7 +167,7 @@ def lattice(spark, sf):
 
 
 def grid(spark, sf):
-    return geometry.grid_weights(geometry.lattice_in_polygons(d.polygons(spark, sf)))
+    return geometry.cell_weights(geometry.lattice_cells(d.polygons(spark, sf)))
 
 
 query("R24_grid_weights", "SELECT * FROM gridded", "latitude longitude area_weight", **AREA_VIEWS)(grid)

@@ -5,10 +5,15 @@ leaves files that no manifest lists. Rows may lie in parts by a hash of their ke
 
 Creating a manifest must fail where the number exists: a hard link on local disks, a rename without overwriting elsewhere, which HDFS
 decides in its name node. A store without such a rename needs one writer at a time.
+
+Parts may be bucketed by the key as well. Their rows are then read through a table of the session's catalogue (one for each number, with the
+manifest's folders as its partitions), so that Spark knows how they lie: a join on the key moves the other side only, and a merge
+writes the stored rows from where they were read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 import uuid
@@ -94,10 +99,46 @@ def read(spark: SparkSession, folder: str, number: int | None = None, parts: lis
 
 def _rows(spark: SparkSession, folder: str, listed: dict, parts: list[str] | None = None) -> DataFrame:
     schema = T.StructType.fromJson(listed["schema"])
+    if listed.get("buckets") and listed["parts"]:
+        table = spark.table(_table_of(spark, folder, listed))
+        return (table if parts is None else table.where(F.col("__part").isin([int(p) for p in parts]))).drop("__part")
     paths = sorted({f"{folder.rstrip('/')}/{p}" for k, p in listed["parts"].items() if parts is None or k in parts})
     return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _table_of(spark: SparkSession, folder: str, listed: dict) -> str:
+    """Catalogue table over the files that a manifest lists. Its name follows from the list, so it is made once; it owns no file."""
+    digest = hashlib.sha256(json.dumps([folder.rstrip("/"), listed], sort_keys=True).encode()).hexdigest()[:24]
+    name = f"kept_{hashlib.sha256(folder.rstrip('/').encode()).hexdigest()[:12]}_{digest}"
+    if not spark.catalog.tableExists(name):
+        keys = ", ".join(map(_quoted, listed["keys"]))
+        columns = T.StructType.fromJson(listed["schema"]).add("__part", T.IntegerType()).toDDL()
+        root = folder.rstrip("/")
+        parts = " ".join(f"PARTITION (__part = {int(k)}) LOCATION '{root}/{p}'" for k, p in listed["parts"].items())
+        clustered = f"CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {int(listed['buckets'])} BUCKETS"
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet PARTITIONED BY (__part) {clustered} LOCATION '{root}/data'")
+        spark.sql(f"ALTER TABLE {name} ADD IF NOT EXISTS {parts}")
+    return name
+
+
+def forget(spark: SparkSession, folder: str) -> None:
+    """Take the catalogue tables of a bucketed folder away; its files and manifests stay."""
+    prefix = f"kept_{hashlib.sha256(folder.rstrip('/').encode()).hexdigest()[:12]}_"
+    for table in spark.catalog.listTables(pattern=prefix + "*"):
+        spark.sql(f"DROP TABLE IF EXISTS {table.name}")
+
+
+def _write_bucketed(rows: DataFrame, path: str, keys: list[str], buckets: int) -> None:
+    spark = rows.sparkSession
+    name = f"written_{uuid.uuid4().hex}"
+    rows.write.partitionBy("__part").bucketBy(buckets, *keys).sortBy(*keys).format("parquet").option("path", path).saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay, as the path was given
+
+
 def _publish(spark: SparkSession, folder: str, number: int, listed: dict) -> bool:
     return create(spark, _manifest_path(folder, number), json.dumps(listed, sort_keys=True))
 
@@ -124,39 +165,48 @@ def part_of(keys: list[str], count: int) -> Column:
     return F.pmod(F.xxhash64(*[F.struct(F.col(k).isNull(), F.col(k)) for k in keys]), F.lit(count)).cast("int")
 
 
-def merge(batch: DataFrame, folder: str, keys: list[str], change: Callable[[DataFrame, DataFrame], DataFrame], parts: int = PARTS) -> int:
+def merge(batch: DataFrame, folder: str, keys: list[str], change: Callable[[DataFrame, DataFrame], DataFrame], parts: int = PARTS,
+          buckets: int = 0) -> int:
     """Publish the table after `change(stored rows of the batch's parts, batch)`, which gives all rows of these parts anew.
 
     Only parts with a key of the batch are read and written. Where another writer published meanwhile, its parts stand: if they are others
     than ours the written rows are published on top of them, else `change` runs again on the newer rows. Rows of one part are dealt
-    out by size, so a key with very many rows is not one file. `change` must keep each row's key. `parts` counts for the first batch only.
+    out by size, so a key with very many rows is not one file. `change` must keep each row's key. `parts` and `buckets` count for the first batch only.
+
+    With `buckets`, rows of a part lie in that many buckets by the key (all of one key in one of them, so keys should be fine enough), and `change` gets
+    the batch dealt out the same way: joins of the two on the key leave the stored rows where they are.
     """
     spark = batch.sparkSession
-    based, base = _newest(spark, folder, batch, keys, parts)
-    count = base["count"]
+    based, base = _newest(spark, folder, batch, keys, parts, buckets)
+    count, buckets = base["count"], base.get("buckets", 0)
+    dealt_batch = batch.repartition(buckets, *[F.col(k) for k in keys]) if buckets else batch
     touched = sorted(str(r[0]) for r in batch.select(part_of(keys, count)).distinct().collect())  # at most `count` numbers
     written = None
     for _ in range(ATTEMPTS):
         if written is None:
             old = _rows(spark, folder, base, touched)
-            new = change(old, batch).select(*[f.name for f in T.StructType.fromJson(base["schema"])] if based else "*")
+            new = change(old, dealt_batch).select(*[f.name for f in T.StructType.fromJson(base["schema"])] if based else "*")
             written = f"data/{uuid.uuid4().hex}"
-            dealt = new.withColumn("__part", part_of(keys, count)).hint("rebalance", "__part")
-            dealt.write.partitionBy("__part").parquet(f"{folder.rstrip('/')}/{written}")
+            placed = new.withColumn("__part", part_of(keys, count))
+            if buckets:
+                _write_bucketed(placed, f"{folder.rstrip('/')}/{written}", keys, buckets)
+            else:
+                placed.hint("rebalance", "__part").write.partitionBy("__part").parquet(f"{folder.rstrip('/')}/{written}")
             schema = new.schema.jsonValue()
         filled = _filled(spark, folder, written)
         own = {k: f"{written}/__part={k}" for k in filled}
         kept = {k: p for k, p in base["parts"].items() if k not in touched}
         if not set(own) <= set(touched):
             raise ValueError(f"change gave rows of parts {sorted(set(own) - set(touched))} that the batch does not touch")
-        if _publish(spark, folder, based + 1, {"schema": schema, "keys": keys, "count": count, "parts": kept | own}):
+        if _publish(spark, folder, based + 1, {"schema": schema, "keys": keys, "count": count, "buckets": buckets, "parts": kept | own}):
             return based + 1
         before = base
-        based, base = _newest(spark, folder, batch, keys, parts)
+        based, base = _newest(spark, folder, batch, keys, parts, buckets)
         if any(before["parts"].get(k) != base["parts"].get(k) for k in touched) or base["count"] != count:
             written = None
             if base["count"] != count:
-                count = base["count"]
+                count, buckets = base["count"], base.get("buckets", 0)
+                dealt_batch = batch.repartition(buckets, *[F.col(k) for k in keys]) if buckets else batch
                 touched = sorted(str(r[0]) for r in batch.select(part_of(keys, count)).distinct().collect())
     raise LostRace(folder)
 
@@ -167,10 +217,10 @@ def _filled(spark: SparkSession, folder: str, written: str) -> list[str]:
     return [f.getPath().getName().split("=")[1] for f in found]
 
 
-def _newest(spark: SparkSession, folder: str, batch: DataFrame, keys: list[str], parts: int) -> tuple[int, dict]:
+def _newest(spark: SparkSession, folder: str, batch: DataFrame, keys: list[str], parts: int, buckets: int) -> tuple[int, dict]:
     number = latest(spark, folder)
     if not number:
-        return 0, {"schema": batch.schema.jsonValue(), "keys": keys, "count": parts, "parts": {}}
+        return 0, {"schema": batch.schema.jsonValue(), "keys": keys, "count": parts, "buckets": buckets, "parts": {}}
     listed = manifest(spark, folder, number)
     if listed["keys"] != keys:
         raise ValueError(f"{folder} is kept by {listed['keys']}, not by {keys}")
