@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 
 from tests.llm import samples
 from tidemark.llm import fm_index, queries, rans, secrets, warc
@@ -251,3 +252,68 @@ def test_archive_reader_refuses_damage():
     for old, new, what in ((b"WARC/1.1", b"WARC/0.9", "1.1"), (b"Content-Length: ", b"Content-Length: 1", "long"), (b"<p>3", b"<p>4", "digest")):
         with pytest.raises(ValueError, match=what):
             warc.parse(good[3].replace(old, new))
+
+
+def public_record(kind, block, version="1.0", name="a", lines=()):
+    head = [f"WARC/{version}", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{name}>", "WARC-Date: 2020-01-01T00:00:00Z", *lines, f"Content-Length: {len(block)}"]
+    return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+HTTP = "Content-Type: application/http; msgtype=response"
+
+
+def public_records():
+    page = b"<p>public</p>" * 30
+    chunks = b"5;x=1\r\n<p>pu\r\n" + f"{len(page) - 5:X}".encode() + b"\r\n" + page[5:] + b"\r\n0\r\n\r\n"
+    answer = b"HTTP/1.1 200 OK\r\nX-A: 1\r\nX-A: 2\r\n"
+    md5 = hashlib.md5(page).hexdigest()
+    uri = "WARC-Target-URI: http://x/"
+    return page, [
+        public_record("warcinfo", b"software: some\r\nformat: WARC\r\n", name="i", lines=["Content-Type: application/warc-fields"]),
+        public_record("request", b"GET / HTTP/1.1\r\nHost: x\r\n\r\n", name="q", lines=["Content-Type: application/http; msgtype=request", uri, "WARC-Concurrent-To: <urn:uuid:r>", "WARC-Concurrent-To: <urn:uuid:m>"]),
+        public_record("response", answer + b"\r\n" + page, name="r", lines=[HTTP, uri, f"WARC-Payload-Digest: md5:{md5}"]),
+        public_record("response", answer + b"Transfer-Encoding: chunked\r\n\r\n" + chunks, "1.1", "c", [HTTP, uri, f"WARC-Payload-Digest: sha1:{warc.sha1_base32(chunks)}"]),
+        public_record("response", answer + b"Transfer-Encoding: chunked\r\n\r\n" + chunks, "1.1", "d", [HTTP, uri, f"WARC-Payload-Digest: sha-256:{hashlib.sha256(page).hexdigest()}"]),
+        public_record("response", answer + b"Content-Length: 999\r\n\r\n" + page, name="t", lines=[HTTP, uri, "WARC-Truncated: length", "WARC-Payload-Digest: sha1:AAAA"]),
+        public_record("revisit", answer + b"\r\n", name="v", lines=[HTTP, uri, "WARC-Profile: http://netpreserve.org/warc/1.0/revisit/server-not-modified", "WARC-Refers-To: <urn:uuid:r>", "WARC-Payload-Digest: sha1:QQ"]),
+        public_record("revisit", b"", name="w", lines=[uri, "WARC-Payload-Digest: blake3:00"]),
+        public_record("metadata", b"a: b\r\n", name="m", lines=["Content-Type: application/warc-fields", "X-Folded: one", "\ttwo", "WARC-Block-Digest: blake3:unknown"]),
+        public_record("resource", "é".encode(), name="s", lines=["Content-Type: text/plain", "WARC-Target-URI: file:///s"])]
+
+
+@pytest.mark.parametrize("dictionary", [True, False])
+def test_public_archive_files_are_read(spark, tmp_path, dictionary):
+    page, records = public_records()
+    if dictionary:
+        data = warc.archive(records)
+    else:  # plain frames with another skippable one between them
+        small = [zstandard.ZstdCompressor().compress(r) for r in records]
+        data = b"".join(small[:3]) + struct.pack("<II", 0x184D2A50, 3) + b"abc" + b"".join(small[3:])
+    (tmp_path / "a.warc.zst").write_bytes(data)
+    (tmp_path / "empty.warc.zst").write_bytes(b"")
+    got = {r["record_id"][10:-1]: r for r in warc.read_files(spark, str(tmp_path / "*.warc.zst")).collect()}
+    kinds = {"i": "warcinfo", "q": "request", "r": "response", "c": "response", "d": "response", "t": "response", "v": "revisit", "w": "revisit", "m": "metadata", "s": "resource"}
+    assert {k: r["record_type"] for k, r in got.items()} == kinds and {r["page_id"] for r in got.values()} == {None}
+    for k in "rcdt":
+        assert (bytes(got[k]["payload"]), got[k]["payload_bytes"], got[k]["payload_digest"]) == (page, len(page), warc.sha1_base32(page))
+    assert (got["v"]["payload"], got["v"]["payload_bytes"], got["v"]["payload_digest"], got["v"]["refers_to_id"]) == (None, None, "QQ", "<urn:uuid:r>")
+    assert bytes(got["s"]["payload"]) == "é".encode() and got["q"]["payload_bytes"] == 0 and bytes(got["m"]["payload"]) == b"a: b\r\n"
+
+
+def test_public_dialects_are_checked_all_the_same():
+    _, records = public_records()
+    response, resource = records[2], records[9]
+    for bad, what in (
+        (response.replace(b"public", b"publik", 1), "digest"), (response.replace(b"X-A: 1", b"Content-Length: 7"), "long|length"),
+        (resource.replace(b"WARC-Type: resource", b"WARC-Type: resource\r\nWARC-Type: response"), "contradicts"),
+        (resource.replace(b"WARC-Record-ID: <urn:uuid:s>\r\n", b""), "record-id"), (resource.replace(b"Content-Type: text/plain", b"no colon"), "header line"),
+        (resource.replace(b"Content-Length: 2", b"Content-Length: -2"), "proper length"),
+        (resource.replace(b"Content-Type: text/plain", b"WARC-Block-Digest: sha1:!!"), "block digest")):
+        with pytest.raises(ValueError, match=what):
+            warc.parse(bad)
+
+
+def test_many_frames_and_one_larger_than_a_step():
+    rng = np.random.default_rng(2)
+    records = [warc.record(i, "u", rng.bytes(n), None, False) for i, n in enumerate([0, 10, 3 * warc.STEP, 1, warc.STEP, *[300] * 400])]
+    assert list(warc.frames(warc.archive(records))) == records

@@ -193,7 +193,7 @@ FROM g
 def op8(spark, sf):
     path = new_folder(spark, "warc")
     warc.write_archives(table(spark, sf, "pages"), path)
-    return warc.read_archives(spark.read.parquet(path), payloads=False).drop("url", "payload")
+    return warc.read_archives(spark.read.parquet(path), payloads=False).drop("url", "payload", "record_id", "refers_to_id")
 
 
 @query("op2_odd_sketch_components")
