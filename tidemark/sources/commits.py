@@ -117,7 +117,7 @@ def _table_of(spark: SparkSession, folder: str, listed: dict) -> str:
     if not spark.catalog.tableExists(name):
         keys = ", ".join(map(_quoted, listed["keys"]))
         columns = T.StructType.fromJson(listed["schema"]).add("__part", T.IntegerType()).toDDL()
-        root = folder.rstrip("/")
+        root = folder.rstrip("/").replace("\\", "\\\\").replace("'", "\\'")  # as it stands in a literal of SQL
         parts = " ".join(f"PARTITION (__part = {int(k)}) LOCATION '{root}/{p}'" for k, p in listed["parts"].items())
         clustered = f"CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {int(listed['buckets'])} BUCKETS"
         spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet PARTITIONED BY (__part) {clustered} LOCATION '{root}/data'")
