@@ -23,11 +23,12 @@ MAGIC = b"TMR1"
 SCALE = 20
 LOW = np.uint64(1 << 31)
 LANES = 1024
-BLOCK_TOKENS = 1 << 18
-CHECKPOINT_ROWS = 128
+BLOCK_TOKENS = 1 << 16  # 256 KiB of plain ids: rows of half a mebibyte or more get heap regions of their own in the JVM
+CHECKPOINT_ROWS = 32
 HEADER = struct.Struct("<4sIIQIIIIQI")  # magic, documents, lanes, tokens, rows, scale, checkpoint rows, checkpoints, words, crc32
 CACHED_WORDS = 1_500_000
 LEARN_AT_A_TIME = 2000
+ENCODE_BYTES = 1 << 20  # texts encoded at once: a worker holds some 60 bytes of arrays for each byte of them
 # Words are cut between an ASCII letter and one of these marks. Marks that the tokenizer can join to letters or that open its special tokens are not here.
 _MARK = np.zeros(256, bool)
 _MARK[list(b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~")] = True
@@ -82,8 +83,8 @@ class Encoder:
         return _ENCODERS[path, end_id]
 
     def _reset(self):
-        self.known, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.ids, self.offsets = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.known, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int32)
+        self.ids, self.offsets = np.zeros(0, np.uint32), np.zeros(1, np.int32)
 
     def _learn(self, hashes: np.ndarray, texts: list[str]) -> None:
         ids, sizes = [self.ids], []
@@ -92,7 +93,8 @@ class Encoder:
             sizes += map(len, got)
             ids.append(np.array([i for g in got for i in g], np.uint32))
         entry = len(self.offsets) - 1 + np.arange(len(texts))
-        self.ids, self.offsets = np.concatenate(ids), np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(sizes)])
+        self.ids = np.concatenate(ids)
+        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(sizes, dtype=np.int32)])
         at = np.searchsorted(self.known, hashes)
         self.known, self.entry = np.insert(self.known, at, hashes), np.insert(self.entry, at, entry)
 
@@ -105,7 +107,7 @@ class Encoder:
 
     def batch(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(first row, ids of all texts of a piece, ids per text), the end id after each text."""
-        for first, data, offsets in pieces(column):
+        for first, data, offsets in pieces(column, ENCODE_BYTES):
             raw = data.tobytes()
             if not self.by_words:
                 yield first, *self._whole(raw, offsets)
@@ -194,7 +196,7 @@ def encode_block(ids: np.ndarray, freq: np.ndarray, keys: np.ndarray, valid: np.
 class Block:
     """A block read back: documents and, from the start or any checkpoint, rows of ids."""
 
-    def __init__(self, payload: bytes):
+    def __init__(self, payload: bytes | pa.Buffer):
         magic, docs, self.lanes, self.n, self.rows, scale, self.every, marks, n_words, crc = HEADER.unpack_from(payload)
         body = memoryview(payload)[HEADER.size :]
         if magic != MAGIC or scale != SCALE:
@@ -339,8 +341,8 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     def decode(batches):
         table = Table(freq)
         for batch in batches:
-            for file, start, payload in zip(*(batch.column(c).to_pylist() for c in ("file", "start", "payload")), strict=True):
-                block = Block(payload)
+            for file, start, payload in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist(), batch.column("payload"), strict=True):
+                block = Block(payload.as_buffer())
                 raw, ends = block.ids(table).astype("<u4").tobytes(), np.cumsum(block.per.astype(np.int64))
                 begins = ends - block.per
                 yield pa.RecordBatch.from_arrays([
