@@ -5,6 +5,9 @@ All patterns are regular expressions run inside the scan stage; nothing is parse
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,30 +83,76 @@ METRIC_LITERALS = {
     "distribution_per_unit": ["分派", "distribution per unit", "dpu"],
 }
 METRIC_GAP = r"[^。；;\n]{0,28}?"
-METRIC_NUMBER = r"(-?\d[\d,]*(?:\.\d+)?)"
+# No unit begins with a figure, a comma, a point or white space, so a shorter number never fits where the longest does not.
+METRIC_NUMBER = r"(-?\d[\d,]*+(?:\.\d++)?+)"
+# Number and unit of a match, which are its end: units hold no figures.
+MATCH_END = METRIC_NUMBER + r"\s*+([^\d\s,.]\D*+)$"
+# Where no match goes on: words and gaps hold none of these marks, and white space with a line end follows a number or a part of "sq. m" only.
+METRIC_CUT = r"[。；;\n](?<![\s\d,.qQ]\n)"
+# Two letters that have no other form than small and capital; each literal in Latin letters has such a pair, so a piece without has none.
+LATIN_PAIR = "[A-Za-z]{2}"
+# A literal lies this many characters behind the start of its word at most, what is looked at before the word included.
+LITERAL_REACH = 24
+WHOLE = 2**31 - 1
+
+
+def _cased(word: str) -> bool:
+    return word.upper() != word.lower()
+
+
+def _first_letters(words: str) -> str:
+    """Lookahead for the letters with which one of these patterns can begin; empty where that cannot be told."""
+    starts = [re.sub(r"^(?:\(\?<![^()]*\)|\\b)+", "", w)[:1] for w in re.split(r"\|(?![^()]*\))", words)]
+    if not all(c.isalpha() for c in starts):
+        return ""
+    other = {"i": "\u0130\u0131", "k": "\u212a", "s": "\u017f"}  # match these letters too without regard to case
+    return f"(?=[{''.join(sorted({x for c in starts for x in c.lower() + c.upper() + other.get(c.lower(), '')}))}])"
+
+
+def _held(piece: str, folded: str) -> Column:
+    """For each literal the numbers of its metrics, or null where the piece does not hold it.
+
+    They are looked for in the bytes of both; those without small and capital letters from their second byte on, as most such letters share a few first bytes, at
+    each of which a comparison would begin. What is taken for one so and is none has no place later.
+    """
+    words = sorted({w for named in METRIC_LITERALS.values() for w in named})
+    of = lambda w: F.array(*[F.lit(n) for n, (m, _, _) in enumerate(METRIC_WORDS) if w in METRIC_LITERALS[m]])
+    holds = lambda w: F.contains(folded, F.lit(w.encode())) if _cased(w) else F.contains(piece, F.lit(w.encode()[1:]))
+    return F.array(*[F.when(holds(w), of(w)) for w in words])
+
+
+def _first_place(text: Column, words: list[list[str]], number: Column) -> Column:
+    """Where the first literal of the metric of this number lies; null where none does."""
+    own = F.get(F.array(*[F.array(*map(F.lit, named)).cast("array<string>") for named in words]), number)
+    return F.array_min(F.transform(own, lambda w: F.nullif(F.call_function("instr", text, w), F.lit(0))))
 
 
 def metric_candidates(texts: DataFrame, keys: list[str]) -> DataFrame:
-    """Every match of every metric pattern in the whole text: metric, value, unit and the words around."""
-    def found(metric: str, words: str, units: str) -> Column:
-        regex = f"(?iu)((?:{words}){METRIC_GAP}{METRIC_NUMBER}\\s*({units}))"
-        possible = contains_any(F.col("_folded"), METRIC_LITERALS[metric])
-        raws = F.when(possible, F.regexp_extract_all("text", F.lit(regex), 1)).otherwise(F.array().cast("array<string>"))
-        # The matched piece alone is read again for its groups; it matches from its start.
-        return F.transform(
-            raws,
-            lambda raw: F.struct(
-                F.lit(metric).alias("metric"),
-                t.number(F.regexp_extract(raw, regex, 2)).alias("value"),
-                F.regexp_extract(raw, regex, 3).alias("unit"),
-                F.trim(raw).alias("raw_text"),
-            ),
-        )
+    """Every match of every metric pattern in the whole text: metric, value, unit and the words around.
+
+    Texts are cut where no match goes on, and a pattern reads only pieces with a figure and one of its literals, from a little before the first one on.
+    """
+    piece, folded, number = F.col("_piece"), F.col("_folded"), F.col("_n")
+    regexes = [f"{_first_letters(words)}(?iu)((?:{words}){METRIC_GAP}{METRIC_NUMBER}\\s*+({units}))" for _, words, units in METRIC_WORDS]
 
+    pieces = texts.select(*keys, F.explode(F.split("text", METRIC_CUT)).alias("_piece")).where(piece.rlike("[0-9]"))
     # Upper then lower case brings letters together that match each other without regard to case.
-    folded = texts.withColumn("_folded", F.lower(F.upper("text")))
-    every = F.concat(*[found(*m) for m in METRIC_WORDS])
-    return folded.select(*keys, F.explode(every).alias("_m")).select(*keys, "_m.*")
+    pieces = pieces.withColumns({"_folded": F.when(piece.rlike(LATIN_PAIR), F.lower(F.upper(piece))), "_bytes": piece.cast("binary")})
+    possible = pieces.withColumn("_small", folded.cast("binary")).withColumn("_held", _held("_bytes", "_small")).select(
+        *keys, "_piece", "_folded", F.explode(F.array_distinct(F.flatten(F.array_compact("_held")))).alias("_n"))
+    kinds = [[[w for w in METRIC_LITERALS[m] if _cased(w) == cased] for m, _, _ in METRIC_WORDS] for cased in (False, True)]
+    # Places in the folded piece are those of the piece unless a letter became two.
+    folded_place = F.when(F.length(folded) == F.length(piece), _first_place(folded, kinds[1], number)).when(folded.isNotNull(), 1)
+    start = F.greatest(F.least(_first_place(piece, kinds[0], number), folded_place) - LITERAL_REACH, F.lit(1))
+    read = possible.select(*keys, "_n", F.substring(piece, start, F.lit(WHOLE)).alias("_read"))
+    matches = reduce(lambda c, m: c.when(number == m[0], F.regexp_extract_all("_read", F.lit(m[1]), 1)), enumerate(regexes[1:], 1),
+                     F.when(number == 0, F.regexp_extract_all("_read", F.lit(regexes[0]), 1)))
+    # The matched piece alone is read again for its groups. As a lambda these patterns are no compiled code of the query, which would be one method,
+    # too long for the JVM to compile in its turn.
+    every = F.transform(matches, lambda raw: F.struct(
+        t.number(F.regexp_extract(raw, MATCH_END, 1)).alias("value"), F.regexp_extract(raw, MATCH_END, 2).alias("unit"), F.trim(raw).alias("raw_text")))
+    metric = F.get(F.array(*[F.lit(m) for m, _, _ in METRIC_WORDS]), number)
+    return read.select(*keys, "_n", F.explode(every).alias("_m")).select(*keys, metric.alias("metric"), "_m.*")
 
 
 def _book_nav(compact: Column, period_end: Column) -> Column:

@@ -361,12 +361,19 @@ def document_texts(spark, sf) -> DataFrame:
         "occupied": (key % 100).cast("string"), "traffic": (key % 9000 + 10).cast("string"), "cars": (key % 700 + 1).cast("string"),
         "lorries": (key % 300 + 1).cast("string"), "tariff": (key % 9 + 1).cast("string"),
     }
+
+    def filled(layouts: list[str], index: Column | None = None) -> Column:
+        """The layout with its marks filled; only marks that stand in one of the layouts are looked for."""
+        text = F.lit(layouts[0]) if index is None else _pick(layouts, index)
+        for mark, value in fill.items():
+            if any("{" + mark + "}" in x for x in layouts):
+                text = F.replace(text, F.lit("{" + mark + "}"), value)
+        return text
+
     body = F.concat(
-        F.lit("\n"), _pick(SHARE_LAYOUTS, key % 5), F.lit("\n"), _pick(AMOUNT_LAYOUTS, key % 6), _pick(NAV_LAYOUTS, key % 4),
-        _pick(DIVIDEND_LAYOUTS, key % 7), F.lit(OPERATIONS_LAYOUT),
+        F.lit("\n"), filled(SHARE_LAYOUTS, key % 5), F.lit("\n"), filled(AMOUNT_LAYOUTS, key % 6), filled(NAV_LAYOUTS, key % 4),
+        filled(DIVIDEND_LAYOUTS, key % 7), filled([OPERATIONS_LAYOUT]),
     )
-    for mark, value in fill.items():
-        body = F.replace(body, F.lit("{" + mark + "}"), value)
     number = F.concat(F.lit("N"), F.lpad(key.cast("string"), 12, "0"))
     # narrow rows are dealt out by their key before texts are made: text work then spreads over all cores, however few splits the scan has
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
