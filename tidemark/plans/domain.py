@@ -363,12 +363,13 @@ def document_texts(spark, sf) -> DataFrame:
     }
 
     def filled(layouts: list[str], index: Column | None = None) -> Column:
-        """The layout with its marks filled; only marks that stand in one of the layouts are looked for."""
-        text = F.lit(layouts[0]) if index is None else _pick(layouts, index)
+        """The layout with its marks filled, which are looked for from the first one on, and only those that stand in one of the layouts."""
+        heads = [x.partition("{")[0] for x in layouts]
+        head, text = [F.lit(x[0]) if index is None else _pick(x, index) for x in (heads, [x[len(h):] for x, h in zip(layouts, heads, strict=True)])]
         for mark, value in fill.items():
             if any("{" + mark + "}" in x for x in layouts):
                 text = F.replace(text, F.lit("{" + mark + "}"), value)
-        return text
+        return F.concat(head, text)
 
     body = F.concat(
         F.lit("\n"), filled(SHARE_LAYOUTS, key % 5), F.lit("\n"), filled(AMOUNT_LAYOUTS, key % 6), filled(NAV_LAYOUTS, key % 4),
